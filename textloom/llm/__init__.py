@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact, packing, token_files
+from textloom.llm import chat, exact, packing, secrets, token_files
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op4_token_files": token_files.op4_token_files,
+        "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_chat_format": chat.op7_chat_format,
         "op10_exact_dedup": exact.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact.OP10_SQL}
+    return {"op7_chat_format": chat.OP7_SQL, "op10_exact_dedup": exact.OP10_SQL}
