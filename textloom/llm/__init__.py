@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, packing, secrets, simhash, token_files
+from textloom.llm import chat, exact, packing, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_simhash": simhash.op2_simhash,
+        "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_token_files": token_files.op4_token_files,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_chat_format": chat.op7_chat_format,

@@ -3,7 +3,7 @@
 * ``stage`` cuts lineage: it writes a table into the folder that the session names in
   ``spark.checkpoint.dir`` (shared by all executors) and reads it back.
 * ``attach`` joins rows to one-row-per-key group results without a hot key in one task.
-* ``repeated_bits`` / ``has_bit`` build and probe a bitmap of fixed size.
+* ``bits_of``, ``has_bit`` and ``test_bits`` build and probe a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +75,33 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread
     return out.select(*rows.columns, *[F.when(F.col("__hot"), F.col(f"__hp_{c}")).otherwise(F.col(f"__rp_{c}")).alias(c) for c in payload])
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(1 << BITMAP_LOG2)).cast("long") + 1
+def _slot(key: Column, log2: int = BITMAP_LOG2) -> Column:
+    return F.pmod(key, F.lit(1 << log2)).cast("long") + 1
+
+
+def bits_of(keys: DataFrame, key: str, log2: int = BITMAP_LOG2) -> DataFrame:
+    """A bitmap (bucket, bits) of the values of the long column ``key``: 2**log2 bits in rows of 4 KiB at most."""
+    slots = keys.select(_slot(F.col(key), log2).alias("x"))
+    return slots.groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
 
 
 def repeated_bits(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap (bucket, bits) of the values of the long column ``key`` that occur twice or more."""
-    again = keys.groupBy(key).count().filter("count > 1").select(_slot(F.col(key)).alias("x"))
-    return again.groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
+    """The bitmap of the values that occur twice or more."""
+    return bits_of(keys.groupBy(key).count().filter("count > 1"), key)
+
+
+def bitmap_bytes(bitmap: DataFrame, log2: int) -> np.ndarray:
+    """The bitmap as one array of 2**log2 bits, for Python tasks; its size doesn't depend on the data."""
+    out = np.zeros((1 << log2) // 8, dtype=np.uint8)
+    for bucket, bits in bitmap.collect():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def test_bits(bits: np.ndarray, keys: np.ndarray, log2: int) -> np.ndarray:
+    """Which of the unsigned 64-bit ``keys`` have their bit set (the slot is the key modulo 2**log2)."""
+    at = keys & np.uint64((1 << log2) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def has_bit(rows: DataFrame, bitmap: DataFrame, key: str, flag: str) -> DataFrame:
