@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, packing, secrets, simhash, substring, token_files
+from textloom.llm import chat, exact, packing, quality, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_token_files": token_files.op4_token_files,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_chat_format": chat.op7_chat_format,
         "op10_exact_dedup": exact.op10_exact_dedup,

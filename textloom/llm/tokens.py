@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from array import array
 
 import numpy as np
-import regex
 
 #: Characters below U+0250 without controls: NFC leaves them alone and classes are undisputed.
-_ODD = regex.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
+_ODD = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+#: The letters and numbers among them.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The splitting pattern that a ByteLevel pre-tokenizer applies by default (a fixed value of the public format).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -27,6 +31,18 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def _plain(pattern: str) -> re.Pattern:
+    """The pattern for texts without odd characters: letter and number classes written out."""
+    out, inside = "", False
+    for token in re.findall(r"\\p\{[LN]\}|\\.|.", pattern):
+        inside = {"[": True, "]": False}.get(token, inside)
+        if token.startswith("\\p"):
+            chars = _LETTERS if "L" in token else _NUMBERS
+            token = chars if inside else f"[{chars}]"
+        out += token
+    return re.compile(out)
+
+
 class WordEncoder:
     def __init__(self, path: str, cached_words: int = 400_000):
         from tokenizers import Tokenizer
@@ -49,15 +65,15 @@ class WordEncoder:
         if kinds not in ([], ["NFC", "Replace", "Lowercase"]):
             return False, None
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kinds:
-            return False, regex.compile(_BYTE_LEVEL)
+            return False, _plain(_BYTE_LEVEL)
         parts = pre.get("pretokenizers", [])
         if [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1].get("use_regex", True) and not parts[1].get("add_prefix_space"):
-            return bool(kinds), regex.compile(parts[0]["pattern"]["Regex"])
+            return bool(kinds), _plain(parts[0]["pattern"]["Regex"])
         return False, None
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8").decode("latin-1").translate(self.table)
-        ids = np.array([t.id for t in self.tok.model.tokenize(raw)], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.tok.model.tokenize(raw)]).tobytes()
         if len(self.words) >= self.limit:
             self.words.clear()
         self.words[word] = ids
@@ -65,7 +81,7 @@ class WordEncoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.pattern is None or _ODD.search(text) or any(s in text for s in self.special):
+        if self.pattern is None or not text.isascii() and _ODD.search(text) or _CONTROL.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = self.pattern.findall(text.lower() if self.lower else text)
         known = self.words
