@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, mixing, packing, quality, secrets, simhash, substring, token_files
+from textloom.llm import chat, exact, lm, mixing, packing, quality, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_lm_score": lm.op8_lm_score,
         "op9_mixing": mixing.op9_mixing,
         "op10_exact_dedup": exact.op10_exact_dedup,
     }
