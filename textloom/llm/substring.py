@@ -17,45 +17,44 @@ Grouping keys are 128 bits (anchor and block, anchor and window). The last step
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, attach, bitmap_bytes, bits_of, stage, table, test_bits
+from textloom.llm.common import attach, bitmap_bytes, bits_of, stage, table, test_bits
 
 LENGTH = 20
 GRAM = 6
 LOG2 = 26
 NULL_ID = -(2**63)
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+SLICE = 1 << 20
 
-_WORD = re.compile(WORD)
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 _Q_INVERSE = _U(pow(int(_Q), -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POWERS: dict[str, np.ndarray] = {}
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, kept between documents up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return value
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-_HASHES = _Hashes()
-_POWERS: dict[str, np.ndarray] = {}
+#: A fixed random number per byte value.
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _P)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse."""
     if len(_POWERS.get("q", ())) < n:
-        size = max(4096, 2 * n)
+        size = max(SLICE + 2, 2 * n)
         for name, base in (("q", _Q), ("r", _Q_INVERSE)):
             steps = np.full(size, base, dtype=_U)
             steps[0] = 1
@@ -63,66 +62,103 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["q"], _POWERS["r"]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+class _Ranges:
+    """Hashes of any ranges of a sequence of 64-bit numbers, from prefix sums."""
+
+    def __init__(self, values: np.ndarray):
+        q, self.inverse = _powers(len(values) + 1)
+        self.sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(values * q[: len(values)], dtype=_U)))
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U) * _P)
+
+
+class Slice:
+    """Words, windows and blocks of some texts, held end to end in ``data`` (text i: offsets[i] to offsets[i + 1])."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        self.data, self.offsets, self.length = data, offsets, length
+        n = len(data)
+        space = _SPACE[data]
+        before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        before[offsets[:-1][offsets[:-1] < n]] = True
+        last = offsets[1:][offsets[1:] > 0] - 1
+        after[last] = True
+        self.starts, self.ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        self.word_at = np.searchsorted(self.starts, offsets)  # first word of each text
+        self.n_words = np.diff(self.word_at)
+        self.text_of = np.repeat(np.arange(len(offsets) - 1), self.n_words)
+        total = len(self.starts)
+        at = np.arange(max(total - length + 1, 0))
+        self.windows = at[at + length <= self.word_at[self.text_of[: len(at)] + 1]]
+        if not len(self.windows):
+            self.anchor = self.block = np.empty(0, dtype=_U)
+            self.first = self.last = self.block_text = np.empty(0, dtype=np.int64)
+            return
+        words = _Ranges(_BYTE[data]).hash(self.starts, self.ends)
+        self.ranges = _Ranges(words)
+        g = np.zeros(total - gram + 1, dtype=_U)
+        for t in range(gram):
+            g = g * _P + words[t : total - gram + 1 + t]
+        low = _least(mix(g), length - gram + 1)[self.windows]
+        text = self.text_of[self.windows]
+        begins = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (text[1:] != text[:-1]))))
+        ends = np.concatenate((begins[1:], [len(low)]))
+        self.block_size = ends - begins
+        self.first, self.last = self.windows[begins], self.windows[ends - 1]
+        self.anchor, self.block_text = low[begins], text[begins]
+        self.block = self.ranges.hash(self.first, self.last + length)
 
+    def window_hash(self) -> np.ndarray:
+        return self.ranges.hash(self.windows, self.windows + self.length)
 
-class Parsed:
-    """Blocks of one document: ``first``/``last`` window, ``anchor`` and ``block`` hash; ``windows()``: hash of each window."""
 
-    def __init__(self, words: list[str], length: int, gram: int):
-        n = len(words)
-        self.length, self.count = length, n - length + 1
-        h = np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=n)
-        g = np.zeros(n - gram + 1, dtype=_U)
-        for t in range(gram):
-            g = g * _P + h[t : n - gram + 1 + t]
-        g = mix(g)
-        span = length - gram + 1
-        at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(self.count)
-        self.first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        self.last = np.concatenate((self.first[1:], [self.count])) - 1
-        anchor_at = at[self.first]
-        self.anchor = g[anchor_at]
-        q, self.inverse = _powers(n + 1)
-        self.sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(mix(h) * q[:n], dtype=_U)))
-        shape = ((self.last - self.first) * 4096 + (anchor_at - self.first)).astype(_U)
-        self.block = mix(self._hash(self.first, self.last + length) + shape * _P)
+def _least(x: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` consecutive numbers, by doubling."""
+    done, out = 1, x
+    while done < span:
+        by = min(done, span - done)
+        out = np.minimum(out[:-by], out[by:])
+        done += by
+    return out
 
-    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
-    def windows(self) -> np.ndarray:
-        start = np.arange(self.count)
-        return mix(self._hash(start, start + self.length))
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, offsets) of runs of texts with up to ``SLICE`` bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
 
 
-def parse(text: str, length: int, gram: int) -> tuple[list[str], Parsed | None]:
-    words = _WORD.findall(text)
-    return words, Parsed(words, length, gram) if len(words) >= length else None
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + b * _Q)
 
 
-def held_by(anchor: np.ndarray, block: np.ndarray, doc: int) -> np.ndarray:
-    return mix(mix(anchor + block * _Q) + _U(doc & (2**64 - 1)))
+def once(*keys: np.ndarray) -> np.ndarray:
+    """Positions of the first of each combination."""
+    mixed = keys[0]
+    for k in keys[1:]:
+        mixed = pair(mixed, k)
+    return np.sort(np.unique(mixed, return_index=True)[1])
 
 
-def _scan(docs: DataFrame, each: Callable[[int, Parsed], tuple[np.ndarray, ...]], names: list[str], length: int, gram: int) -> DataFrame:
-    """Rows of unsigned 64-bit hashes from each document, with its id."""
+def _scan(docs: DataFrame, each: Callable[[Slice, np.ndarray], tuple[np.ndarray, ...]], names: list[str], length: int, gram: int) -> DataFrame:
+    """Rows of 64-bit numbers from each slice of the texts; ``each`` sees the ids of its texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, found = [], []
-            for doc, text in zip(pdf["doc"], pdf["text"]):
-                _, p = parse(text, length, gram)
-                if p is not None:
-                    found.append(each(doc, p))
-                    ids.append(np.full(len(found[-1][0]), doc, dtype=np.int64))
-            if found:
-                yield pd.DataFrame({"doc": np.concatenate(ids)} | {n: np.concatenate(c).view(np.int64) for n, c in zip(names, zip(*found))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc").to_numpy(zero_copy_only=False)
+            for at, to, data, offsets in slices(b.column("text")):
+                s = Slice(data, offsets, length, gram)
+                if len(s.windows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in each(s, ids[at:to])], names=names)
 
-    return docs.mapInPandas(run, "doc long, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,87 +175,109 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     # 1: anchors that several documents hold
-    anchors = _scan(base, lambda doc, p: (np.unique(p.anchor),), ["anchor"], length, gram)
-    shared = anchors.groupBy("anchor").count().filter("count > 1")
+    def anchors_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        held = once(s.anchor, ids[s.block_text].view(_U))
+        return np.unique(s.anchor[held], return_counts=True)
+
+    anchors = _scan(base, anchors_of, ["anchor", "n"], length, gram)
+    shared = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
     known = spark.sparkContext.broadcast(bitmap_bytes(bits_of(shared, "anchor", LOG2), LOG2))
 
     # 2: blocks at such anchors, and who holds each first
-    def blocks_of(doc: int, p: Parsed) -> tuple[np.ndarray, ...]:
-        hit = test_bits(known.value, p.anchor, LOG2)
-        pair = np.unique(np.stack((p.anchor[hit], p.block[hit]), axis=1), axis=0)
-        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+    def blocks_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit = test_bits(known.value, s.anchor, LOG2)
+        anchor, block, doc = s.anchor[hit], s.block[hit], ids[s.block_text[hit]]
+        some = once(anchor, block, doc.view(_U))
+        return doc[some], anchor[some], block[some]
 
-    held = stage(_scan(base, blocks_of, ["anchor", "block"], length, gram), "substring-blocks")
+    held = stage(_scan(base, blocks_of, ["doc", "anchor", "block"], length, gram), "substring-blocks")
     blocks = stage(held.groupBy("anchor", "block").agg(F.min("doc").alias("holder"), F.count("*").alias("n")), "substring-holders")
     again = attach(held, blocks.filter("n > 1"), ["anchor", "block"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "block")
     variants = stage(blocks.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "substring-variants")
     differing = attach(blocks, variants, ["anchor"], "m", F.col("block")).filter("m is not null").select("anchor", "block", "holder")
 
     # 3: windows of the first holders of blocks that differ
-    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a, b, d = (pdf[c].to_numpy(np.int64).view(_U) for c in ("anchor", "block", "holder"))
-            yield pd.DataFrame({"key": mix(mix(a + b * _Q) + d).view(np.int64)})
-
-    edges = spark.sparkContext.broadcast(bitmap_bytes(bits_of(differing.mapInPandas(keys_of, "key long"), "key", LOG2), LOG2))
-
-    def windows_of(doc: int, p: Parsed) -> tuple[np.ndarray, ...]:
-        hit = test_bits(edges.value, held_by(p.anchor, p.block, int(doc)), LOG2)
-        of = np.repeat(np.arange(len(p.first)), p.last - p.first + 1)
-        some = hit[of]
-        pair = np.unique(np.stack((p.anchor[of[some]], p.windows()[some]), axis=1), axis=0)
-        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
-
-    at_edges = stage(_scan(base, windows_of, ["anchor", "window"], length, gram), "substring-windows")
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            a, b, d = (r.column(c).to_numpy().view(_U) for c in ("anchor", "block", "holder"))
+            yield pa.RecordBatch.from_arrays([pa.array(pair(pair(a, b), d).view(np.int64))], names=["key"])
+
+    edges = spark.sparkContext.broadcast(bitmap_bytes(bits_of(differing.mapInArrow(keys_of, "key long"), "key", LOG2), LOG2))
+
+    def windows_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit = test_bits(edges.value, pair(pair(s.anchor, s.block), ids[s.block_text].view(_U)), LOG2)
+        some = np.repeat(hit, s.block_size)
+        anchor, doc = np.repeat(s.anchor[hit], s.block_size[hit]), np.repeat(ids[s.block_text[hit]], s.block_size[hit])
+        at = s.windows[some]
+        window = s.ranges.hash(at, at + s.length)
+        some = once(anchor, window, doc.view(_U))
+        return doc[some], anchor[some], window[some]
+
+    at_edges = stage(_scan(base, windows_of, ["doc", "anchor", "window"], length, gram), "substring-windows")
     firsts = stage(at_edges.groupBy("anchor", "window").agg(F.min("doc").alias("holder"), F.count("*").alias("n")).filter("n > 1"), "substring-firsts")
-    twice = attach(at_edges, firsts, ["anchor", "window"], "n", F.col("doc")).filter("doc > holder").select("doc", "window")
+    twice = attach(at_edges, firsts, ["anchor", "window"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "window")
 
     # spans: the keys go to their documents
-    per_doc = again.select("doc", F.struct(F.col("anchor").alias("a"), F.col("block").alias("b")).alias("x"), F.lit(None).cast("long").alias("w"))
-    per_doc = per_doc.union(twice.select("doc", F.lit(None).cast("struct<a:long,b:long>").alias("x"), F.col("window").alias("w")))
-    per_doc = per_doc.groupBy("doc").agg(F.collect_list("x.a").alias("anchors"), F.collect_list("x.b").alias("blocks"), F.collect_list("w").alias("windows"))
+    per_doc = again.select("doc", F.lit(True).alias("whole"), "anchor", F.col("block").alias("key")).union(twice.select("doc", F.lit(False), "anchor", "window"))
+    keys = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("anchor", "key")))
+    per_doc = per_doc.groupBy("doc").agg(keys(True).alias("blocks"), keys(False).alias("windows"))
 
-    def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([_spans(*r, length, gram) for r in pdf.itertuples(index=False, name=None)], columns=["doc", "n_words", "n_removed", "spans", "kept_text"])
+    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, data, offsets in slices(b.column("text")):
+                yield _spans(b.slice(at, to - at), Slice(data, offsets, length, gram))
 
-    out = base.join(per_doc, "doc", "left").select("doc", "text", "anchors", "blocks", "windows")
-    out = out.mapInPandas(spans_of, "doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    out = base.join(per_doc, "doc", "left").select("doc", "text", "blocks", "windows")
+    out = out.mapInArrow(spans_of, "doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(kind).alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")
 
 
-def _keys(x) -> np.ndarray:
-    return np.empty(0, dtype=_U) if x is None or len(x) == 0 else np.asarray(x, dtype=np.int64).view(_U)
-
-
-def _spans(doc: int, text: str, anchors, blocks, windows, length: int, gram: int) -> tuple:
-    words, p = parse(text, length, gram)
-    if p is None:
-        return doc, len(words), 0, [], " ".join(words)
-    here = p.windows()
-    known = np.isin(mix(p.anchor + p.block * _Q), mix(_keys(anchors) + _keys(blocks) * _Q))
-    hit = np.repeat(known, p.last - p.first + 1) | np.isin(here, _keys(windows))
-    _, first = np.unique(here, return_index=True)
-    if len(first) < p.count:
-        local = np.ones(p.count, dtype=bool)
-        local[first] = False
-        hit |= local
-    if not hit.any():
-        return doc, len(words), 0, [], " ".join(words)
-    # greedy: a window that is known extends the factor before it if they touch
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    starts = np.flatnonzero(hit)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + length, -1)
-    covered = np.cumsum(change)[:-1] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
-    spans = [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])]
-    kept, at = [], 0
-    for s in spans:
-        kept += words[at : s["start"]]
-        at = s["end"]
-    kept += words[at:]
-    return doc, len(words), len(words) - len(kept), spans, " ".join(kept)
+def _listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, anchor and key in one number) of all entries of the lists."""
+    flat = lists.flatten()
+    a, k = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64).view(_U) for c in ("anchor", "key"))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), sizes).astype(_U), pair(a, k)
+
+
+def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
+    """The result rows of a slice. Windows that are known extend the factor before them if they touch it."""
+    count, total = len(s.n_words), len(s.starts)
+    change = np.zeros(total + 1, dtype=np.int64)
+    if len(s.windows):
+        here, text = s.window_hash(), s.text_of[s.windows]
+        blocks, of = pair(s.anchor, s.block), s.block_text.astype(_U)
+        whole = np.isin(pair(of, blocks), pair(*_listed(rows.column("blocks"))))
+        single = np.isin(pair(text.astype(_U), pair(np.repeat(s.anchor, s.block_size), here)), pair(*_listed(rows.column("windows"))))
+        hit = np.repeat(whole, s.block_size) | single
+        local = np.ones(len(here), dtype=bool)
+        local[once(here, text.astype(_U))] = False
+        at = s.windows[hit | local]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + s.length, -1)
+    covered = np.cumsum(change)[:total] > 0
+    bounds = np.zeros(total + 1, dtype=bool)
+    bounds[s.word_at] = True
+    inside = np.concatenate((covered, [False]))
+    left = np.concatenate(([False], covered))
+    begin, end = np.flatnonzero(inside & (~left | bounds)), np.flatnonzero(left & (~inside | bounds))
+    span_at = np.searchsorted(begin, s.word_at)
+    shift = np.repeat(s.word_at[:-1], np.diff(span_at))
+    spans = pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - shift), pa.array(end - shift)], names=["start", "end"]))
+    # the kept words, one space after each but the last of its text
+    kept = np.flatnonzero(~covered)
+    data = s.data.copy()
+    show = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(show, s.starts[kept], 1)
+    np.add.at(show, s.ends[kept], -1)
+    shown = np.cumsum(show)[:-1] > 0
+    inner = kept[:-1][s.text_of[kept[:-1]] == s.text_of[kept[1:]]]
+    data[s.ends[inner]] = 0x20
+    shown[s.ends[inner]] = True
+    offsets = np.concatenate(([0], np.cumsum(shown)))[s.offsets].astype(np.int32)
+    text = pa.StringArray.from_buffers(count, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[shown].tobytes()))
+    removed = np.bincount(s.text_of[covered], minlength=count)
+    return pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(s.n_words), pa.array(removed), spans, text], names=["doc", "n_words", "n_removed", "spans", "kept_text"])
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
