@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from textloom.plans import content, state
+
 
 def queries() -> dict:
-    return {}
+    return {**content.QUERIES, **state.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**content.SQL, **state.SQL}

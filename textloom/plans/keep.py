@@ -1,0 +1,26 @@
+"""Writing intermediate tables of a run to the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """``keep(df, name)``: write as Parquet below ``spark.checkpoint.dir`` and read back; a local session without it gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    home = f"{root.rstrip('/')}/runs/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{home}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep

@@ -7,9 +7,11 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from textloom.functions import text as T
 from textloom.functions.plain import Block, FormatError
@@ -45,6 +47,8 @@ def format_of(path: Column) -> Column:
 def block_row(b: Block) -> dict:
     row = dataclasses.asdict(b)
     row["src_text"] = row.pop("text")
+    for maps in ("slots", "extra"):
+        row[maps] = list(row[maps].items())
     return row
 
 
@@ -65,38 +69,24 @@ def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend:
     A file that can't be read gives one row with ``error`` and no block; it never stops the others.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"]):
-                raw = bytes(raw or b"")
-                head = {"path": path, "format": None, "content_hash": hashlib.sha256(raw).hexdigest(), "error": None}
-                try:
-                    head["format"] = detect_format(path)
-                    blocks = PARSERS[head["format"]](raw, lang=lang, loose=loose, backend=backend, path=path)
-                except Exception as e:  # any bad file is a row, not a failed job
-                    yield pd.DataFrame([head | {"error": f"{type(e).__name__}: {e}"}], columns=columns)
-                    continue
-                rows = [head | block_row(b) for b in blocks] or [head]
-                yield pd.DataFrame(rows, columns=columns)
-
-    columns = ["path", "format", "content_hash", "error", *(c.strip().split()[0] for c in ("seq int", "src_text", "is_heading", "translatable", "kind", "para", "part", "slots", "ruby", "extra"))]
-
-    def arrow(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        kind = to_arrow_schema(_parse_datatype_string(schema))
+    schema = f"path string, format string, content_hash string, error string, {BLOCK}"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def parse(path: str, raw: bytes) -> list[dict]:
+        head = {"path": path, "format": None, "content_hash": hashlib.sha256(raw).hexdigest(), "error": None}
+        try:
+            head["format"] = detect_format(path)
+            blocks = PARSERS[head["format"]](raw, lang=lang, loose=loose, backend=backend, path=path)
+        except Exception as e:  # any bad file is a row, not a failed job
+            return [head | {"error": f"{type(e).__name__}: {e}"}]
+        return [head | block_row(b) for b in blocks] or [head]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pdf in run(iter([b.to_pandas()])):
-                records = [{k: (list(v.items()) if k in ("slots", "extra") and isinstance(v, dict) else None if not isinstance(v, (list, dict)) and pd.isna(v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-                for r in records:
-                    for k in ("seq", "para", "part"):
-                        r[k] = None if r[k] is None else int(r[k])
-                yield pa.RecordBatch.from_pylist(records, schema=kind)
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                yield pa.RecordBatch.from_pylist(parse(path, raw or b""), schema=kind)
 
-    schema = f"path string, format string, content_hash string, error string, {BLOCK}"
-    return files.mapInArrow(arrow, schema).withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text"))))
+    return files.mapInArrow(run, schema).withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text"))))
 
 
 def folder_order(path: Column) -> Column:
