@@ -36,12 +36,12 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...], sample: int = 10_000, per_domain: int = 24, min_share: float = 0.1, min_ratio: float = 4.0) -> Classifier:
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...], sample: int = 10_000, per_domain: int = 24, min_share: float = 0.1, min_ratio: float = 4.0, min_docs: int = 8) -> Classifier:
     """Naive Bayes on the presence and absence of telling words.
 
     It is fitted on at most ``sample`` labelled rows, those with the smallest hash of doc_id: that bounds the
     broadcast list of ids. A word tells a domain if at least ``min_share`` of its documents have it and the share
-    elsewhere is at most 1/``min_ratio`` of that; the ``per_domain`` strongest are kept. Texts that are equal count once.
+    elsewhere is at most 1/``min_ratio`` of that, and ``min_docs`` documents have it; the ``per_domain`` strongest are kept. Texts that are equal count once.
     ``domain``: an expression over ``labels`` that gives one of ``domains`` or null (not used).
     """
     chosen = labels.select("doc_id", domain.alias("__domain")).filter("doc_id is not null and __domain is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -57,7 +57,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, domains:
     picked: dict[str, list[int]] = {}
     for i, d in enumerate(domains):
         strength = share[i] * F.log(share[i] / rest[i])
-        best = words.filter((share[i] >= min_share) & (share[i] >= min_ratio * rest[i])).withColumn("s", strength).orderBy(F.desc("s"), "word").limit(per_domain)
+        best = words.filter((F.col(f"n{i}") >= min_docs) & (share[i] >= min_share) & (share[i] >= min_ratio * rest[i])).withColumn("s", strength).orderBy(F.desc("s"), "word").limit(per_domain)
         for r in best.collect():
             picked[r["word"]] = [r[f"n{j}"] for j in range(k)]
     names = tuple(sorted(picked))
@@ -96,11 +96,12 @@ def rate_after(steps: list[list[float]]) -> Column:
     return rate
 
 
-def fit_rates(post: DataFrame, target: list[float], rounds: int = 25, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
+def fit_rates(post: DataFrame, target: list[float], rounds: int = 16, tolerance: float = 1e-6, least_gain: float = 1e-3) -> tuple[Column, list[float]]:
     """(rate expression over ``post``, expected totals). ``target``: tokens per domain.
 
     The gradient is taken per token and preconditioned by the second moments of the posteriors of documents with a
-    positive rate; where that step doesn't lower the error, it is halved, and at last the plain gradient step with the safe length is taken.
+    positive rate; it ends once all totals are met within ``tolerance`` of their sum, or a step lowers the error by less than
+    ``least_gain``. Where a step doesn't lower the error, it is halved, and at last the plain gradient step with the safe length is taken.
     """
     k = len(target)
     t = np.array(target, dtype=float)
@@ -136,7 +137,7 @@ def fit_rates(post: DataFrame, target: list[float], rounds: int = 25, tolerance:
         steps.append(tried[0].tolist())
         gone = (miss**2).sum() - ((tried[1] - t) ** 2).sum()
         e, m = tried[1], tried[2]
-        if gone <= (tolerance * scale) ** 2:
+        if gone <= least_gain * (miss**2).sum():
             break
     return rate_after(steps), e.tolist()
 
