@@ -23,8 +23,12 @@ BEFORE_PUNCTUATION = " +([，。！？；、）】》」』,.!?;:])"
 MAX_CHARS = 1500
 
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -37,9 +41,13 @@ def src_hash(c: Column) -> Column:
 
 
 def effectively_empty(c: Column) -> Column:
-    """Nothing left without slots, white space and zero-width characters."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), SLOT, "")
-    return F.regexp_replace(bare, f"[{SPACE}{INVISIBLE}]+", "") == ""
+    """Nothing left without slots, white space and zero-width characters.
+
+    Most texts are told by their first character that can't be part of either; only the others are taken apart.
+    """
+    text = F.coalesce(c, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, SLOT, ""), f"[{SPACE}{INVISIBLE}]+", "")
+    return ~text.rlike(f"[^{SPACE}{INVISIBLE}{{}}r\\p{{Nd}}]") & (bare == "")
 
 
 def slots(c: Column) -> Column:
@@ -68,6 +76,10 @@ def normalize_eol(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def without_last_newline(c: Column) -> Column:
+    return F.when(F.endswith(c, F.lit("\n")), F.left(c, F.length(c) - 1)).otherwise(c)
+
+
 def eol_of(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\r\n")), F.lit("\r\n")).otherwise(F.lit("\n"))
 
@@ -219,17 +231,17 @@ def term_line(src: Column, cands: Column) -> Column:
 
 # ---- search ----
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+def like(c: Column, search: str) -> Column:
+    """LIKE %search% that folds ASCII case only; % and _ in the search are wildcards and there is no escape character.
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _LOWER)
+    As the pattern is open at both ends, it is a search: Java's (?i) folds ASCII only.
+    """
+    import re
 
+    def part(m) -> str:
+        return {"%": ".*?", "_": "."}.get(m[0]) or "\\Q" + m[0].replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
-def like(c: Column, search: str) -> Column:
-    """LIKE %search% that folds ASCII case only; % and _ in the search are wildcards and there is no escape character."""
-    folded = "".join(x.lower() if x in _UPPER else x for x in search)
-    return F.like(ascii_lower(F.coalesce(c, F.lit(""))), F.lit(f"%{folded}%"), F.lit("\x00"))
+    return F.coalesce(c, F.lit("")).rlike("(?is)" + re.sub(r"[%_]|[^%_]+", part, search.strip("%") if set(search) != {"%"} else ""))
 
 
 def java_replacement(template: str) -> str:

@@ -14,10 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of an input of fewer files than cores; a file with one row group would keep one core busy. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, seq, src_text): the lines of each document; a last line end begins no line."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    text = F.regexp_replace(T.normalize_eol(F.col("text")), r"\n\z", "")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").filter("text is not null"))
+    text = T.without_last_newline(T.normalize_eol(F.col("text")))
     return docs.select("doc_id", "lang", F.posexplode(F.split(text, "\n", -1)).alias("seq", "src_text")).withColumn("seq", F.col("seq").cast("long"))
 
 
@@ -29,11 +35,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = lines(spark, sf_dir).join(labels, "doc_id", "left")
     status = F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "machine_translated").otherwise("pending")
-    src, translatable = F.col("src_text"), ~T.effectively_empty(F.col("src_text"))
+    rows = rows.withColumn("translatable", ~T.effectively_empty(F.col("src_text")))
+    src, translatable = F.col("src_text"), F.col("translatable")
     return rows.select(
         (F.col("doc_id") * ID_STEP + F.col("seq")).alias("id"), "doc_id", "lang", "seq", "src_text", T.src_hash(src).alias("src_hash"),
         F.when(translatable & F.col("quality").isNotNull(), F.concat(F.lit("T:"), src)).alias("tgt_text"), F.when(translatable, status).otherwise("pending").alias("status"),
-        translatable.alias("translatable"), F.when(translatable, F.when(F.col("doc_id") % 5 == 0, "c0").otherwise("c1")).alias("cfg_hash"), (F.coalesce("toxic", F.lit(0)) == 1).alias("review_flag"),
+        "translatable", F.when(translatable, F.when(F.col("doc_id") % 5 == 0, "c0").otherwise("c1")).alias("cfg_hash"), (F.coalesce("toxic", F.lit(0)) == 1).alias("review_flag"),
     )
 
 

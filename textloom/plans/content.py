@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import export, runs, terms
-from textloom.plans.base import EMPTY, GLOSSARY, FORMER, LINES, SEGMENTS, STRIP, glossary, glossary_sql, lines, segments, table
+from textloom.plans.base import EMPTY, FORMER, GLOSSARY, LINES, SEGMENTS, STRIP, glossary, glossary_sql, lines, segments, spread, table
 from textloom.sources import formats
 
 QUERIES: dict = {}
@@ -45,7 +45,7 @@ def segment_lines(spark, sf_dir: str) -> DataFrame:
 @query()
 def split_long_parts(spark, sf_dir: str) -> DataFrame:
     """Segments as an import makes them, long lines cut; SQL has no look-ahead for the sentence rule."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return formats.sequenced(formats.line_segments(docs))
 
 
@@ -75,12 +75,12 @@ top AS (SELECT word, count(*) AS n, min((doc_id, p)) AS first FROM word GROUP BY
 @query(f"WITH {WORDS} SELECT word, n FROM top WHERE n >= 2")
 def word_candidates(spark, sf_dir: str) -> DataFrame:
     """The 300 most frequent words, ties by first occurrence (the limit is the operator's own)."""
-    return terms.candidate_words(table(spark, sf_dir, "documents")).select("word", "n")
+    return terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("word", "n")
 
 
 @query(f"WITH {WORDS}, k AS (SELECT word, (row_number() OVER (ORDER BY n DESC, first) - 1) // 40 AS batch FROM top WHERE n >= 2) SELECT batch, count(*) AS n, min(word) AS least FROM k GROUP BY batch")
 def candidate_batches(spark, sf_dir: str) -> DataFrame:
-    words = terms.candidate_words(table(spark, sf_dir, "documents"))
+    words = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     k = words.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1) / 40))  # 300 rows at most
     return k.groupBy("batch").agg(F.count("*").alias("n"), F.min("word").alias("least"))
 
@@ -104,8 +104,8 @@ hit AS (SELECT doc_id, src, n, row_number() OVER (PARTITION BY doc_id ORDER BY n
 SELECT doc_id, count(*) AS n_terms, string_agg(src, ' ' ORDER BY k) AS terms FROM hit WHERE k <= 60 GROUP BY doc_id""")
 def filter_terms_top60(spark, sf_dir: str) -> DataFrame:
     """Terms that occur in a text, the 60 most frequent of them (the limit is the operator's own)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = terms.candidate_words(table(spark, sf_dir, "documents")).select(F.col("word").alias("src"), "n")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select(F.col("word").alias("src"), "n")
     hit = terms.containing(docs, t, "text").drop("text")
     top = hit.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "src"))), 1, 60).alias("top"))
     return top.select("doc_id", F.size("top").cast("long").alias("n_terms"), F.array_join(F.transform("top", lambda x: x["src"]), " ").alias("terms"))
@@ -189,7 +189,7 @@ u AS (SELECT src, cand, min((batch, pos)) AS k FROM p GROUP BY src, cand), r AS
 SELECT src, string_agg(cand, '|' ORDER BY rn) AS cands FROM r WHERE rn <= 3 AND src NOT IN ('the', 'and', 'est', 'tion', 'der', 'qzx') GROUP BY src""")
 def induced_terms(spark, sf_dir: str) -> DataFrame:
     """Answers of several batches merged: candidates in order of appearance, three at most; glossary terms are left alone."""
-    words = terms.candidate_words(table(spark, sf_dir, "documents"))
+    words = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     k = F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1  # 300 rows at most
     parsed = words.select(F.substring("word", 1, 4).alias("src"), F.floor(k / 40).alias("batch"), (k % 40).alias("pos"), F.array(F.upper("word")).alias("cands"), F.lit("").alias("note"))
     out = terms.not_in_glossary(terms.merge_induced(parsed), glossary(spark))
@@ -233,7 +233,7 @@ def natural_sort(spark, sf_dir: str) -> DataFrame:
 @query()
 def html_blocks(spark, sf_dir: str) -> DataFrame:
     """Blocks of each page by the HTML reader, with their hashes."""
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    pages = spread(table(spark, sf_dir, "pages")).select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
     out = formats.parse_files(pages)
     return out.select(F.split("path", r"\.")[0].cast("long").alias("page_id"), "error", "seq", "kind", "is_heading", "translatable", "src_text", "src_hash")
 

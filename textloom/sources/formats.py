@@ -108,7 +108,7 @@ def line_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     explode, so nothing is shuffled.
     """
     text = T.normalize_eol(F.col(text_col))
-    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    lines = F.split(T.without_last_newline(text), "\n", -1)
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("line", "line_text"))
     blank = T.effectively_empty(F.col("line_text"))
     rows = rows.withColumn("blank", blank).withColumn("parts", F.when(F.col("blank"), F.array("line_text")).otherwise(T.split_long(F.col("line_text"))))
