@@ -2,8 +2,8 @@
 
 Every round, each component takes the smallest label next to any of its nodes (hooking), then
 labels are shortened by looking up the label of the label. The tables are written to the shared
-folder each round, so no plan grows and a lost executor costs one round at most. Nothing but a
-count reaches the driver. Labels shared by many nodes are joined with ``attach``.
+folder each round, so no plan grows and a lost executor costs one round at most; the tables of finished rounds
+are deleted. Nothing but the news that labels moved reaches the driver. Labels shared by many nodes are joined with ``attach``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, stage
+from textloom.llm.common import attach, discard, stage
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,14 +27,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hook = labels.join(near, "node").groupBy("label").agg(F.min("near").alias("near"), F.count("*").alias("n"))
         hook = stage(hook.select("label", F.least("label", "near").alias("next"), "n"), f"cc-hook{k}")
-        moved = hook.filter("next < label")
-        if moved.isEmpty():
+        if hook.filter("next < label").isEmpty():
+            discard(both, hook)
             return labels
         # two look-ups shorten chains of hooks: label -> next -> next
         for _ in range(2):
             sizes = hook.groupBy("next").agg(F.count("*").alias("m"))
-            to = hook.select(F.col("label").alias("next"), F.col("next").alias("after")).join(sizes, "next")
-            step = attach(hook, stage(to, f"cc-to{k}"), ["next"], "m", F.col("label"))
-            hook = stage(step.select("label", F.coalesce("after", "next").alias("next"), "n"), f"cc-hook{k}")
-        labels = stage(attach(labels, hook, ["label"], "n", F.col("node")).select("node", F.coalesce("next", "label").alias("label")), f"cc-labels{k + 1}")
+            to = stage(hook.select(F.col("label").alias("next"), F.col("next").alias("after")).join(sizes, "next"), f"cc-to{k}")
+            step = attach(hook, to, ["next"], "m", F.col("label"))
+            shorter = stage(step.select("label", F.coalesce("after", "next").alias("next"), "n"), f"cc-hook{k}")
+            discard(hook, to)
+            hook = shorter
+        moved = stage(attach(labels, hook, ["label"], "n", F.col("node")).select("node", F.coalesce("next", "label").alias("label")), f"cc-labels{k + 1}")
+        discard(labels, hook)
+        labels = moved
     raise RuntimeError(f"components did not settle in {rounds} rounds")
