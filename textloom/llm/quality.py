@@ -71,6 +71,13 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def base_failed(n_words, n_repeat_words):
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
@@ -80,7 +87,7 @@ def features(docs: DataFrame, stratum: str = "lang", id_col: str = "doc_id", tex
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             made = list(zip(*map(base_counts, b.column("text").to_pylist()))) or [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), *(pa.array(c, pa.int64()) for c in made)], names=["doc_id", "stratum", *COUNTS])
 
@@ -170,7 +177,7 @@ def keep_good(docs: DataFrame, cuts: dict[str, tuple[float, ...]], rules: tuple[
     """The rows of ``docs`` that the verdict keeps, all columns unchanged; texts are judged where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for text, s in zip(b.column(text_col).to_pylist(), b.column(stratum).to_pylist()):
                 c = dict(zip(COUNTS, base_counts(text or "")))
