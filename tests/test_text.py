@@ -69,7 +69,7 @@ def test_strip_hash_empty(spark):
 
 
 def test_slots(spark):
-    text = "see `x{1}` and [l](http://u) $y$"
+    text = "see `x` and [l](http://u) $y `z`$"
     patterns = [r"`[^`\n]+`", r"\$[^$\n]+\$", r"(?<=\]\()[^)\s]+(?=\))"]
     native = values(spark, [text], T.protect(F.col("t"), patterns))[0]
     plain, kept = P.protect(text, patterns)

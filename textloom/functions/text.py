@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Unicode white space, for use inside a character class.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 INVISIBLE = r"\u200b-\u200d\u2060\ufeff"
+#: Slots of placeholders and readings, and character ranges.
 SLOT = r"\{r?(\p{Nd}+)\}"
 RUBY_SLOT = r"\{r\p{Nd}+\}"
 HAN = r"[\u4e00-\u9fff]"
@@ -141,10 +142,14 @@ def protect(c: Column, patterns: list[str]) -> Column:
         names = _names(found, start)
         gaps = F.split(text, p, -1)
         text = F.concat(F.array_join(_zip_concat(gaps, names), ""), F.element_at(gaps, -1))
-        kept = F.map_concat(kept, F.map_from_arrays(names, found))
+        kept = F.map_concat(kept, F.map_from_arrays(names, _restored(found, kept)))  # a match may hold slots of the patterns before
     return F.struct(text.alias("text"), kept.alias("slots"))
 
 
+def _restored(found: Column, kept: Column) -> Column:
+    return F.transform(found, lambda x: restore(x, kept))
+
+
 def _names(found: Column, start: Column) -> Column:
     return F.transform(found, lambda _, i: F.concat(F.lit("{"), (start + i).cast("string"), F.lit("}")))
 

@@ -20,8 +20,9 @@ from textloom.sources.markdown import parse_md, render_md
 from textloom.sources.markup import parse_html, render_html
 from textloom.sources.packages import parse_docx, parse_epub, render_docx, render_epub
 
+#: File extensions and their formats.
 EXTENSIONS = {
-    ".txt": "txt", ".text": "txt", ".md": "md", ".markdown": "md", ".html": "html", ".htm": "html", ".docx": "docx", ".epub": "epub", ".srt": "srt",
+    ".txt": "txt", ".md": "md", ".markdown": "md", ".html": "html", ".htm": "html", ".docx": "docx", ".epub": "epub", ".srt": "srt",
     ".png": "img", ".jpg": "img", ".jpeg": "img", ".webp": "img", ".bmp": "img",
 }
 PARSERS: dict[str, Callable[..., list[Block]]] = {"txt": parse_txt, "md": parse_md, "html": parse_html, "docx": parse_docx, "epub": parse_epub, "srt": parse_srt, "img": parse_img}

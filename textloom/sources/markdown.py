@@ -7,7 +7,7 @@ import re
 from textloom.functions.plain import Block, FormatError, decode, effectively_empty, normalize_eol, protect, restore, restore_ruby, ruby_enabled, rubyize, split_long
 from textloom.sources.lines import final, paragraphs
 
-#: Inline code, formulas, images, and the address of a link; the words of a link stay.
+#: Inline code, formulas, images, and the address of a link; the words of a link stay.
 _KEEP = [r"`[^`\n]+`", r"\$[^$\n]+\$", r"!\[[^\]\n]*\]\([^)\n]*\)", r"(?<=\]\()[^)\s]+(?=\))"]
 _PASS = {"frontmatter", "fence", "code_block", "html_block", "hr"}
 

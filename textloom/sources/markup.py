@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import copy
+import re
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
-import re
 
 from textloom.functions.plain import RUBY_SLOT, Block, FormatError, anchor, decode, effectively_empty, restore_ruby, ruby_enabled, split_long
 from textloom.sources.lines import final, paragraphs
 
-#: Elements that hold one paragraph of text; a div does if it has none of them inside.
+#: Fixed values. Elements that hold one paragraph of text; a div does if it has none of them inside.
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "figcaption", "dt", "dd", "title"}
-#: Elements that stay whole, behind a slot.
+#: Fixed values. Elements that stay whole, behind a slot.
 WHOLE = {"code", "img", "br", "svg", "iframe", "script", "style", "input", "pre", "audio", "video", "canvas", "a"}
-#: Inline elements that stay in the text as bare tags.
+#: Fixed values. Inline elements that stay in the text as bare tags.
 INLINE = {"b", "i", "em", "strong", "span", "sub", "sup", "u", "mark", "small", "abbr"}
 ATTRIBUTES = ("alt", "title", "placeholder")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
