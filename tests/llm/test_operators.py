@@ -327,6 +327,13 @@ def test_substring_random(spark, seed):
     assert got == substring_brute(rows, 12)
 
 
+def test_substring_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = substring.op3_substring_dedup(spark, sf_dir)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(substring.OP3_SQL).select(", ".join(got.columns)).fetchall())
+
+
 def test_substring_slices(monkeypatch, spark, small):
     monkeypatch.setattr(substring, "SLICE", 2000)
     import pyarrow as pa

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat.OP7_SQL, "op10_exact_dedup": exact.OP10_SQL}
+    return {"op3_substring_dedup": substring.OP3_SQL, "op7_chat_format": chat.OP7_SQL, "op10_exact_dedup": exact.OP10_SQL}

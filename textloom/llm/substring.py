@@ -283,3 +283,14 @@ def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+win AS (SELECT doc_id, p, x, CASE WHEN count(*) OVER f = 20 THEN string_agg(x, ' ') OVER f END AS k FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+dup AS (SELECT doc_id, p, x, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM win),
+cov AS (SELECT doc_id, p, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c FROM dup)
+SELECT d.doc_id, count(p) AS n_words, count(*) FILTER (c) AS n_removed, sha256(coalesce(string_agg(x, ' ' ORDER BY p) FILTER (NOT c), '')) AS kept_sha256
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id GROUP BY d.doc_id
+"""
