@@ -134,6 +134,13 @@ def test_packing(spark, odd, empty, small):
     assert check_pieces(small, packing.pack(docs, path).collect(), 2048) < 0.03
 
 
+def test_packing_keeps_large_ids(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string")
+    got = packing.pack(df, tokenizer_path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id for r in got} == {big, None, big + 2}
+
+
 def test_packer_is_bounded():
     rng, p = random.Random(2), packing.Packer(100, 5, 10)
     for _ in range(500):

@@ -15,6 +15,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +75,15 @@ class Packer:
 def pack_pieces(docs: DataFrame, path: str, size: int, windows: int, min_cut: int, end_id: int) -> DataFrame:
     """Tokenize and pack each partition; a row per piece, ``open`` where its window isn't full yet."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc, packer = TaskContext.get().partitionId(), encoder(path), Packer(size, windows, min_cut)
         end, held = int(end_id).to_bytes(4, "little"), {}
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                doc_id = None if doc_id != doc_id else int(doc_id)
-                ids = enc.encode_bytes(text) + end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = enc.encode_bytes(text.as_py()) + end
                 total, at = len(ids) // 4, 0
                 for length, w, offset in packer.place(total):
                     held.setdefault(w, []).append((doc_id, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), total, part, w, offset, False))
@@ -92,19 +92,18 @@ def pack_pieces(docs: DataFrame, path: str, size: int, windows: int, min_cut: in
                 done += held.pop(w)
             packer.closed.clear()
             if done:
-                yield _frame(done)
+                yield _batch(done)
         rest = [(*p[:-1], True) for w in sorted(held) for p in held[w]]
         if rest:
-            yield _frame(rest)
+            yield _batch(rest)
 
-    return docs.mapInPandas(run, PIECE)
+    return docs.mapInArrow(run, PIECE)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in PIECE.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    kinds = [pa.bool_() if c.endswith("boolean") else pa.int64() for c in PIECE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def merge_round(left: DataFrame, size: int, windows: int, fan: int) -> DataFrame:
@@ -124,7 +123,9 @@ def merge_round(left: DataFrame, size: int, windows: int, fan: int) -> DataFrame
         return out
 
     by = F.expr(f"part div {fan}").alias("g")
-    return left.groupBy(by).applyInPandas(merge, PIECE)
+    # ids travel as text: pandas would turn a column with nulls into floats
+    text = left.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return text.groupBy(by).applyInPandas(merge, PIECE.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, windows: int = 64, min_cut: int = 64, end_id: int = END_ID, fan: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
