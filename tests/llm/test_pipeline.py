@@ -86,3 +86,19 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark, sf_dir):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (4, ""), (None, "n"), (None, "n")], "doc_id long, text string").withColumn("__row2", F.lit(1))
     got = P.exact_duplicates(spark, docs, sf_dir)
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, "n"), (2, "a"), (4, "")] and got.columns == docs.columns
+
+
+def test_near_stage_links_by_exact_similarity(spark, sf_dir):
+    """Pairs around 0.8: those just below stay, those from 0.9 on go; every removed text is in an exact component with a smaller id."""
+    rows, base = [], 0
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(204)]  # 200 shingles
+        near = list(words)
+        for j in range(5 + k % 3 if k < 45 else 2):  # five changed words apart: 25 to 35 shingles or 10
+            near[10 + 20 * j] = f"n{k}x{j}"
+        rows += [(base, " ".join(words)), (base + 1, " ".join(near))]
+        base += 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = set(ids(P.near_duplicate_groups(spark, docs, sf_dir)))
+    # 25, 30 and 35 of 200 changed: Jaccard coefficients 0.778, 0.739 and 0.702; 10 changed: 0.905
+    assert kept >= set(range(90)) and not kept & set(range(91, 120, 2))

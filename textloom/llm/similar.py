@@ -4,32 +4,40 @@ A 64-bit fingerprint tells texts of 0.8 similarity apart from 0.6 only roughly,
 ``words`` times 64 bits. Every 64-bit word is looked up by the generalised pigeonhole principle of
 ``simhash``: its correlated bits are grouped, thresholds are allocated by dynamic programming, and candidates are
 those that agree in a partition of any word. The plan guarantees all pairs within ``slack`` bits in at
-least one word; pairs of the wanted similarity mostly agree in a whole partition. Candidates are verified
-with all bits. ``recall`` gives the chance to be found.
+least one word; pairs of the wanted similarity mostly agree in a whole partition. ``recall`` gives the chance to be found.
 
-Candidates under a key are compared inside one task, which returns a star per group of linked texts, never their
+All bits and the sizes of the shingle sets only sort out candidates, with a bound that nearly every pair of the
+similarity keeps. What remains is verified: the shingle sets of the candidates are fetched by id, and two texts are
+linked if the Jaccard coefficient of their sets is at least ``similarity``. Texts with equal sets are one node.
+
+Candidates under a key are compared inside one task, which returns groups of nodes, never their
 pairs. A key with more than ``most`` fingerprints is dealt out as blocks, every two of which meet in a
-task of bounded size, so no link is left out.
+task of bounded size, and so is a group with more than ``ROOM`` shingles; no link is left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, stage
+from textloom.llm.common import attach, bits_of, has_bit, stage
 from textloom.llm.components import components
 from textloom.llm.simhash import PROBE_COST, agreement, allocate, group_bits, masks
-from textloom.llm.substring import _BYTE, _P, _SPACE, NULL_ID, _Ranges, mix, slices
+from textloom.llm.substring import _BYTE, _P, _Q, _SPACE, NULL_ID, _Ranges, mix, slices
 
 WORDS = 8
 SLACK = 3
 MOST = 3000
+#: Shingles of a group that is verified in one task.
+ROOM = 1 << 21
+#: Fingerprints under a key up to which pairs are compared in bulk.
+BULK = 256
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[ord("A") : ord("Z") + 1] += 32
@@ -41,9 +49,9 @@ def share_of_bits(similarity: float) -> float:
 
 
 def limit_of(similarity: float, words: int) -> int:
-    """Differing bits that count as similar: the expectation and one standard deviation."""
+    """Differing bits up to which a pair is verified: the expectation and three standard deviations."""
     p, n = share_of_bits(similarity), 64 * words
-    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
+    return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
 def recall(similarity: float, parts: list[list[tuple[list[int], int]]]) -> float:
@@ -84,22 +92,38 @@ def wide_print(hashes: np.ndarray, words: int) -> bytes:
     return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
+def digest(hashes: np.ndarray) -> bytes:
+    """128 bits that tell sets of shingles apart."""
+    return np.array([mix(hashes + _P).sum(dtype=np.uint64), mix(hashes ^ _Q).sum(dtype=np.uint64)], dtype="<u8").tobytes()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _sets(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sorted sets of shingles) of the texts of a batch, slice by slice."""
+    for at, to, data, offsets in slices(b.column("text")):
+        h, first = shingles(data, offsets, width)
+        yield b.column("id").slice(at, to - at), [np.unique(h[first[i] : first[i + 1]]) for i in range(to - at)]
+
+
 def wide_prints(docs: DataFrame, width: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp binary) for every row."""
+    """(id, digest, fp) for every row; fp is the fingerprint and, as one more word, the number of different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, data, offsets in slices(b.column("text")):
-                h, first = shingles(data, offsets, width)
-                prints = [wide_print(h[first[i] : first[i + 1]], words) for i in range(to - at)]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, to - at), pa.array(prints, pa.binary())], names=["id", "fp"])
+            for ids, sets in _sets(b, width):
+                prints = [wide_print(x, words) + len(x).to_bytes(8, "little") for x in sets]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(digest, sets), pa.binary()), pa.array(prints, pa.binary())], names=["id", "digest", "fp"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, fp binary")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary, fp binary")
 
 
-def _matrix(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
+def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, sizes of the sets)."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words + 1)
+    return x[:, :words], x[:, words].astype(np.int64)
 
 
 def plans(prints: DataFrame, words: int, slack: int) -> list[list[tuple[list[int], int]]]:
@@ -108,7 +132,7 @@ def plans(prints: DataFrame, words: int, slack: int) -> list[list[tuple[list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((words, 64, 64))
         for b in batches:
-            x = _matrix(b.column("fp"), words)
+            x, _ = _matrix(b.column("fp"), words)
             for k in range(words):
                 bits = np.unpackbits(np.ascontiguousarray(x[:, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
                 both[k] += bits.T @ bits
@@ -137,8 +161,11 @@ def plans(prints: DataFrame, words: int, slack: int) -> list[list[tuple[list[int
     return out
 
 
-def star(nodes: np.ndarray, x: np.ndarray, limit: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (smallest node, other) of each group of linked fingerprints. ``side``: only pairs from different sides are compared, if given."""
+def star(nodes: np.ndarray, x: np.ndarray, limit: int, side: np.ndarray | None = None, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node, other) of each group of linked fingerprints. ``side``: only pairs from different sides are compared, if given.
+
+    ``alike`` tells for a position and an array of positions which of these are linked to it, beyond the bits.
+    """
     order = np.argsort(nodes, kind="stable")
     nodes, x = nodes[order], x[order]
     side = None if side is None else side[order]
@@ -155,6 +182,8 @@ def star(nodes: np.ndarray, x: np.ndarray, limit: int, side: np.ndarray | None =
             near = rest[np.bitwise_count(x[rest] ^ x[j]).sum(axis=1) <= limit]
             if side is not None:
                 near = near[side[near] != side[j]]
+            if alike is not None and len(near):
+                near = near[alike(order[j], order[near])]
             free[near] = False
             edge += near.tolist()
             a.append(np.full(len(near), nodes[i]))
@@ -162,15 +191,43 @@ def star(nodes: np.ndarray, x: np.ndarray, limit: int, side: np.ndarray | None =
     return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
 
 
-def similar_links(prints: DataFrame, similarity: float, words: int, slack: int, most: int) -> DataFrame:
-    """Edges (a, b) between nodes; ``prints``: (node long, fp binary), different fingerprints."""
+def fits(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+def paired(start: np.ndarray, end: np.ndarray, x: np.ndarray, sizes: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+    """Which groups of rows (from ``start`` to ``end``) hold a pair of candidates; all groups at once, one distance between rows after the other."""
+    found = np.zeros(len(start), dtype=bool)
+    group = np.repeat(np.arange(len(start)), end - start)
+    i = np.concatenate([np.arange(a, b) for a, b in zip(start, end)]) if len(start) else np.empty(0, np.int64)
+    for d in range(1, int((end - start).max(initial=1))):
+        some = (i + d < end[group]) & ~found[group]
+        i, group = i[some], group[some]
+        near = np.flatnonzero(fits(sizes[i], sizes[i + d], similarity))
+        near = near[np.bitwise_count(x[i[near]] ^ x[i[near] + d]).sum(axis=1) <= limit]
+        found[group[near]] = True
+    return found
+
+
+def deal(nodes: np.ndarray, sizes: np.ndarray, room: int) -> list[np.ndarray]:
+    """The nodes, or, if they have more than ``room`` shingles, every two of their blocks of half of it."""
+    if sizes.sum() <= room:
+        return [nodes]
+    block = (np.cumsum(sizes) - sizes) // max(room // 2, 1)
+    blocks = [nodes[block == k] for k in np.unique(block)]
+    return [np.concatenate(two) for two in combinations(blocks, 2)] or blocks
+
+
+def candidates(prints: DataFrame, similarity: float, words: int, slack: int, most: int) -> DataFrame:
+    """(list, node): every pair of candidates is in some list. ``prints``: (node long, fp binary), different sets."""
     parts = [(64 * k, bits, t) for k, plan in enumerate(plans(prints, words, slack)) for bits, t in plan]
     limit = limit_of(similarity, words)
     salts = np.arange(1, len(parts) + 1, dtype=np.uint64) * _P
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("fp"), words)
+            x, _ = _matrix(b.column("fp"), words)
             for p, (base, bits, t) in enumerate(parts):
                 values = x[:, base // 64] & np.uint64(sum(1 << v for v in bits))
                 for m in masks(bits, t):
@@ -190,32 +247,85 @@ def similar_links(prints: DataFrame, similarity: float, words: int, slack: int,
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rows")
-            flat, sizes_ = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            nodes, fps, mine_ = flat.field("node").to_numpy(), _matrix(flat.field("fp"), words), flat.field("mine").to_numpy()
-            at, a, b = 0, [], []
-            for n, two in zip(sizes_, (np.asarray(batch.column("lo")) != np.asarray(batch.column("hi")))):
-                some = slice(at, at + n)
-                found = star(nodes[some], fps[some], limit, mine_[some] if two else None)
-                a.append(found[0])
-                b.append(found[1])
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64))], names=["a", "b"])
+            flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            at = at - at[0]
+            nodes, mine_ = flat.field("node").to_numpy(), flat.field("mine").to_numpy()
+            x, sizes = _matrix(flat.field("fp"), words)
+            two = np.asarray(batch.column("lo")) != np.asarray(batch.column("hi"))
+            bulk = np.flatnonzero(np.diff(at) <= BULK)
+            left = np.ones(len(two), dtype=bool)
+            left[bulk] = paired(at[bulk], at[bulk + 1], x, sizes, limit, similarity)
+            names, members = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for k in np.flatnonzero(left):
+                some = slice(at[k], at[k + 1])
+                size = sizes[some]
+                a, b = star(nodes[some], x[some], limit, mine_[some] if two[k] else None, lambda i, j: fits(size[i], size[j], similarity))  # noqa: B023
+                for root in np.unique(a):
+                    group = np.sort(np.append(b[a == root], root))
+                    for one in deal(group, size[np.argsort(nodes[some])][np.searchsorted(np.sort(nodes[some]), group)], ROOM):
+                        names.append(np.full(len(one), mix(mix(one.view(np.uint64)) + _P * np.arange(1, len(one) + 1, dtype=np.uint64)).sum(dtype=np.uint64)))
+                        members.append(one)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["list", "node"])
+
+    return groups.select("lo", "hi", "rows").mapInArrow(link, "list long, node long").distinct()
+
+
+def jaccard_star(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node, other) of each group linked by Jaccard coefficients of at least ``similarity``."""
+    sizes = np.array([len(s) for s in sets])
+    first = np.cumsum(sizes) - sizes
+    shared, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(shared), dtype=bool)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        out = fits(sizes[i], sizes[others], similarity)
+        some = others[out]
+        if len(some):
+            mark[flat[first[i] : first[i] + sizes[i]]] = True
+            common = np.array([np.count_nonzero(mark[flat[first[j] : first[j] + sizes[j]]]) for j in some])
+            mark[flat[first[i] : first[i] + sizes[i]]] = False
+            out[out] = common >= similarity * (sizes[i] + sizes[some] - common) - 1e-9
+        return out
+
+    return star(nodes, np.zeros((len(nodes), 1), np.uint64), 0, alike=alike)
+
+
+def similar_links(docs: DataFrame, lists: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) between nodes; ``lists``: (list, node), a node is the id of a text. Only the texts of these ids are read."""
+    rows = has_bit(_rows(docs, id_col, text_col), stage(bits_of(lists, "node"), "similar-bits"), "id", "__wanted").filter("__wanted").select("id", "text")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, sets in _sets(b, width):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    taken = rows.mapInArrow(take, "id long, shingles binary").join(lists.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    groups = lists.join(taken, lists["node"] == taken["id"]).groupBy("list").agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("rows"):
+                nodes = row.values.field("node").to_numpy()
+                a, b = jaccard_star(nodes, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in row.values.field("shingles")], similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return groups.select("lo", "hi", "rows").mapInArrow(link, "a long, b long").distinct()
+    return groups.select("rows").mapInArrow(verify, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS, slack: int = SLACK, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, component_id, component_size); linked texts are at least about ``similarity`` alike.
+    """One row per input row: (doc_id, component_id, component_size); linked texts have shingle sets with a Jaccard coefficient of at least ``similarity``.
 
     component_id is the smallest id reachable. Ids are integers and name one text each; null counts as the smallest. Null and empty
     texts are alike. Other columns are ignored; an empty input gives no rows.
     """
     prints = stage(wide_prints(docs, width, words, id_col, text_col), "similar-prints")
-    unique = stage(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "similar-unique")
-    labels = components(similar_links(unique.select("node", "fp"), similarity, words, slack, most))
-    tagged = unique.join(labels, "node", "left").select("fp", "n", F.coalesce("label", "node").alias("label"))
+    unique = stage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-unique")
+    lists = stage(candidates(unique.select("node", "fp"), similarity, words, slack, most), "similar-lists")
+    labels = components(similar_links(docs, lists, similarity, width, id_col, text_col))
+    tagged = unique.join(labels, "node", "left").select("digest", "n", F.coalesce("label", "node").alias("label"))
     sizes = stage(tagged.groupBy("label").agg(F.sum("n").alias("component_size"), F.count("*").alias("m")), "similar-components")
-    named = stage(attach(tagged, sizes, ["label"], "m", F.xxhash64("fp")).select("fp", "n", "label", "component_size"), "similar-named")
-    out = attach(prints, named, ["fp"], "n", F.col("id"))
+    named = stage(attach(tagged, sizes, ["label"], "m", F.xxhash64("digest")).select("digest", "n", "label", "component_size"), "similar-named")
+    out = attach(prints.select("id", "digest"), named, ["digest"], "n", F.col("id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), real("label").alias("component_id"), "component_size")
