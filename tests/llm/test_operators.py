@@ -566,3 +566,28 @@ def test_mixing_odd(spark, odd, empty):
     assert len({r.rate for r in out.collect()}) == 1
     out, _ = mixing.mix(empty, labels, mixing.quality_domain(), {"good": 1.0, "low": 1.0})
     assert out.count() == 0
+
+
+# ---- recall of the near copies ----
+
+
+@pytest.mark.parametrize("n", [1000, 200_000, 12_000_000])
+@pytest.mark.parametrize("even", [0.5, 0.25])
+def test_similar_recall_does_not_fall(n, even):
+    """0.25: half of the bits are set in a quarter of the texts only, so they differ in 0.375 of the pairs."""
+    words = similar.words_for(n, 0.8)[0]
+    p = np.tile([even, 0.5], 32 * words)
+    both = np.concatenate([np.outer(x, x) * (1 - np.eye(64)) + np.diag(x) for x in p.reshape(words, 64)]) * n
+    found = similar.recall(0.8, similar.plan(n, both, words, 0.8))
+    assert found * similar.within(64 * words, similar.share_of_bits(0.8), similar.limit_of(0.8, words)) >= 0.99
+
+
+def test_similar_short_texts(spark):
+    """Texts of few shingles at exactly 0.8: all are found."""
+    rows = []
+    for k in range(300):
+        n = 4 + k % 29  # shingles of the smaller one; the other has up to a quarter more
+        words = [f"w{k}x{i}" for i in range(n + 4 + n // 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4]))]
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(300))

@@ -1,10 +1,13 @@
 """Near-duplicates of a given similarity by wide SimHash fingerprints.
 
 A 64-bit fingerprint tells texts of 0.8 similarity apart from 0.6 only roughly, so this operator keeps
-``words`` times 64 bits. Every 64-bit word is looked up by the generalised pigeonhole principle of
-``simhash``: its correlated bits are grouped, thresholds are allocated by dynamic programming, and candidates are
-those that agree in a partition of any word. The plan guarantees all pairs within ``slack`` bits in at
-least one word; pairs of the wanted similarity mostly agree in a whole partition. ``recall`` gives the chance to be found.
+several 64-bit words. Every word is looked up by the partitions of ``simhash``: its correlated bits are grouped, and
+candidates are those that agree in a partition of any word, within its threshold. Partitions and thresholds are allocated by dynamic
+programming: the least cost under which a pair of the wanted similarity is found with a chance of ``RECALL`` at least.
+The constraint holds for every number of fingerprints; what grows with it is the cost, and the number of words (``words_for``).
+
+Majorities of few shingles differ by more than the formula says, so sets of up to ``SHORT`` shingles are looked up by shingles
+instead: of any two sets of the wanted similarity, the smallest few hashes of each have one in common (prefix filter), so none of these is missed.
 
 All bits and the sizes of the shingle sets only sort out candidates, with a bound that nearly every pair of the
 similarity keeps. What remains is verified: the shingle sets of the candidates are fetched by id, and two texts are
@@ -28,11 +31,17 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import attach, bits_of, has_bit, stage
 from textloom.llm.components import components
-from textloom.llm.simhash import PROBE_COST, agreement, allocate, group_bits, masks
+from textloom.llm.simhash import PROBE_COST, agreement, group_bits, masks
 from textloom.llm.substring import _BYTE, _P, _Q, _SPACE, NULL_ID, _Ranges, mix, slices
 
-WORDS = 8
+#: Least chance that a pair of exactly the wanted similarity is verified, whatever the size of the corpus.
+RECALL = 0.99
+#: Thresholds of a partition.
 SLACK = 3
+#: A word of a fingerprint costs as much as verifying so many candidates.
+WORD_COST = 80.0
+#: Sets of up to so many shingles are looked up by their smallest hashes.
+SHORT = 32
 MOST = 3000
 #: Shingles of a group that is verified in one task.
 ROOM = 1 << 21
@@ -54,13 +63,45 @@ def limit_of(similarity: float, words: int) -> int:
     return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
+def short_limit(similarity: float, words: int) -> int:
+    """The same for short sets: majorities of four to 32 shingles differ in up to 0.1875 of the bits at 0.8, 1.24 times the share; six standard deviations."""
+    p, n = 1.24 * share_of_bits(similarity), 64 * words
+    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
+
+
+def within(n: int, p: float, most: int) -> float:
+    """Chance that at most ``most`` of ``n`` bits differ."""
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return min(1.0, sum(math.exp(log(k)) for k in range(most + 1)))
+
+
 def recall(similarity: float, parts: list[list[tuple[list[int], int]]]) -> float:
     """Chance that a pair agrees within the threshold in at least one partition of the plan."""
-    q, miss = share_of_bits(similarity), 1.0
-    for plan in parts:
-        for bits, t in plan:
-            miss *= 1 - sum(math.comb(len(bits), k) * q**k * (1 - q) ** (len(bits) - k) for k in range(t + 1))
-    return 1 - miss
+    q = share_of_bits(similarity)
+    return 1 - math.prod(1 - within(len(bits), q, t) for plan in parts for bits, t in plan)
+
+
+def wanted(similarity: float, words: int) -> float:
+    """The recall that a plan must have so that, after the limit of all bits, ``RECALL`` is left."""
+    return RECALL / within(64 * words, share_of_bits(similarity), limit_of(similarity, words))
+
+
+def words_for(n: int, similarity: float) -> tuple[int, int]:
+    """(words, partitions of each) whose plan costs least for ``n`` fingerprints of even bits, 8 words at least; longer keys need more words."""
+    q, best = share_of_bits(similarity), (math.inf, 8, 4)
+    for per_word in range(1, 9):
+        parts = math.ceil(math.log(1 - wanted(similarity, 8)) / math.log(1 - within(math.ceil(64 / per_word), q, 0)))
+        words = max(8, math.ceil(1.02 * parts / per_word))
+        best = min(best, (parts * (PROBE_COST + n * 0.5 ** (64 // per_word)) + words * WORD_COST, words, per_word))
+    return best[1:]
+
+
+def prefixes(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The smallest hashes of a sorted set, one of which any different set of the similarity shares, where either has up to ``SHORT``; else none."""
+    n = len(hashes)
+    if n * similarity > SHORT + 1e-9 or n < similarity * (n + 1) - 1e-9:
+        return hashes[:0]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +149,16 @@ def _sets(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.nda
         yield b.column("id").slice(at, to - at), [np.unique(h[first[i] : first[i + 1]]) for i in range(to - at)]
 
 
-def wide_prints(docs: DataFrame, width: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, fp) for every row; fp is the fingerprint and, as one more word, the number of different shingles."""
+def wide_prints(docs: DataFrame, width: int, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, fp, prefix) for every row; fp is the fingerprint and, as one more word, the number of different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, sets in _sets(b, width):
                 prints = [wide_print(x, words) + len(x).to_bytes(8, "little") for x in sets]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(map(digest, sets), pa.binary()), pa.array(prints, pa.binary())], names=["id", "digest", "fp"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(digest, sets), pa.binary()), pa.array(prints, pa.binary()), pa.array([prefixes(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "digest", "fp", "prefix"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary, fp binary")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary, fp binary, prefix array<long>")
 
 
 def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +167,53 @@ def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :words], x[:, words].astype(np.int64)
 
 
-def plans(prints: DataFrame, words: int, slack: int) -> list[list[tuple[list[int], int]]]:
-    """For each word, the partitions that are looked at and their thresholds, from the bit statistics of all fingerprints."""
+def cheapest(options: list[list[tuple[float, float]]], least: float, steps: int = 4000) -> tuple[float, list[int]]:
+    """Thresholds, -1 for a partition that isn't looked at, of the least cost whose gains add up to ``least``; options: (cost, gain) per partition and threshold.
+
+    Gains count in ``steps``, rounded down, so that the sum is never below ``least``. Infinite cost if all together don't reach it.
+    """
+    best, chosen = np.full(steps + 1, np.inf), []
+    best[0] = 0
+    for row in options:
+        new, pick, source = best.copy(), np.full(steps + 1, -1), np.arange(steps + 1)
+        for t, (cost, gain) in enumerate(row):
+            by = min(steps, int(gain / least * steps))
+            value, at = np.full(steps + 1, np.inf), np.arange(steps + 1) - by
+            value[by:] = best[: steps + 1 - by] + cost
+            at[steps] = steps - by + np.argmin(best[steps - by :])  # all that reach the last step
+            value[steps] = best[at[steps]] + cost
+            better = value < new
+            new[better], pick[better], source[better] = value[better], t, at[better]
+        best = new
+        chosen.append((pick, source))
+    ts, at = [], steps
+    for pick, source in reversed(chosen):
+        ts.append(int(pick[at]))
+        at = source[at]
+    return float(best[steps]), ts[::-1]
+
+
+def plan(n: int, both: np.ndarray, words: int, similarity: float, slack: int = SLACK) -> list[list[tuple[list[int], int]]]:
+    """For each word, the partitions that are looked at and their thresholds: least cost at the wanted recall. ``both``: counts of bits set together."""
+    q, least, found = share_of_bits(similarity), -math.log(1 - wanted(similarity, words)), []
+    per_word = words_for(n, similarity)[1]
+    for m in range(max(1, per_word - 1), per_word + 2):
+        groups = [g for k in range(words) for g in group_bits(n, both[64 * k : 64 * k + 64], m)]
+        options = []
+        for i, g in enumerate(groups):
+            share = agreement(n, both[64 * (i // m) : 64 * (i // m) + 64], g, slack)
+            keys = [sum(math.comb(len(g), i) for i in range(t + 1)) for t in range(slack + 1)]
+            options.append([(PROBE_COST * keys[t] + n * share[t] * (1 if t == 0 else 2), -math.log1p(-min(within(len(g), q, t), 1 - 1e-12))) for t in range(slack + 1)])
+        cost, ts = cheapest(options, least)
+        found.append((cost, [[(g, t) for g, t in zip(groups[m * k : m * k + m], ts[m * k : m * k + m]) if t >= 0] for k in range(words)]))
+    cost, best = min(found, key=lambda x: x[0])
+    if math.isinf(cost):
+        raise ValueError(f"{words} words are too few for a recall of {RECALL}")
+    return best
+
+
+def plans(prints: DataFrame, words: int, similarity: float) -> list[list[tuple[list[int], int]]]:
+    """The plan, from the bit statistics of all fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((words, 64, 64))
@@ -146,19 +232,7 @@ def plans(prints: DataFrame, words: int, slack: int) -> list[list[tuple[list[int
     for r in sums:
         both[r["i"], r["j"]] = r["x"]
     n = int(sums[0]["n"]) if sums else 0
-    out = []
-    for k in range(words):
-        found = []
-        for m in range(1, slack + 2):
-            groups, costs = group_bits(n, both[64 * k : 64 * k + 64], m), []
-            for g in groups:
-                share = agreement(n, both[64 * k : 64 * k + 64], g, slack)
-                keys = [sum(math.comb(len(g), i) for i in range(t + 1)) for t in range(slack + 1)]
-                costs.append([0.0, *(PROBE_COST * keys[t] + n * share[t] * (1 if t == 0 else 2) for t in range(slack + 1))])
-            cost, ts = allocate(costs, slack - m + 1)
-            found.append((cost, [(g, t) for g, t in zip(groups, ts) if t >= 0]))
-        out.append(min(found, key=lambda x: x[0])[1])
-    return out
+    return plan(n, both, words, similarity)
 
 
 def star(nodes: np.ndarray, x: np.ndarray, limit: int, side: np.ndarray | None = None, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +270,12 @@ def fits(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
 
 
-def paired(start: np.ndarray, end: np.ndarray, x: np.ndarray, sizes: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+def bound(a: np.ndarray, b: np.ndarray, limit: int, loose: int) -> np.ndarray:
+    """Differing bits allowed: ``limit``, or ``loose`` where a set is short."""
+    return np.where(np.minimum(a, b) > SHORT, limit, loose)
+
+
+def paired(start: np.ndarray, end: np.ndarray, x: np.ndarray, sizes: np.ndarray, limit: int, loose: int, similarity: float) -> np.ndarray:
     """Which groups of rows (from ``start`` to ``end``) hold a pair of candidates; all groups at once, one distance between rows after the other."""
     found = np.zeros(len(start), dtype=bool)
     group = np.repeat(np.arange(len(start)), end - start)
@@ -205,7 +284,7 @@ def paired(start: np.ndarray, end: np.ndarray, x: np.ndarray, sizes: np.ndarray,
         some = (i + d < end[group]) & ~found[group]
         i, group = i[some], group[some]
         near = np.flatnonzero(fits(sizes[i], sizes[i + d], similarity))
-        near = near[np.bitwise_count(x[i[near]] ^ x[i[near] + d]).sum(axis=1) <= limit]
+        near = near[np.bitwise_count(x[i[near]] ^ x[i[near] + d]).sum(axis=1) <= bound(sizes[i[near]], sizes[i[near] + d], limit, loose)]
         found[group[near]] = True
     return found
 
@@ -219,22 +298,27 @@ def deal(nodes: np.ndarray, sizes: np.ndarray, room: int) -> list[np.ndarray]:
     return [np.concatenate(two) for two in combinations(blocks, 2)] or blocks
 
 
-def candidates(prints: DataFrame, similarity: float, words: int, slack: int, most: int) -> DataFrame:
-    """(list, node): every pair of candidates is in some list. ``prints``: (node long, fp binary), different sets."""
-    parts = [(64 * k, bits, t) for k, plan in enumerate(plans(prints, words, slack)) for bits, t in plan]
-    limit = limit_of(similarity, words)
+def candidates(prints: DataFrame, similarity: float, words: int, most: int) -> DataFrame:
+    """(list, node): every pair of candidates is in some list. ``prints``: (node long, fp binary, prefix array), different sets."""
+    parts = [(64 * k, bits, t) for k, plan in enumerate(plans(prints, words, similarity)) for bits, t in plan]
+    limit, loose = limit_of(similarity, words), short_limit(similarity, words)
     salts = np.arange(1, len(parts) + 1, dtype=np.uint64) * _P
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, _ = _matrix(b.column("fp"), words)
+            lists = b.column("prefix")
+            short, at = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(short).view(np.int64)), b.column("node").take(pa.array(at)), b.column("fp").take(pa.array(at))], names=["key", "node", "fp"])
+            x, sizes = _matrix(b.column("fp"), words)
+            b = b.filter(pa.array(sizes > SHORT))
+            x = x[sizes > SHORT]
             for p, (base, bits, t) in enumerate(parts):
                 values = x[:, base // 64] & np.uint64(sum(1 << v for v in bits))
                 for m in masks(bits, t):
                     key = mix((values ^ np.uint64(m)) + salts[p])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("node"), b.column("fp")], names=["key", "node", "fp"])
 
-    entered = prints.select("node", "fp").mapInArrow(enter, "key long, node long, fp binary")
+    entered = prints.select("node", "fp", "prefix").mapInArrow(enter, "key long, node long, fp binary")
     # keys with more than ``most`` fingerprints are few; Spark broadcasts their table if its size allows it, else shuffles
     large = stage(entered.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).withColumnRenamed("key", "__key"), "similar-large")
     rows = entered.join(large, F.col("key") == F.col("__key"), "left")
@@ -254,12 +338,16 @@ def candidates(prints: DataFrame, similarity: float, words: int, slack: int, mos
             two = np.asarray(batch.column("lo")) != np.asarray(batch.column("hi"))
             bulk = np.flatnonzero(np.diff(at) <= BULK)
             left = np.ones(len(two), dtype=bool)
-            left[bulk] = paired(at[bulk], at[bulk + 1], x, sizes, limit, similarity)
+            left[bulk] = paired(at[bulk], at[bulk + 1], x, sizes, limit, loose, similarity)
             names, members = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for k in np.flatnonzero(left):
                 some = slice(at[k], at[k + 1])
-                size = sizes[some]
-                a, b = star(nodes[some], x[some], limit, mine_[some] if two[k] else None, lambda i, j: fits(size[i], size[j], similarity))  # noqa: B023
+                size, fps = sizes[some], x[some]
+
+                def alike(i: int, j: np.ndarray, size=size, fps=fps) -> np.ndarray:
+                    return fits(size[i], size[j], similarity) & (np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1) <= bound(size[i], size[j], limit, loose))
+
+                a, b = star(nodes[some], fps, limit if size.min() > SHORT else loose, mine_[some] if two[k] else None, alike)
                 for root in np.unique(a):
                     group = np.sort(np.append(b[a == root], root))
                     for one in deal(group, size[np.argsort(nodes[some])][np.searchsorted(np.sort(nodes[some]), group)], ROOM):
@@ -282,7 +370,10 @@ def jaccard_star(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -
         some = others[out]
         if len(some):
             mark[flat[first[i] : first[i] + sizes[i]]] = True
-            common = np.array([np.count_nonzero(mark[flat[first[j] : first[j] + sizes[j]]]) for j in some])
+            if 16 * len(some) > len(sizes):
+                common = np.add.reduceat(mark[flat], first, dtype=np.int64)[some]
+            else:
+                common = np.array([np.count_nonzero(mark[flat[first[j] : first[j] + sizes[j]]]) for j in some])
             mark[flat[first[i] : first[i] + sizes[i]]] = False
             out[out] = common >= similarity * (sizes[i] + sizes[some] - common) - 1e-9
         return out
@@ -313,15 +404,16 @@ def similar_links(docs: DataFrame, lists: DataFrame, similarity: float, width: i
     return groups.select("rows").mapInArrow(verify, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS, slack: int = SLACK, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, component_id, component_size); linked texts have shingle sets with a Jaccard coefficient of at least ``similarity``.
 
     component_id is the smallest id reachable. Ids are integers and name one text each; null counts as the smallest. Null and empty
     texts are alike. Other columns are ignored; an empty input gives no rows.
     """
-    prints = stage(wide_prints(docs, width, words, id_col, text_col), "similar-prints")
-    unique = stage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-unique")
-    lists = stage(candidates(unique.select("node", "fp"), similarity, words, slack, most), "similar-lists")
+    words = words or words_for(docs.count(), similarity)[0]
+    prints = stage(wide_prints(docs, width, words, similarity, id_col, text_col), "similar-prints")
+    unique = stage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("n")), "similar-unique")
+    lists = stage(candidates(unique.select("node", "fp", "prefix"), similarity, words, most), "similar-lists")
     labels = components(similar_links(docs, lists, similarity, width, id_col, text_col))
     tagged = unique.join(labels, "node", "left").select("digest", "n", F.coalesce("label", "node").alias("label"))
     sizes = stage(tagged.groupBy("label").agg(F.sum("n").alias("component_size"), F.count("*").alias("m")), "similar-components")
