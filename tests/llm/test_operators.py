@@ -94,7 +94,7 @@ def test_exact_sql(spark, sf_dir):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name, small):
-    e = WordEncoder(tokenizer_path(name), cached_words=500)
+    e = WordEncoder(tokenizer_path(name), cache_bytes=100_000)
     for _, t in [*small[:60], *ODD]:
         ids = e.tok.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(e.encode_bytes(t or ""), dtype="<u4").tolist() == ids
@@ -396,7 +396,7 @@ def test_quality_calibration(spark):
             labels.append((i, 0 if bad else 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    counts = stage(quality.features(docs), "t")
+    counts = stage(quality.features(docs, keyed=True), "t")
     cuts = quality.calibrate(counts, lab)
     assert set(cuts) == {"en", "de"}
     kept = {r.doc_id: r.kept for r in quality.verdict(counts, cuts).collect()}

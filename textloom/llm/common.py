@@ -2,6 +2,7 @@
 
 * ``stage`` cuts lineage: it writes a table into the folder that the session names in
   ``spark.checkpoint.dir`` (shared by all executors) and reads it back.
+* ``lean`` bounds the Arrow batches that Python tasks get by bytes, not by rows alone.
 * ``attach`` joins rows to one-row-per-key group results without a hot key in one task.
 * ``bits_of``, ``has_bit`` and ``test_bits`` build and probe a bitmap of fixed size.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,9 @@ HEAVY = 1000
 #: log2 of the bits of a bitmap: 2**24 bits are 512 rows of 4 KiB, 2 MiB in all.
 BITMAP_LOG2 = 24
 
+#: Bytes of an Arrow batch: rows hold whole texts, so a bound on rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
@@ -40,6 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, whose Arrow batches (either way) get ``BATCH_BYTES`` at most, or one row; a lower setting of the session stays."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
 
@@ -68,23 +83,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, heavy: int = HEAVY) -> DataFrame:
     """Left join ``rows`` to ``groups`` (one row a key; ``size`` is its row count).
 
-    The ``heavy`` largest groups are broadcast: at most ``heavy`` rows, whatever the input. Any
+    The ``heavy`` largest groups are broadcast, and so is the group of the null key, if there is one: at most
+    ``heavy`` + 1 rows, whatever the input; the caller keeps the payload of a row small. Any
     other group holds fewer than 1/heavy of the rows, so the shuffled join of the rest is even;
-    rows already matched are dealt by ``spread`` there. Null keys match null keys. ``groups``
+    rows already matched, and those with a null key, are dealt by ``spread`` there. Null keys match null keys. ``groups``
     should be a staged table, since it is read twice.
     """
     payload = [c for c in groups.columns if c not in key]
-    top = groups.orderBy(F.desc(size), *key).limit(heavy)
+    null = lambda df: reduce(and_, [df[c].isNull() for c in key])
+    top = groups.orderBy(F.desc(null(groups)), F.desc(size), *key).limit(heavy + 1)
     top = top.select(*[F.col(c).alias(f"__hk_{c}") for c in key], *[F.col(c).alias(f"__hp_{c}") for c in payload], F.lit(True).alias("__hot"))
     on_top = [F.col(c).eqNullSafe(F.col(f"__hk_{c}")) for c in key]
-    out = rows.join(F.broadcast(top), on_top, "left")
-    out = out.withColumn("__salt", F.when(F.col("__hot"), F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(0)).cast("long"))
+    out = rows.withColumn("__null", null(rows)).join(F.broadcast(top), on_top, "left")
+    dealt = F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(1 << 20))
+    out = out.withColumn("__salt", F.when(F.col("__hot") | F.col("__null"), dealt).otherwise(F.lit(0)).cast("long"))
     rest = groups.select(*[F.col(c).alias(f"__rk_{c}") for c in key], *[F.col(c).alias(f"__rp_{c}") for c in payload], F.lit(0).cast("long").alias("__rsalt"))
     on_rest = [F.col(c).eqNullSafe(F.col(f"__rk_{c}")) for c in key] + [F.col("__salt") == F.col("__rsalt")]
     out = out.join(rest, on_rest, "left")
     return out.select(*rows.columns, *[F.when(F.col("__hot"), F.col(f"__hp_{c}")).otherwise(F.col(f"__rp_{c}")).alias(c) for c in payload])
 
 
+def bitmap_log2(rows: int) -> int:
+    """Bits for so many keys: eight for each, 2**24 (2 MiB) at least and 2**29 (64 MiB) at most."""
+    return min(29, max(BITMAP_LOG2, (8 * max(rows, 1) - 1).bit_length()))
+
+
 def _slot(key: Column, log2: int = BITMAP_LOG2) -> Column:
     return F.pmod(key, F.lit(1 << log2)).cast("long") + 1
 
@@ -95,9 +118,9 @@ def bits_of(keys: DataFrame, key: str, log2: int = BITMAP_LOG2) -> DataFrame:
     return slots.groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
 
 
-def repeated_bits(keys: DataFrame, key: str) -> DataFrame:
+def repeated_bits(keys: DataFrame, key: str, log2: int = BITMAP_LOG2) -> DataFrame:
     """The bitmap of the values that occur twice or more."""
-    return bits_of(keys.groupBy(key).count().filter("count > 1"), key)
+    return bits_of(keys.groupBy(key).count().filter("count > 1"), key, log2)
 
 
 def bitmap_bytes(bitmap: DataFrame, log2: int) -> np.ndarray:
@@ -114,9 +137,9 @@ def test_bits(bits: np.ndarray, keys: np.ndarray, log2: int) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def has_bit(rows: DataFrame, bitmap: DataFrame, key: str, flag: str) -> DataFrame:
-    """Add the boolean ``flag``: whether ``key``'s slot is set. The bitmap has 512 rows of 4 KiB at most, so it is broadcast."""
-    slot = _slot(F.col(key))
+def has_bit(rows: DataFrame, bitmap: DataFrame, key: str, flag: str, log2: int = BITMAP_LOG2) -> DataFrame:
+    """Add the boolean ``flag``: whether ``key``'s slot is set. The bitmap has 2**(log2 - 15) rows of 4 KiB at most, so it is broadcast."""
+    slot = _slot(F.col(key), log2)
     out = rows.withColumn("__at", F.bitmap_bit_position(slot)).join(F.broadcast(bitmap), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left")
     bit = F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1")
     return out.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__at", "__bucket", "__bits")

@@ -1,7 +1,7 @@
 """Token-id output: flat unsigned integer files with 64-bit document offsets.
 
 ``write_tokens`` orders documents by id (range partitioning, so no task holds all), and every task
-streams its partition to three files in the shared folder:
+streams its partition, batch by batch, to three files in the shared folder:
 
 * ``<n>.bin``: ids, unsigned 16 bit little-endian if the vocabulary fits, else 32 bit;
 * ``<n>.idx``: document offsets in tokens, 64-bit little-endian, one more than documents;
@@ -17,17 +17,21 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh_path, table
+from textloom.llm.common import fresh_path, lean, table
 from textloom.llm.tokens import encoder, tokenizer_path
 
 NULL_ID = -(2**63)
+KINDS = ("bin", "idx", "doc")
 
 
 def _fs(root: str):
@@ -46,29 +50,32 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col:
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         fs, base = _fs(out)
         fs.create_dir(base, recursive=True)
         name, tmp = f"{base}/{ctx.partitionId():08d}", f"{base}/.{ctx.partitionId():08d}-{ctx.taskAttemptId()}"
-        enc, end, ends, ids = encoder(path), int(end_id).to_bytes(4, "little"), [0], []
-        with fs.open_output_stream(f"{tmp}.bin") as f:
-            for pdf in batches:
-                ids += [NULL_ID if pd.isna(i) else int(i) for i in pdf["doc_id"]]
-                for text in pdf["text"]:
-                    tokens = np.frombuffer(enc.encode_bytes(text) + end, dtype="<u4")
-                    f.write(tokens.astype(dtype).tobytes())
-                    ends.append(ends[-1] + len(tokens))
-        for kind, values in (("idx", ends), ("doc", ids)):
-            with fs.open_output_stream(f"{tmp}.{kind}") as f:
-                f.write(np.array(values, dtype="<i8").tobytes())
-        for kind in ("bin", "idx", "doc"):
+        enc, end, docs_done, at = encoder(path), int(end_id).to_bytes(4, "little"), 0, 0
+        with ExitStack() as files:
+            bin_, idx, doc = (files.enter_context(fs.open_output_stream(f"{tmp}.{kind}")) for kind in KINDS)
+            idx.write(np.zeros(1, "<i8").tobytes())
+            for batch in batches:
+                ends = np.empty(len(batch), "<i8")
+                for i, text in enumerate(batch.column("text")):  # one text at a time becomes a Python string
+                    tokens = np.frombuffer(enc.encode_bytes(text.as_py()) + end, dtype="<u4")
+                    bin_.write(tokens.astype(dtype).tobytes())
+                    at += len(tokens)
+                    ends[i] = at
+                idx.write(ends.tobytes())
+                doc.write(pc.fill_null(batch.column("doc_id"), NULL_ID).to_numpy().astype("<i8").tobytes())
+                docs_done += len(batch)
+        for kind in KINDS:
             fs.move(f"{tmp}.{kind}", f"{name}.{kind}")
-        yield pd.DataFrame({"part": [ctx.partitionId()], "docs": [len(ids)], "tokens": [ends[-1]]})
+        yield pa.RecordBatch.from_pydict({"part": [ctx.partitionId()], "docs": [docs_done], "tokens": [at]})
 
-    counts = rows.mapInPandas(write, "part long, docs long, tokens long").filter("docs > 0").collect()  # a row per partition
+    counts = lean(rows).mapInArrow(write, "part long, docs long, tokens long").filter("docs > 0").collect()  # a row per partition
     counts = sorted(tuple(r) for r in counts)
     bases = np.cumsum([0, *(t for _, _, t in counts)]).tolist()
     manifest = {"dtype": dtype, "parts": [[p, d, t, b] for (p, d, t), b in zip(counts, bases)]}

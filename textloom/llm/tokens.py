@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
 from array import array
 
 import numpy as np
@@ -43,8 +44,14 @@ def _plain(pattern: str) -> re.Pattern:
     return re.compile(out)
 
 
+#: Bytes that a dictionary takes for an entry beside its key and value, at most.
+ENTRY = 160
+
+
 class WordEncoder:
-    def __init__(self, path: str, cached_words: int = 400_000):
+    """Keeps the ids of words in at most ``cache_bytes``; once they are used up, it starts anew. Very long words aren't kept."""
+
+    def __init__(self, path: str, cache_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -54,7 +61,7 @@ class WordEncoder:
         self.lower, self.pattern = self._rules(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.table = _byte_chars()
-        self.limit = cached_words
+        self.limit, self.held = cache_bytes, 0
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -74,9 +81,13 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8").decode("latin-1").translate(self.table)
         ids = array("I", [t.id for t in self.tok.model.tokenize(raw)]).tobytes()
-        if len(self.words) >= self.limit:
+        cost = sys.getsizeof(word) + sys.getsizeof(ids) + ENTRY
+        if self.held + cost > self.limit:
             self.words.clear()
-        self.words[word] = ids
+            self.held = 0
+        if cost <= self.limit // 64:
+            self.words[word] = ids
+            self.held += cost
         return ids
 
     def encode_bytes(self, text: str) -> bytes:
