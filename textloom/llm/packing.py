@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stage, table
+from textloom.llm.common import lean, stage, table
 from textloom.llm.tokens import encoder, tokenizer_path
 
 END_ID = 1
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long, open boolean"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long, used long, open boolean"
 
 
 class Packer:
@@ -86,18 +86,23 @@ def pack_pieces(docs: DataFrame, path: str, size: int, windows: int, min_cut: in
                 ids = enc.encode_bytes(text.as_py()) + end
                 total, at = len(ids) // 4, 0
                 for length, w, offset in packer.place(total):
-                    held.setdefault(w, []).append((doc_id, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), total, part, w, offset, False))
+                    held.setdefault(w, []).append((doc_id, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), total, part, w, offset))
                     at += length
             for w in packer.closed:
-                done += held.pop(w)
+                done += _closed(held.pop(w), False)
             packer.closed.clear()
             if done:
                 yield _batch(done)
-        rest = [(*p[:-1], True) for w in sorted(held) for p in held[w]]
+        rest = [p for w in sorted(held) for p in _closed(held[w], True)]
         if rest:
             yield _batch(rest)
 
-    return docs.mapInArrow(run, PIECE)
+    return lean(docs).mapInArrow(run, PIECE)
+
+
+def _closed(pieces: list[tuple], still_open: bool) -> list[tuple]:
+    used = sum(p[2] for p in pieces)
+    return [(*p, used, still_open) for p in pieces]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -119,6 +124,7 @@ def merge_round(left: DataFrame, size: int, windows: int, fan: int) -> DataFrame
         spots = [packer.place(int(n))[0] for n in pdf["length"]]
         open_now = {w for _, w in sorted(packer.gaps, reverse=True)[:windows]}  # the emptiest stay open
         out = pdf.assign(part=group, window=[w for _, w, _ in spots], offset=[o for _, _, o in spots])
+        out["used"] = out.groupby("window")["length"].transform("sum")
         out["open"] = out["window"].isin(open_now)
         return out
 
@@ -129,11 +135,12 @@ def merge_round(left: DataFrame, size: int, windows: int, fan: int) -> DataFrame
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, windows: int = 64, min_cut: int = 64, end_id: int = END_ID, fan: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, used, padded_length).
 
     A null text counts as empty (the end id alone). A document that occurs twice is packed twice.
-    Null ids stay null. Other input columns are ignored. An empty input gives no rows. A window
-    that isn't full is to be padded to ``size``.
+    Null ids stay null. Other input columns are ignored. An empty input gives no rows. ``used``: tokens of the
+    sequence; ``padded_length``: what it is padded to, ``size``, or ``used`` itself where that is a power of two. Which pieces share a sequence, and the sequence ids, follow the
+    partitions of the input and the order of their rows; the contract's promises hold for any.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = stage(pack_pieces(rows, path, size, windows, min_cut, end_id), "pack-pieces")
@@ -155,7 +162,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, windows: int = 64, min_cu
         out = out.unionByName(more)
     # round (6 bits), partition (25 bits) and window (32 bits) name a window
     sequence = F.expr("shiftleft(cast(round as long), 57) + shiftleft(part, 32) + window")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset")
+    padded = F.when(F.bit_count("used") == 1, F.col("used")).otherwise(F.lit(size).cast("long"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset", "used", padded.alias("padded_length"))
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
