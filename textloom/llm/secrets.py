@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, fresh_path, stage, table
+from textloom.llm.common import HEAVY, bitmap_log2, bits_of, fresh_path, has_bit, stage, table
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
+#: Paths of one blob that are joined to its findings in one task, on average.
+SHARE = 1000
 SPANS = "array<struct<start:long,ord:int,kind:string,end:long,rule:string>>"
 
 
@@ -73,37 +75,54 @@ def scan(paths: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """One row per input row: (id, blob, spans), spans by start, then by the order of ``rules``.
 
     ``ledger``: folder of the ledger, a Parquet table (blob, scanned, found); a first scan creates it, later scans
-    append what they find. Without it, a new one is made. Null texts count as empty. Repeated rows
+    append what they find. Entries that two scans made of one blob at the same time count once. Without it, a new one is made. Null texts count as empty. Repeated rows
     are reported as often as they occur; other columns are ignored; an empty input gives no rows.
+
+    One text per unseen blob is scanned: a bitmap of the unseen blobs sorts out the rest where the texts are, and copies
+    combine before the shuffle. Findings are joined back by blob; only blobs with findings take part, and what is broadcast
+    of the most frequent of these is a hash and a count.
     """
     spark = paths.sparkSession
     ledger = ledger or fresh_path(spark, "secret-ledger")
     names = [r.name for r in rules]
     base = paths.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    blob = F.sha2(F.col("__text").cast("binary"), 256)
-    keys = stage(base.select("__id", blob.alias("__blob")), "secret-keys")
-    blobs = keys.groupBy("__blob").agg(F.min("__id").alias("__rep"), F.count("*").alias("__n"))
-    known = _ledger(spark, ledger)
+    base = base.withColumn("__blob", F.sha2(F.col("__text").cast("binary"), 256))
+    keys = stage(base.select("__id", "__blob", F.xxhash64(F.monotonically_increasing_id()).alias("__row")), "secret-keys")
+    blobs = stage(keys.groupBy("__blob").agg(F.count("*").alias("__n")), "secret-blobs")
+    known, texts = _ledger(spark, ledger), base
+    every = F.lit(names).cast("array<string>")
     if known is None:
-        todo = blobs.withColumn("__todo", F.lit(names).cast("array<string>"))
+        texts = base.groupBy("__blob").agg(F.first("__text").alias("__text")).withColumn("__todo", every)
     else:
         seen = known.groupBy("__blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("__seen"))
-        todo = blobs.join(seen, "__blob", "left").withColumn("__todo", F.array_except(F.lit(names).cast("array<string>"), F.coalesce("__seen", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("__todo") > 0)
-    todo = todo.select("__blob", "__rep", "__todo")
-    texts = base.withColumn("__blob", blob)
-    texts = texts.join(todo, (texts["__blob"] == todo["__blob"]) & texts["__id"].eqNullSafe(todo["__rep"])).select(texts["__blob"], "__text", "__todo")
+        todo = blobs.join(seen, "__blob", "left").select("__blob", F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>"))).alias("__todo"))
+        todo = stage(todo.filter(F.size("__todo") > 0), "secret-todo")
+        log2 = bitmap_log2(todo.count())
+        bits = stage(bits_of(todo.select(F.xxhash64("__blob").alias("__key")), "__key", log2), "secret-bits")
+        texts = has_bit(base.withColumn("__key", F.xxhash64("__blob")), bits, "__key", "__unseen", log2).filter("__unseen")
+        texts = texts.groupBy("__blob").agg(F.first("__text").alias("__text")).join(todo, "__blob")
     none = F.array().cast(SPANS)
     found = F.concat(*[F.when(F.array_contains("__todo", r.name), find_spans(F.col("__text"), r, k)).otherwise(none) for k, r in enumerate(rules)])
-    entries = texts.select("__blob", F.col("__todo").alias("scanned"), found.alias("found"))
-    # a blob whose chosen row is repeated is scanned twice and entered once
-    entries = entries.groupBy("__blob").agg(F.first("scanned").alias("scanned"), F.first("found").alias("found"))
-    entries.write.mode("append").parquet(ledger)
+    texts.select("__blob", F.col("__todo").alias("scanned"), found.alias("found")).write.mode("append").parquet(ledger)
     now = _ledger(spark, ledger)
-    groups = now.select("__blob", F.filter("found", lambda s: s["rule"].isin(names)).alias("found")).groupBy("__blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
+    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+    groups = now.select("__blob", F.filter("found", lambda s: s["rule"].isin(names)).alias("found")).filter(F.size("found") > 0).groupBy("__blob").agg(spans.alias("spans"))
     groups = stage(blobs.join(groups, "__blob").select("__blob", "__n", "spans"), "secret-groups")
-    out = attach(keys, groups, ["__blob"], "__n", F.col("__id"))
-    return out.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), "spans")
+    return _spread(keys, groups).select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("spans", none).alias("spans"))
+
+
+def _spread(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """``keys`` with the spans of their blobs. A blob of many paths is entered ``ceil(n / SHARE)`` times, and its paths choose one of these by their number.
+
+    So no task holds more than some ``SHARE`` paths of one blob, and what is broadcast of a crowded blob is a hash and a count.
+    """
+    crowded = groups.orderBy(F.desc("__n"), "__blob").limit(HEAVY).filter(F.col("__n") > SHARE)
+    crowded = crowded.select(F.col("__blob").alias("__key"), F.ceil(F.col("__n") / SHARE).cast("long").alias("__shares"))
+    dealt = F.pmod(F.col("__row"), F.coalesce("__shares", F.lit(1)).cast("long"))
+    rows = keys.join(F.broadcast(crowded), F.col("__blob") == F.col("__key"), "left").select("__id", "__blob", dealt.alias("__share"))
+    copies = groups.join(F.broadcast(crowded), F.col("__blob") == F.col("__key"), "left")
+    copies = copies.select(F.col("__blob").alias("__key"), "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__shares", F.lit(1)).cast("long") - 1)).alias("__of"))
+    return rows.join(copies, (F.col("__blob") == F.col("__key")) & (F.col("__share") == F.col("__of")), "left")
 
 
 def _ledger(spark, path: str) -> DataFrame | None:
