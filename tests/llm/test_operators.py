@@ -272,12 +272,72 @@ def test_similar_documents(spark, empty):
             for at in rng.sample(range(300), 3):
                 v[at] = "new"
             rows.append((100 + 10 * i + k, " ".join(v).upper()))
-    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=16).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
     right = sum(got[i] == (i - 100) // 10 for i in got if i >= 100)
     assert right >= 87 and all(got[i] == i for i in range(40))
-    assert similar.similar_documents(empty).count() == 0
+    assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
     odd_rows = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "y z")], "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in similar.similar_documents(odd_rows).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(odd_rows, similarity=0.8).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+
+
+def shingle_set(text, width=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def jaccard_components(rows, least=0.8):
+    """Root of each row, over all pairs of rows; empty sets are alike."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b) > 0:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def check_similar(rows, got):
+    """The components and ids of the operator are those of all pairs; one row of each is kept."""
+    roots = jaccard_components(rows)
+    groups = defaultdict(list)
+    for (i, _), r in zip(rows, roots):
+        groups[r].append(i)
+    want = Counter((i, min((x for x in groups[r] if x is not None), default=None), len(groups[r])) for (i, _), r in zip(rows, roots))
+    assert Counter((r.doc_id, r.component_id, r.component_size) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups)
+
+
+@pytest.mark.parametrize("most", [16, 3000])
+def test_similar_crowded_family(spark, monkeypatch, most):
+    """A large family of near copies beside others that share some of its keys; with small tasks, the family goes through its hub."""
+    monkeypatch.setattr(similar, "MOST", most)
+    rng, rows = random.Random(8), []
+    base = [f"b{rng.randrange(9000)}" for _ in range(300)]
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(300), rng.choice([1, 2, 3]) if k < 110 else 20):  # up to 3 changes: 0.87 to those with one; 20: 0.5 to any
+            w[at] = f"n{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"o{rng.randrange(400)}" for _ in range(60))) for k in range(60)]
+    rows += [(None, rows[5][1].upper()), (5, rows[5][1]), (2000, None), (2001, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("row", F.monotonically_increasing_id())
+    check_similar(rows, simhash.near_duplicates(df, similarity=0.8, tag_col="row").collect())
+
+
+def test_one_of_each_keeps_texts_apart(spark):
+    """Rows that share an id or have none are told apart by their texts: no text goes without one that stands for it."""
+    a, b, c = ([f"{x}{i}" for i in range(100)] for x in "abc")
+    rows = [(None, a), (None, b), (5, [*a, "more"]), (6, c), (6, [*b, "more"]), (7, [*c, "more"]), (7, [*c, "more"])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").withColumn("__tag", F.lit("x")).withColumn("kept", F.lit(1))
+    got = simhash.one_of_each(df).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in got) == [(5, "a"), (6, "b"), (6, "c")] and set(got[0].asDict()) == {"doc_id", "text", "__tag", "kept"}
+    assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
 def test_star_blocks_meet():
@@ -323,6 +383,23 @@ def test_substring_odd(odd, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def check_factors(rows, got, length):
+    """Each factor is at least ``length`` words, equals its source, which lies earlier, and overlaps no other; covered words are those of factors or within a window of one."""
+    words = {i: WORD.findall(t or "") for i, t in rows}
+    n = 0
+    for r in got:
+        w, end = words[r.doc_id], 0
+        inside = {k for x in r.spans for k in range(x.start, x.end)}
+        for f in r.factors:
+            n += 1
+            source = words[f.doc]
+            assert f.length >= length and f.start >= end and (f.doc, f["from"]) < (r.doc_id, f.start)
+            assert w[f.start : f.start + f.length] == source[f["from"] : f["from"] + f.length]
+            end = f.start + f.length
+            assert inside >= set(range(f.start, end))
+    return n
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substring_random(spark, seed):
     """Few words and shared passages, so that windows differ by single words and overlap."""
@@ -330,8 +407,29 @@ def test_substring_random(spark, seed):
     passages = [[rng.choice("abc") for _ in range(rng.randint(5, 40))] for _ in range(6)]
     rows = [(i, " ".join(x for _ in range(rng.randint(0, 6)) for x in (rng.choice(passages) if rng.random() < 0.7 else [rng.choice("abcde")]))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df, length=12, gram=4).collect())
-    assert got == substring_brute(rows, 12)
+    out = substring.substring_dedup(df, length=12, gram=4).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == substring_brute(rows, 12)
+    assert check_factors(rows, out, 12) > 50
+
+
+def test_substring_parse_is_greedy():
+    """Two runs that overlap: the first goes on to its end, the second begins there; a rest shorter than a window is no factor."""
+    at = np.array([3, 4, 5, 6, 7, 8, 20])
+    doc, source = np.array([1, 1, 1, 2, 2, 2, 1]), np.array([0, 1, 2, 50, 51, 52, 9])
+    got = substring.parse(at, np.zeros(7, int), doc, source, 4)
+    assert got == [(0, 3, 6, 1, 0), (0, 20, 4, 1, 9)]
+    assert substring.parse(np.arange(3, 14), np.zeros(11, int), np.repeat([1, 2], [2, 9]), np.arange(11), 4) == [(0, 3, 5, 1, 0), (0, 8, 9, 2, 5)]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """Words of a text longer than a slice get the same numbers part by part."""
+    from textloom.llm import words
+
+    data = np.frombuffer(" ".join(["x" * 70, *(f"w{i}" for i in range(2000)), "y" * 900]).encode(), np.uint8)
+    starts, ends, _ = words.bounds(data, np.array([0, len(data)]))
+    whole = words.word_hashes(data, starts, ends)
+    monkeypatch.setattr(words, "SLICE", 64)
+    assert (words.word_hashes(data, starts, ends) == whole).all()
 
 
 def test_substring_sql(spark, sf_dir):
@@ -342,9 +440,12 @@ def test_substring_sql(spark, sf_dir):
 
 
 def test_substring_slices(monkeypatch, spark, small):
-    monkeypatch.setattr(substring, "SLICE", 2000)
     import pyarrow as pa
 
+    from textloom.llm import words
+
+    monkeypatch.setattr(words, "SLICE", 2000)
+
     texts = pa.array([t for _, t in small[:50]] + ["", "a"])
     seen = [(a, b) for a, b, *_ in substring.slices(texts)]
     assert seen[0][0] == 0 and seen[-1][1] == len(texts) and all(x[1] == y[0] for x, y in zip(seen, seen[1:]))
@@ -579,7 +680,7 @@ def test_similar_recall_does_not_fall(n, even):
     p = np.tile([even, 0.5], 32 * words)
     both = np.concatenate([np.outer(x, x) * (1 - np.eye(64)) + np.diag(x) for x in p.reshape(words, 64)]) * n
     found = similar.recall(0.8, similar.plan(n, both, words, 0.8))
-    assert found * similar.within(64 * words, similar.share_of_bits(0.8), similar.limit_of(0.8, words)) >= 0.99
+    assert found * similar.within(64 * similar.CARRIED, similar.share_of_bits(0.8), similar.limit_of(0.8, similar.CARRIED)) >= 0.99
 
 
 def test_similar_short_texts(spark):
@@ -589,5 +690,5 @@ def test_similar_short_texts(spark):
         n = 4 + k % 29  # shingles of the smaller one; the other has up to a quarter more
         words = [f"w{k}x{i}" for i in range(n + 4 + n // 4)]
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4]))]
-    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
     assert all(got[2 * k + 1] == 2 * k for k in range(300))

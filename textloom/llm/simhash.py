@@ -1,4 +1,7 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle.
+"""SimHash near-duplicates by the generalised pigeonhole principle: one operator, ``near_duplicates``, with two notions of a link.
+
+With ``distance``, 64-bit fingerprints link that differ in so few bits (below). With ``similarity``, texts link whose sets of
+shingles have so large a Jaccard coefficient: wider fingerprints are probed by the same principle and candidates verified exactly (``similar``).
 
 The bits of the fingerprints are grouped into partitions, correlated bits together. With m
 partitions and thresholds T_i that add up to ``distance - m + 1`` (-1: the partition isn't looked at),
@@ -18,23 +21,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, attach, stage, table
+from textloom.llm import similar
+from textloom.llm.common import WORD, attach, bitmap_log2, bits_of, has_bit, lean, stage, table
 from textloom.llm.components import components
+from textloom.llm.pigeonhole import BITS, PROBE_COST, agreement, allocate, bit_counts, group_bits, masks
 
 SEED = 42
-BITS = 64
 #: Fingerprints under one key that are still paired off.
 PAIRED = 24
-#: A probe (a row that is shuffled) costs as much as verifying so many candidates.
-PROBE_COST = 40.0
 
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORD = re.compile(WORD)
@@ -65,95 +68,23 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long); null texts count as empty."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"row": pdf["row"], "fp": np.array([signed(fingerprint(t, width)) for t in pdf["text"]], dtype=np.int64)})
-
-    rows = docs.select(F.struct(F.col(id_col).cast("string").alias("id")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-    return rows.mapInPandas(run, "row struct<id:string>, fp long").select(F.col("row.id").cast(kind).alias("doc_id"), "fp")
+def fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (doc_id, tag, text), the text replaced by its fingerprint (fp long)."""
+    kind = dict(rows.dtypes)["doc_id"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([signed(fingerprint(t.as_py(), width)) for t in b.column("text")], dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tag": b.column("tag"), "fp": fps})
 
-# ---- the plan: partitions and thresholds ----
+    return lean(rows).mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
-def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """(number of fingerprints, 64 x 64 counts of bits set together), over all of them: 4097 numbers, whatever the input."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, both = 0, np.zeros((BITS, BITS))
-        for pdf in batches:
-            bits = np.unpackbits(pdf["fp"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            n, both = n + len(bits), both + bits.T @ bits
-        yield pd.DataFrame({"i": np.arange(BITS), "n": n, "row": list(both)})
-
-    rows = prints.select("fp").mapInPandas(run, "i int, n double, row array<double>")
-    flat = rows.select("i", "n", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
-    both = np.zeros((BITS, BITS))
-    for r in flat:
-        both[r["i"], r["j"]] = r["x"]
-    return (int(flat[0]["n"]) if flat else 0), both
-
-
-def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """m groups of near equal size; each grows from the free bit that is least balanced by the bits most correlated with it."""
-    p = np.diag(both) / max(n, 1)
-    sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-    corr = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
-    free, groups = set(range(BITS)), []
-    for k in range(m):
-        width = BITS // m + (k < BITS % m)
-        group = [min(free, key=lambda b: (-abs(p[b] - 0.5), b))]
-        free.discard(group[0])
-        while len(group) < width:
-            nxt = max(free, key=lambda b: (corr[b, group].mean(), -b))
-            group.append(nxt)
-            free.discard(nxt)
-        groups.append(sorted(group))
-    return groups
-
-
-def agreement(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that differ in at most t bits of the group, t = 0..most.
-
-    A chain of bits, each dependent on the one before (from the pair counts), then a dynamic program over the number of differing bits.
-    """
-    p = np.clip(np.diag(both) / max(n, 1), 1e-6, 1 - 1e-6)
-    dist, prev = np.array([1.0]), None
-    for b in group:
-        if prev is None:
-            differ = 2 * p[b] * (1 - p[b])
-        else:  # average over the value of the bit before
-            j = both[prev, b] / max(n, 1)
-            one, zero = np.clip(j / p[prev], 0, 1), np.clip((p[b] - j) / (1 - p[prev]), 0, 1)
-            differ = p[prev] * 2 * one * (1 - one) + (1 - p[prev]) * 2 * zero * (1 - zero)
-            differ = max(differ, 1e-4)
-        dist = np.convolve(dist, [1 - differ, differ])
-        prev = b
-    return np.cumsum(dist)[: most + 1].tolist()
-
-
-def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds that add up to ``total`` at the least cost; costs[i][t + 1] is partition i's cost at threshold t, t from -1."""
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in costs:
-        nxt: dict[int, tuple[float, list[int]]] = {}
-        for s, (c, ts) in best.items():
-            for k, cost in enumerate(row):
-                x = (c + cost, [*ts, k - 1])
-                if s + k - 1 not in nxt or x < nxt[s + k - 1]:
-                    nxt[s + k - 1] = x
-        best = nxt
-    return best[total]
+# ---- the plan ----
 
 
 def plan(prints: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of the partitions that are looked at."""
-    from math import comb
-
     n, both = bit_counts(prints)
     found = []
     for m in range(1, distance + 3):
@@ -170,11 +101,6 @@ def plan(prints: DataFrame, distance: int) -> list[tuple[list[int], int]]:
 # ---- probing and verifying ----
 
 
-def masks(bits: list[int], most: int) -> list[int]:
-    """All bit masks with at most ``most`` of ``bits``."""
-    return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)]
-
-
 def _u(column: pd.Series) -> np.ndarray:
     return column.to_numpy(np.int64).view(np.uint64)
 
@@ -235,27 +161,58 @@ def links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> DataFra
     return verified.union(chained).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, fp, component_id, component_size).
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """One row per input row: (doc_id, component_id, component_size), with ``fp`` if linked by ``distance``, with ``tag`` and ``kept`` if ``tag_col`` is given.
 
-    Rows whose fingerprints differ in at most ``distance`` (0 or 2) bits are linked; component_id is the
-    smallest id reachable. Words are ``WORD`` runs after lower-casing A-Z. Null and empty texts have
-    fingerprint 0 and link like any other. Repeated rows each get a row; null ids can't be a component's id
-    unless all its ids are null. Other columns are ignored; an empty input gives no rows.
+    Rows are linked whose fingerprints of ``width``-word shingles differ in at most ``distance`` (0 or 2) bits, or, if ``similarity`` is given, whose sets
+    of shingles have at least that Jaccard coefficient. component_id is the smallest id reachable. Words are ``WORD`` runs after lower-casing
+    A-Z; shorter texts are one shingle. Null and empty texts are alike and link like any other; texts are taken whole. Rows are told apart by
+    their texts, so rows that share an id, or have none, are linked by what they say; a null id is a component's only if it has no other, and repeated
+    rows each get a row. ``tag_col`` names a long that differs in all rows: ``kept`` is then true for one row of each component, that of the smallest id
+    (ties: the smallest tag). Other columns are ignored, so their names can't clash; an empty input gives no rows.
     """
     if distance not in (0, 2):
         raise ValueError("distance must be 0 or 2: the centres of crowded keys are exact for even distances")
-    prints = stage(fingerprints(docs, width, id_col, text_col), "simhash-prints")
-    unique = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-unique")
-    if distance:
-        labels = components(links(unique, distance)).withColumnRenamed("node", "fp")
-        tagged = unique.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    tag = F.col(tag_col).cast("long") if tag_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("best")
+    if similarity is None:
+        key, prints = "fp", stage(fingerprints(rows, width), "simhash-prints")
+        unique = stage(prints.groupBy("fp").agg(best, F.count("*").alias("n")).withColumn("node", F.col("fp")), "simhash-unique")
+        edges = links(unique, distance) if distance else None
+    else:
+        words = similar.words_for(docs.count(), similarity)[0]
+        key, prints = "digest", stage(similar.wide_prints(rows, width, words, similarity), "simhash-prints")
+        unique = prints.groupBy("digest").agg(best, F.count("*").alias("n"), *[F.min_by(c, "mark").alias(c) for c in ("fp", "prefix")], F.min("mark").alias("mark"))
+        unique = stage(unique.withColumn("node", F.monotonically_increasing_id()), "simhash-unique")
+        edges = similar.links(rows, unique, similarity, width, words, similar.MOST)
+    tagged = unique.select(key, "node", "best", "n")
+    if edges is None:
+        tagged = tagged.withColumn("label", F.col("node"))
     else:
-        tagged = unique.withColumn("label", F.col("fp"))
+        tagged = tagged.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     tagged = stage(tagged, "simhash-labels")
-    comps = stage(tagged.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("m")), "simhash-comps")
-    named = stage(attach(tagged, comps, ["label"], "m", F.col("fp")).select("fp", "n", "component_id", "component_size"), "simhash-named")
-    return attach(prints, named, ["fp"], "n", F.col("doc_id")).select("doc_id", "fp", "component_id", "component_size")
+    comps = stage(tagged.groupBy("label").agg(F.min("best").alias("first"), F.sum("n").alias("component_size"), F.count("*").alias("m")), "simhash-comps")
+    named = stage(attach(tagged, comps, ["label"], "m", F.col("node")).select(key, "n", "first", "component_size"), "simhash-named")
+    out = attach(prints.select("doc_id", "tag", key), named, [key], "n", F.struct("doc_id", "tag"))
+    more = [F.col("tag"), (F.col("tag") == F.col("first.tag")).alias("kept")] if tag_col else []
+    return out.select("doc_id", *(["fp"] if similarity is None else []), F.col("first.doc_id").alias("component_id"), "component_size", *more)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, one of each component, all columns unchanged.
+
+    Rows that stay aren't shuffled: a bitmap of those that go (64 MiB at most) tells most of them apart.
+    """
+    tagged = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("tag")), "simhash-tagged")
+    texts = tagged.select(F.col("whole")[id_col].alias("id"), F.col("whole")[text_col].alias("text"), "tag")
+    found = near_duplicates(texts, width, similarity=similarity, id_col="id", tag_col="tag")
+    lost = stage(found.filter("not kept").select(F.col("tag").alias("lost"), F.xxhash64("tag").alias("key")), "simhash-lost")
+    log2 = bitmap_log2(lost.count())
+    rows = has_bit(tagged.withColumn("key", F.xxhash64("tag")), stage(bits_of(lost, "key", log2), "simhash-lost-bits"), "key", "maybe", log2)
+    sure = rows.filter("not maybe").select("whole")
+    rest = rows.filter("maybe").join(lost.select("lost"), F.col("tag") == F.col("lost"), "left_anti").select("whole")
+    return sure.unionByName(rest).select("whole.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,21 +1,23 @@
-"""Near-duplicates of a given similarity by wide SimHash fingerprints.
+"""Links of a given similarity for the near-duplicate operator (``simhash.near_duplicates``), by wide SimHash fingerprints.
 
-A 64-bit fingerprint tells texts of 0.8 similarity apart from 0.6 only roughly, so this operator keeps
-several 64-bit words. Every word is looked up by the partitions of ``simhash``: its correlated bits are grouped, and
+A 64-bit fingerprint tells texts of 0.8 similarity apart from 0.6 only roughly, so several 64-bit words are made.
+Every word is looked up by the principle of ``pigeonhole``: its correlated bits are grouped, and
 candidates are those that agree in a partition of any word, within its threshold. Partitions and thresholds are allocated by dynamic
 programming: the least cost under which a pair of the wanted similarity is found with a chance of ``RECALL`` at least.
 The constraint holds for every number of fingerprints; what grows with it is the cost, and the number of words (``words_for``).
+A row that is entered under a key carries ``CARRIED`` words only, which is enough to sort out texts that have nothing in common.
 
 Majorities of few shingles differ by more than the formula says, so sets of up to ``SHORT`` shingles are looked up by shingles
 instead: of any two sets of the wanted similarity, the smallest few hashes of each have one in common (prefix filter), so none of these is missed.
 
-All bits and the sizes of the shingle sets only sort out candidates, with a bound that nearly every pair of the
-similarity keeps. What remains is verified: the shingle sets of the candidates are fetched by id, and two texts are
+Bits and the sizes of the shingle sets only sort out candidates, with a bound that nearly every pair of the
+similarity keeps. What remains is verified: the shingle sets of the candidates are fetched, and two texts are
 linked if the Jaccard coefficient of their sets is at least ``similarity``. Texts with equal sets are one node.
 
 Candidates under a key are compared inside one task, which returns groups of nodes, never their
-pairs. A key with more than ``most`` fingerprints is dealt out as blocks, every two of which meet in a
-task of bounded size, and so is a group with more than ``ROOM`` shingles; no link is left out.
+pairs. For a key with more than ``MOST`` fingerprints, all are first compared with one of them, the hub, and verified: what is linked to the hub needn't be compared with
+each other any more, so a large family of near copies costs a row per copy. The rest is dealt out as blocks that meet each other and
+the blocks of the family in tasks of bounded size, and so is a group with more than ``ROOM`` shingles; no link is left out.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, bits_of, has_bit, stage
+from textloom.llm.common import attach, bitmap_log2, bits_of, has_bit, lean, stage
 from textloom.llm.components import components
-from textloom.llm.simhash import PROBE_COST, agreement, group_bits, masks
-from textloom.llm.substring import _BYTE, _P, _Q, _SPACE, NULL_ID, _Ranges, mix, slices
+from textloom.llm.pigeonhole import PROBE_COST, agreement, group_bits, masks
+from textloom.llm.words import P, Q, Ranges, bounds, mix, slices, word_hashes
 
 #: Least chance that a pair of exactly the wanted similarity is verified, whatever the size of the corpus.
 RECALL = 0.99
@@ -40,9 +42,14 @@ RECALL = 0.99
 SLACK = 3
 #: A word of a fingerprint costs as much as verifying so many candidates.
 WORD_COST = 80.0
+#: Words of a fingerprint that travel with a key.
+CARRIED = 4
 #: Sets of up to so many shingles are looked up by their smallest hashes.
 SHORT = 32
+#: Fingerprints that are compared in one task.
 MOST = 3000
+#: Nodes that are verified with a hub in one list.
+CHUNK = 128
 #: Shingles of a group that is verified in one task.
 ROOM = 1 << 21
 #: Fingerprints under a key up to which pairs are compared in bulk.
@@ -81,16 +88,16 @@ def recall(similarity: float, parts: list[list[tuple[list[int], int]]]) -> float
     return 1 - math.prod(1 - within(len(bits), q, t) for plan in parts for bits, t in plan)
 
 
-def wanted(similarity: float, words: int) -> float:
-    """The recall that a plan must have so that, after the limit of all bits, ``RECALL`` is left."""
-    return RECALL / within(64 * words, share_of_bits(similarity), limit_of(similarity, words))
+def wanted(similarity: float) -> float:
+    """The recall that a plan must have so that, after the limit of the carried bits, ``RECALL`` is left."""
+    return RECALL / within(64 * CARRIED, share_of_bits(similarity), limit_of(similarity, CARRIED))
 
 
 def words_for(n: int, similarity: float) -> tuple[int, int]:
     """(words, partitions of each) whose plan costs least for ``n`` fingerprints of even bits, 8 words at least; longer keys need more words."""
     q, best = share_of_bits(similarity), (math.inf, 8, 4)
     for per_word in range(1, 9):
-        parts = math.ceil(math.log(1 - wanted(similarity, 8)) / math.log(1 - within(math.ceil(64 / per_word), q, 0)))
+        parts = math.ceil(math.log(1 - wanted(similarity)) / math.log(1 - within(math.ceil(64 / per_word), q, 0)))
         words = max(8, math.ceil(1.02 * parts / per_word))
         best = min(best, (parts * (PROBE_COST + n * 0.5 ** (64 // per_word)) + words * WORD_COST, words, per_word))
     return best[1:]
@@ -106,17 +113,11 @@ def prefixes(hashes: np.ndarray, similarity: float) -> np.ndarray:
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the ``width``-word shingles of each text, first one per text); A-Z are lower-cased. Fewer words are one shingle."""
-    data, n = _UPPER[data], len(data)
-    space = _SPACE[data]
-    before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    before[offsets[:-1][offsets[:-1] < n]] = True
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    word_at = np.searchsorted(starts, offsets)
+    data = _UPPER[data]
+    starts, ends, word_at = bounds(data, offsets)
     count = np.diff(word_at)
-    words = _Ranges(_BYTE[data]).hash(starts, ends)
-    ranges = _Ranges(words)
+    words = word_hashes(data, starts, ends)
+    ranges = Ranges(words)
     n_shingles = np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
     first = np.concatenate(([0], np.cumsum(n_shingles)))
     at = np.repeat(word_at[:-1] - first[:-1], n_shingles) + np.arange(first[-1])
@@ -126,7 +127,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 def wide_print(hashes: np.ndarray, words: int) -> bytes:
     """Bit i is 1 if it is set in over half of the shingles' hashes; zero without shingles."""
     total = np.zeros(64 * words, dtype=np.int64)
-    salt = np.arange(1, words + 1, dtype=np.uint64) * _P
+    salt = np.arange(1, words + 1, dtype=np.uint64) * P
     for at in range(0, len(hashes), 255):
         bits = np.unpackbits(mix(hashes[at : at + 255, None] + salt).view(np.uint8), axis=1, bitorder="little")
         total += np.add.reduce(bits, axis=0, dtype=np.uint8)
@@ -135,30 +136,33 @@ def wide_print(hashes: np.ndarray, words: int) -> bytes:
 
 def digest(hashes: np.ndarray) -> bytes:
     """128 bits that tell sets of shingles apart."""
-    return np.array([mix(hashes + _P).sum(dtype=np.uint64), mix(hashes ^ _Q).sum(dtype=np.uint64)], dtype="<u8").tobytes()
+    return np.array([mix(hashes + P).sum(dtype=np.uint64), mix(hashes ^ Q).sum(dtype=np.uint64)], dtype="<u8").tobytes()
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def _sets(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """(ids, sorted sets of shingles) of the texts of a batch, slice by slice."""
+def _sets(b: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(from, to, sorted sets of shingles) of the texts of a batch, slice by slice."""
     for at, to, data, offsets in slices(b.column("text")):
         h, first = shingles(data, offsets, width)
-        yield b.column("id").slice(at, to - at), [np.unique(h[first[i] : first[i + 1]]) for i in range(to - at)]
+        yield at, to, [np.unique(h[first[i] : first[i + 1]]) for i in range(to - at)]
 
 
-def wide_prints(docs: DataFrame, width: int, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, fp, prefix) for every row; fp is the fingerprint and, as one more word, the number of different shingles."""
+def wide_prints(rows: DataFrame, width: int, words: int, similarity: float) -> DataFrame:
+    """(doc_id, tag, mark, digest, fp, prefix) for every row of ``rows`` (doc_id, tag, text).
+
+    mark: a hash of the text; digest: of its set of shingles; fp: the fingerprint and, as one more word, the number of different shingles.
+    """
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, sets in _sets(b, width):
+            for at, to, sets in _sets(b, width):
                 prints = [wide_print(x, words) + len(x).to_bytes(8, "little") for x in sets]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(map(digest, sets), pa.binary()), pa.array(prints, pa.binary()), pa.array([prefixes(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "digest", "fp", "prefix"])
+                prefix = pa.array([prefixes(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                own = b.slice(at, to - at)
+                yield pa.RecordBatch.from_pydict({**{c: own.column(c) for c in ("doc_id", "tag", "mark")}, "digest": pa.array(map(digest, sets), pa.binary()), "fp": pa.array(prints, pa.binary()), "prefix": prefix})
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary, fp binary, prefix array<long>")
+    marked = rows.select("doc_id", "tag", F.xxhash64("text").alias("mark"), "text")
+    return lean(marked).mapInArrow(run, f"doc_id {kind}, tag long, mark long, digest binary, fp binary, prefix array<long>")
 
 
 def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +199,7 @@ def cheapest(options: list[list[tuple[float, float]]], least: float, steps: int
 
 def plan(n: int, both: np.ndarray, words: int, similarity: float, slack: int = SLACK) -> list[list[tuple[list[int], int]]]:
     """For each word, the partitions that are looked at and their thresholds: least cost at the wanted recall. ``both``: counts of bits set together."""
-    q, least, found = share_of_bits(similarity), -math.log(1 - wanted(similarity, words)), []
+    q, least, found = share_of_bits(similarity), -math.log(1 - wanted(similarity)), []
     per_word = words_for(n, similarity)[1]
     for m in range(max(1, per_word - 1), per_word + 2):
         groups = [g for k in range(words) for g in group_bits(n, both[64 * k : 64 * k + 64], m)]
@@ -270,7 +274,7 @@ def fits(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
 
 
-def bound(a: np.ndarray, b: np.ndarray, limit: int, loose: int) -> np.ndarray:
+def allowed(a: np.ndarray, b: np.ndarray, limit: int, loose: int) -> np.ndarray:
     """Differing bits allowed: ``limit``, or ``loose`` where a set is short."""
     return np.where(np.minimum(a, b) > SHORT, limit, loose)
 
@@ -284,7 +288,7 @@ def paired(start: np.ndarray, end: np.ndarray, x: np.ndarray, sizes: np.ndarray,
         some = (i + d < end[group]) & ~found[group]
         i, group = i[some], group[some]
         near = np.flatnonzero(fits(sizes[i], sizes[i + d], similarity))
-        near = near[np.bitwise_count(x[i[near]] ^ x[i[near] + d]).sum(axis=1) <= bound(sizes[i[near]], sizes[i[near] + d], limit, loose)]
+        near = near[np.bitwise_count(x[i[near]] ^ x[i[near] + d]).sum(axis=1) <= allowed(sizes[i[near]], sizes[i[near] + d], limit, loose)]
         found[group[near]] = True
     return found
 
@@ -298,35 +302,84 @@ def deal(nodes: np.ndarray, sizes: np.ndarray, room: int) -> list[np.ndarray]:
     return [np.concatenate(two) for two in combinations(blocks, 2)] or blocks
 
 
-def candidates(prints: DataFrame, similarity: float, words: int, most: int) -> DataFrame:
-    """(list, node): every pair of candidates is in some list. ``prints``: (node long, fp binary, prefix array), different sets."""
-    parts = [(64 * k, bits, t) for k, plan in enumerate(plans(prints, words, similarity)) for bits, t in plan]
-    limit, loose = limit_of(similarity, words), short_limit(similarity, words)
-    salts = np.arange(1, len(parts) + 1, dtype=np.uint64) * _P
+def short(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The part of the fingerprints that travels: ``CARRIED`` words and the size."""
+    rows = np.ascontiguousarray(np.concatenate((x[:, :CARRIED], sizes.astype("<u8")[:, None]), axis=1))
+    ends = np.arange(0, rows.nbytes + 1, 8 * (CARRIED + 1), dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def entries(prints: DataFrame, parts: list[tuple[int, list[int], int]], words: int) -> DataFrame:
+    """(key, node, fp): each fingerprint under all its keys; ``parts``: (first bit of the word, bits, threshold)."""
+    salts = np.arange(1, len(parts) + 1, dtype=np.uint64) * P
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("prefix")
-            short, at = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(mix(short).view(np.int64)), b.column("node").take(pa.array(at)), b.column("fp").take(pa.array(at))], names=["key", "node", "fp"])
             x, sizes = _matrix(b.column("fp"), words)
-            b = b.filter(pa.array(sizes > SHORT))
-            x = x[sizes > SHORT]
+            carried, nodes = short(x, sizes), b.column("node")
+            lists = b.column("prefix")
+            smallest, at = lists.flatten().to_numpy().view(np.uint64), pa.array(np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(smallest).view(np.int64)), nodes.take(at), carried.take(at)], names=["key", "node", "fp"])
+            long = pa.array(sizes > SHORT)
+            x, carried, nodes = x[sizes > SHORT], carried.filter(long), nodes.filter(long)
             for p, (base, bits, t) in enumerate(parts):
                 values = x[:, base // 64] & np.uint64(sum(1 << v for v in bits))
                 for m in masks(bits, t):
                     key = mix((values ^ np.uint64(m)) + salts[p])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("node"), b.column("fp")], names=["key", "node", "fp"])
-
-    entered = prints.select("node", "fp", "prefix").mapInArrow(enter, "key long, node long, fp binary")
-    # keys with more than ``most`` fingerprints are few; Spark broadcasts their table if its size allows it, else shuffles
-    large = stage(entered.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).withColumnRenamed("key", "__key"), "similar-large")
-    rows = entered.join(large, F.col("key") == F.col("__key"), "left")
-    blocks = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = rows.select("key", "node", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("key", "node", "fp", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    groups = spread.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "fp", "mine")).alias("rows")).filter(F.size("rows") > 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), nodes, carried], names=["key", "node", "fp"])
+
+    return lean(prints.select("node", "fp", "prefix")).mapInArrow(enter, "key long, node long, fp binary")
+
+
+def hub_lists(crowd: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """(list, node): each member of a crowded key that may be linked to the key's hub, in lists of ``CHUNK`` with the hub."""
+    limit, loose = limit_of(similarity, CARRIED), short_limit(similarity, CARRIED)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (x, size), (y, hub_size) = _matrix(b.column("fp"), CARRIED), _matrix(b.column("hub_fp"), CARRIED)
+            some = fits(size, hub_size, similarity) & (np.bitwise_count(x ^ y).sum(axis=1) <= allowed(size, hub_size, limit, loose))
+            yield pa.RecordBatch.from_pydict({c: b.column(c).filter(pa.array(some)) for c in ("hub", "node", "n")})
+
+    rows = attach(crowd, hubs, ["key"], "n", F.col("node")).filter("node <> hub").select("hub", "hub_fp", "node", "fp", "n")
+    pairs = lean(rows).mapInArrow(near, "hub long, node long, n long").groupBy("hub", "node").agg(F.max("n").alias("n"))
+    listed = pairs.select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))).alias("list"), "hub", "node")
+    return listed.select("list", F.explode(F.array("hub", "node")).alias("node")).distinct()
+
+
+def links(rows: DataFrame, unique: DataFrame, similarity: float, width: int, words: int, most: int) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links; ``unique``: a staged row (node, fp, prefix, mark, digest) per set of shingles, ``rows``: (text)."""
+    parts = [(64 * k, bits, t) for k, plan in enumerate(plans(unique, words, similarity)) for bits, t in plan]
+    entered = entries(unique, parts, words)
+    large = stage(entered.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "similar-large")
+    if large.isEmpty():
+        dealt = entered.select("key", "node", "fp", F.lit(0).alias("mine"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        return verified(rows, unique, stage(candidates(dealt, similarity), "similar-lists"), similarity, width)
+    sized = stage(attach(entered, large, ["key"], "n", F.col("node")), "similar-entered")
+    crowd = sized.filter("n is not null").drop("n")
+    hub = F.min_by(F.struct("node", "fp"), F.xxhash64("node"))
+    hubs = stage(crowd.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).select("key", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp"), "n"), "similar-hubs")
+    first = stage(verified(rows, unique, stage(hub_lists(crowd, hubs, similarity), "similar-hub-lists"), similarity, width), "similar-hub-links")
+    family = components(first).select(F.col("node").alias("__node"), "label")
+    named = hubs.join(family, F.col("hub") == F.col("__node"), "left").select("key", F.coalesce("label", "hub").alias("hub_label"), "n")
+    crowd = attach(crowd, stage(named, "similar-hub-labels"), ["key"], "n", F.col("node")).join(family, F.col("node") == F.col("__node"), "left")
+    crowd = stage(crowd.select("key", "node", "fp", (F.coalesce("label", "node") == F.col("hub_label")).alias("kin")), "similar-crowd")
+    shape = crowd.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count_if(~F.col("kin")) / (most // 2)).cast("int").alias("others"), F.ceil(F.count_if(F.col("kin")) / (most // 2)).cast("int").alias("kins"))
+    crowd = attach(crowd, stage(shape, "similar-shape"), ["key"], "n", F.col("node")).filter("others > 0")
+    # blocks of others first, then those of kin; a pair of blocks meets if one of them is of others
+    mine = F.when(F.col("kin"), F.col("others") + F.pmod(F.xxhash64("node"), "kins")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("others", F.lit(1)))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(F.col("kin"), F.col("others")).otherwise(F.col("others") + F.col("kins")) - 1)
+    crowd = crowd.select("key", "node", "fp", mine.alias("mine"), F.explode(meets).alias("other"))
+    crowd = crowd.select("key", "node", "fp", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    plain = sized.filter("n is null").select("key", "node", "fp", F.lit(0).alias("mine"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    lists = stage(candidates(plain.unionByName(crowd), similarity), "similar-lists")
+    return first.unionByName(verified(rows, unique, lists, similarity, width)).distinct()
+
+
+def candidates(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(list, node): every pair of candidates is in some list; ``dealt``: (key, node, fp, mine, lo, hi), rows of a key in the blocks lo and hi meet."""
+    limit, loose = limit_of(similarity, CARRIED), short_limit(similarity, CARRIED)
+    groups = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "fp", "mine")).alias("rows")).filter(F.size("rows") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +387,7 @@ def candidates(prints: DataFrame, similarity: float, words: int, most: int) -> D
             flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
             at = at - at[0]
             nodes, mine_ = flat.field("node").to_numpy(), flat.field("mine").to_numpy()
-            x, sizes = _matrix(flat.field("fp"), words)
+            x, sizes = _matrix(flat.field("fp"), CARRIED)
             two = np.asarray(batch.column("lo")) != np.asarray(batch.column("hi"))
             bulk = np.flatnonzero(np.diff(at) <= BULK)
             left = np.ones(len(two), dtype=bool)
@@ -345,17 +398,17 @@ def candidates(prints: DataFrame, similarity: float, words: int, most: int) -> D
                 size, fps = sizes[some], x[some]
 
                 def alike(i: int, j: np.ndarray, size=size, fps=fps) -> np.ndarray:
-                    return fits(size[i], size[j], similarity) & (np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1) <= bound(size[i], size[j], limit, loose))
+                    return fits(size[i], size[j], similarity) & (np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1) <= allowed(size[i], size[j], limit, loose))
 
                 a, b = star(nodes[some], fps, limit if size.min() > SHORT else loose, mine_[some] if two[k] else None, alike)
                 for root in np.unique(a):
                     group = np.sort(np.append(b[a == root], root))
                     for one in deal(group, size[np.argsort(nodes[some])][np.searchsorted(np.sort(nodes[some]), group)], ROOM):
-                        names.append(np.full(len(one), mix(mix(one.view(np.uint64)) + _P * np.arange(1, len(one) + 1, dtype=np.uint64)).sum(dtype=np.uint64)))
+                        names.append(np.full(len(one), mix(mix(one.view(np.uint64)) + P * np.arange(1, len(one) + 1, dtype=np.uint64)).sum(dtype=np.uint64)))
                         members.append(one)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["list", "node"])
 
-    return groups.select("lo", "hi", "rows").mapInArrow(link, "list long, node long").distinct()
+    return lean(groups).select("lo", "hi", "rows").mapInArrow(link, "list long, node long").distinct()
 
 
 def jaccard_star(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -381,17 +434,24 @@ def jaccard_star(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -
     return star(nodes, np.zeros((len(nodes), 1), np.uint64), 0, alike=alike)
 
 
-def similar_links(docs: DataFrame, lists: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b) between nodes; ``lists``: (list, node), a node is the id of a text. Only the texts of these ids are read."""
-    rows = has_bit(_rows(docs, id_col, text_col), stage(bits_of(lists, "node"), "similar-bits"), "id", "__wanted").filter("__wanted").select("id", "text")
+def verified(rows: DataFrame, unique: DataFrame, lists: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) between nodes of a list that are linked; ``lists``: a staged table (list, node).
+
+    A bitmap of the listed texts' hashes sorts out all others where they are; of each set of shingles one copy travels.
+    """
+    wanted_ = stage(unique.join(lists.select("node").distinct(), "node", "left_semi").select("node", "digest", "mark"), "similar-wanted")
+    log2 = bitmap_log2(wanted_.count())
+    marked = rows.select("text", F.xxhash64("text").alias("mark"))
+    some = has_bit(marked, stage(bits_of(wanted_, "mark", log2), "similar-bits"), "mark", "__wanted", log2).filter("__wanted").select("text")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, sets in _sets(b, width):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+            for _, _, sets in _sets(b, width):
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(map(digest, sets), pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-    taken = rows.mapInArrow(take, "id long, shingles binary").join(lists.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    groups = lists.join(taken, lists["node"] == taken["id"]).groupBy("list").agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
+    taken = lean(some).mapInArrow(take, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    taken = taken.join(wanted_.select("digest", F.col("node").alias("__node")), "digest")
+    groups = lists.join(taken, F.col("node") == F.col("__node")).groupBy("list").agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,23 +461,4 @@ def similar_links(docs: DataFrame, lists: DataFrame, similarity: float, width: i
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return groups.select("rows").mapInArrow(verify, "a long, b long").distinct()
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, component_id, component_size); linked texts have shingle sets with a Jaccard coefficient of at least ``similarity``.
-
-    component_id is the smallest id reachable. Ids are integers and name one text each; null counts as the smallest. Null and empty
-    texts are alike. Other columns are ignored; an empty input gives no rows.
-    """
-    words = words or words_for(docs.count(), similarity)[0]
-    prints = stage(wide_prints(docs, width, words, similarity, id_col, text_col), "similar-prints")
-    unique = stage(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("n")), "similar-unique")
-    lists = stage(candidates(unique.select("node", "fp", "prefix"), similarity, words, most), "similar-lists")
-    labels = components(similar_links(docs, lists, similarity, width, id_col, text_col))
-    tagged = unique.join(labels, "node", "left").select("digest", "n", F.coalesce("label", "node").alias("label"))
-    sizes = stage(tagged.groupBy("label").agg(F.sum("n").alias("component_size"), F.count("*").alias("m")), "similar-components")
-    named = stage(attach(tagged, sizes, ["label"], "m", F.xxhash64("digest")).select("digest", "n", "label", "component_size"), "similar-named")
-    out = attach(prints.select("id", "digest"), named, ["digest"], "n", F.col("id"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), real("label").alias("component_id"), "component_size")
+    return lean(groups.select("rows")).mapInArrow(verify, "a long, b long").distinct()

@@ -2,17 +2,20 @@
 
 The reference is the corpus itself, cut into blocks by content: all windows of ``length`` words
 whose smallest word k-gram hash (the anchor) lies at the same place form one block, so two equal
-windows always lie in blocks with equal anchors. A document is parsed greedily from left to right
-against every indexed block: a block that a document with a smaller id holds extends the
-current factor, and factors are made of windows, so each is at least ``length`` words long. Where two blocks have the same
-anchor and differ, a factor ends inside them; there each window is looked up on its own.
-Merged factors are the duplicate spans. Repeats within one document are found on the spot.
+windows always lie in blocks with equal anchors. The index holds each block once, at its first place: the smallest id that holds it, and the
+position there. Where two blocks have the same anchor and differ, the index holds their windows, too, one by one.
 
-Three passes read the texts where they are, and only hashes travel: (1) anchors, to
+A document is parsed greedily from left to right against the whole index (``parse``): a factor begins at the first window that the index (or the document itself,
+further left) holds and goes on as long as the next window continues the same source, so it is the longest copy of what that source says,
+(start, length, source document, source start), and at least ``length`` words long; the next factor begins where it ends or later. At the boundaries, the windows that reach
+over the end of a factor or into its beginning are looked up on their own. Factors and such windows make up the duplicate spans.
+
+The index is distributed and only hashes travel. Three passes read the texts where they are: (1) anchors, to
 find those that several documents hold; (2) blocks at such anchors; (3) windows of the first holder of
 each block that differs from another one at its anchor. What a pass needs from the one before is passed as a
 bitmap of fixed size (8 MiB); a bit set by chance adds rows to a pass and changes no result.
-Grouping keys are 128 bits (anchor and block, anchor and window). The last step brings the found keys back to the texts.
+Keys across documents are 128 bits (anchor and block, anchor and window); a repeat within a document is compared word by word.
+The last step brings the found keys and their sources back to the texts, which parse.
 """
 
 from __future__ import annotations
@@ -25,52 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach, bitmap_bytes, bits_of, stage, table, test_bits
+from textloom.llm.common import attach, bitmap_bytes, bits_of, lean, stage, table, test_bits
+from textloom.llm.words import P, Q, Ranges, U, bounds, mix, slices, word_hashes
 
 LENGTH = 20
 GRAM = 6
 LOG2 = 26
 NULL_ID = -(2**63)
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 1 << 20
-
-_U = np.uint64
-_P, _Q = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
-_Q_INVERSE = _U(pow(int(_Q), -1, 1 << 64))
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-#: A fixed random number per byte value.
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _P)
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if len(_POWERS.get("q", ())) < n:
-        size = max(SLICE + 2, 2 * n)
-        for name, base in (("q", _Q), ("r", _Q_INVERSE)):
-            steps = np.full(size, base, dtype=_U)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["q"], _POWERS["r"]
-
-
-class _Ranges:
-    """Hashes of any ranges of a sequence of 64-bit numbers, from prefix sums."""
-
-    def __init__(self, values: np.ndarray):
-        q, self.inverse = _powers(len(values) + 1)
-        self.sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(values * q[: len(values)], dtype=_U)))
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U) * _P)
+#: A factor: ``length`` words from ``start`` on are those of document ``doc`` from word ``from`` on.
+FACTOR = "struct<start:long,length:long,doc:long,from:long>"
 
 
 class Slice:
@@ -78,29 +45,21 @@ class Slice:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         self.data, self.offsets, self.length = data, offsets, length
-        n = len(data)
-        space = _SPACE[data]
-        before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        before[1:], after[:-1] = space[:-1], space[1:]
-        before[offsets[:-1][offsets[:-1] < n]] = True
-        last = offsets[1:][offsets[1:] > 0] - 1
-        after[last] = True
-        self.starts, self.ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-        self.word_at = np.searchsorted(self.starts, offsets)  # first word of each text
+        self.starts, self.ends, self.word_at = bounds(data, offsets)
         self.n_words = np.diff(self.word_at)
         self.text_of = np.repeat(np.arange(len(offsets) - 1), self.n_words)
         total = len(self.starts)
         at = np.arange(max(total - length + 1, 0))
         self.windows = at[at + length <= self.word_at[self.text_of[: len(at)] + 1]]
         if not len(self.windows):
-            self.anchor = self.block = np.empty(0, dtype=_U)
+            self.anchor = self.block = np.empty(0, dtype=U)
             self.first = self.last = self.block_text = np.empty(0, dtype=np.int64)
             return
-        words = _Ranges(_BYTE[data]).hash(self.starts, self.ends)
-        self.ranges = _Ranges(words)
-        g = np.zeros(total - gram + 1, dtype=_U)
+        words = self.words = word_hashes(data, self.starts, self.ends)
+        self.ranges = Ranges(words)
+        g = np.zeros(total - gram + 1, dtype=U)
         for t in range(gram):
-            g = g * _P + words[t : total - gram + 1 + t]
+            g = g * P + words[t : total - gram + 1 + t]
         low = _least(mix(g), length - gram + 1)[self.windows]
         text = self.text_of[self.windows]
         begins = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (text[1:] != text[:-1]))))
@@ -124,19 +83,8 @@ def _least(x: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, bytes, offsets) of runs of texts with up to ``SLICE`` bytes."""
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a + b * _Q)
+    return mix(a + b * Q)
 
 
 def once(*keys: np.ndarray) -> np.ndarray:
@@ -158,15 +106,16 @@ def _scan(docs: DataFrame, each: Callable[[Slice, np.ndarray], tuple[np.ndarray,
                 if len(s.windows):
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in each(s, ids[at:to])], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return lean(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, n_words, n_removed, spans, kept_text).
+    """One row per input row: (doc_id, n_words, n_removed, spans, factors, kept_text).
 
     A word is removed if a window of ``length`` words that covers it also starts earlier: in a document with
     a smaller id, or further left in the same one. Windows are judged on the input. ``spans``:
-    the removed ranges of words (start, end exclusive). ``kept_text``: the other words joined by one
+    the removed ranges of words (start, end exclusive). ``factors``: the parse (``FACTOR``); its sources are first places, in a document with a smaller id or
+    further left in the same one (where several rows share the source's id, in one of them). ``kept_text``: the other words joined by one
     space. Null texts have no words. A null id counts as the smallest; rows with equal ids count
     as one document that doesn't repeat itself across rows. Other columns are ignored; an empty input gives no rows.
     """
@@ -176,7 +125,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     # 1: anchors that several documents hold
     def anchors_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        held = once(s.anchor, ids[s.block_text].view(_U))
+        held = once(s.anchor, ids[s.block_text].view(U))
         return np.unique(s.anchor[held], return_counts=True)
 
     anchors = _scan(base, anchors_of, ["anchor", "n"], length, gram)
@@ -187,39 +136,44 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     def blocks_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         hit = test_bits(known.value, s.anchor, LOG2)
         anchor, block, doc = s.anchor[hit], s.block[hit], ids[s.block_text[hit]]
-        some = once(anchor, block, doc.view(_U))
-        return doc[some], anchor[some], block[some]
-
-    held = stage(_scan(base, blocks_of, ["doc", "anchor", "block"], length, gram), "substring-blocks")
-    blocks = stage(held.groupBy("anchor", "block").agg(F.min("doc").alias("holder"), F.count("*").alias("n")), "substring-holders")
-    again = attach(held, blocks.filter("n > 1"), ["anchor", "block"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "block")
+        at = (s.first - s.word_at[s.block_text])[hit]
+        some = once(anchor, block, doc.view(U))
+        return doc[some], anchor[some], block[some], at[some]
+
+    held = stage(_scan(base, blocks_of, ["doc", "anchor", "block", "at"], length, gram), "substring-blocks")
+    source = F.min(F.struct("doc", "at")).alias("source")
+    blocks = held.groupBy("anchor", "block").agg(source, F.count("*").alias("n"))
+    blocks = stage(blocks.select("anchor", "block", F.col("source.doc").alias("holder"), F.col("source.at").alias("from"), "n"), "substring-holders")
+    again = attach(held.drop("at"), blocks.filter("n > 1"), ["anchor", "block"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "block", "holder", "from")
     variants = stage(blocks.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "substring-variants")
     differing = attach(blocks, variants, ["anchor"], "m", F.col("block")).filter("m is not null").select("anchor", "block", "holder")
 
     # 3: windows of the first holders of blocks that differ
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            a, b, d = (r.column(c).to_numpy().view(_U) for c in ("anchor", "block", "holder"))
+            a, b, d = (r.column(c).to_numpy().view(U) for c in ("anchor", "block", "holder"))
             yield pa.RecordBatch.from_arrays([pa.array(pair(pair(a, b), d).view(np.int64))], names=["key"])
 
     edges = spark.sparkContext.broadcast(bitmap_bytes(bits_of(differing.mapInArrow(keys_of, "key long"), "key", LOG2), LOG2))
 
     def windows_of(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        hit = test_bits(edges.value, pair(pair(s.anchor, s.block), ids[s.block_text].view(_U)), LOG2)
+        hit = test_bits(edges.value, pair(pair(s.anchor, s.block), ids[s.block_text].view(U)), LOG2)
         some = np.repeat(hit, s.block_size)
         anchor, doc = np.repeat(s.anchor[hit], s.block_size[hit]), np.repeat(ids[s.block_text[hit]], s.block_size[hit])
         at = s.windows[some]
         window = s.ranges.hash(at, at + s.length)
-        some = once(anchor, window, doc.view(_U))
-        return doc[some], anchor[some], window[some]
+        at -= s.word_at[s.text_of[at]]
+        some = once(anchor, window, doc.view(U))
+        return doc[some], anchor[some], window[some], at[some]
 
-    at_edges = stage(_scan(base, windows_of, ["doc", "anchor", "window"], length, gram), "substring-windows")
-    firsts = stage(at_edges.groupBy("anchor", "window").agg(F.min("doc").alias("holder"), F.count("*").alias("n")).filter("n > 1"), "substring-firsts")
-    twice = attach(at_edges, firsts, ["anchor", "window"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "window")
+    at_edges = stage(_scan(base, windows_of, ["doc", "anchor", "window", "at"], length, gram), "substring-windows")
+    firsts = at_edges.groupBy("anchor", "window").agg(source, F.count("*").alias("n")).filter("n > 1")
+    firsts = stage(firsts.select("anchor", "window", F.col("source.doc").alias("holder"), F.col("source.at").alias("from"), "n"), "substring-firsts")
+    twice = attach(at_edges.drop("at"), firsts, ["anchor", "window"], "n", F.col("doc")).filter("doc > holder").select("doc", "anchor", "window", "holder", "from")
 
     # spans: the keys go to their documents
-    per_doc = again.select("doc", F.lit(True).alias("whole"), "anchor", F.col("block").alias("key")).union(twice.select("doc", F.lit(False), "anchor", "window"))
-    keys = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("anchor", "key")))
+    per_doc = again.select("doc", F.lit(True).alias("whole"), "anchor", F.col("block").alias("key"), "holder", "from").union(twice.select("doc", F.lit(False), "anchor", "window", "holder", "from"))
+    keys = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("anchor", "key", "holder", "from")))
     per_doc = per_doc.groupBy("doc").agg(keys(True).alias("blocks"), keys(False).alias("windows"))
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,31 +182,84 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
                 yield _spans(b.slice(at, to - at), Slice(data, offsets, length, gram))
 
     out = base.join(per_doc, "doc", "left").select("doc", "text", "blocks", "windows")
-    out = out.mapInArrow(spans_of, "doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
-    return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(kind).alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")
+    out = lean(out).mapInArrow(spans_of, f"doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, factors array<{FACTOR}>, kept_text string")
+    real = lambda c: F.when(c != NULL_ID, c).cast(kind)
+    factors = F.transform("factors", lambda f: f.withField("doc", real(f["doc"])))
+    return out.select(real(F.col("doc")).alias("doc_id"), "n_words", "n_removed", "spans", factors.alias("factors"), "kept_text")
 
 
-def _listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, anchor and key in one number) of all entries of the lists."""
+def _listed(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(text, anchor and key in one number, source document, source position) of all entries of the lists, ordered by the first two as one number."""
     flat = lists.flatten()
-    a, k = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64).view(_U) for c in ("anchor", "key"))
+    a, k, doc, at = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchor", "key", "holder", "from"))
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-    return np.repeat(np.arange(len(lists)), sizes).astype(_U), pair(a, k)
+    key = pair(np.repeat(np.arange(len(lists)), sizes).astype(U), pair(a.view(U), k.view(U)))
+    order = np.argsort(key)
+    return key[order], doc[order], at[order]
+
+
+def _look_up(keys: np.ndarray, index: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, source document, source position) of each key."""
+    names, doc, at = index
+    if not len(names):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return names[place] == keys, doc[place], at[place]
+
+
+def parse(at: np.ndarray, text: np.ndarray, doc: np.ndarray, source: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
+    """The greedy factors (text, start, length, source document, source start).
+
+    The arrays describe the windows that the index holds, left to right: position, text, source document and position. A factor goes on while the next window
+    continues its source. What of a run lies before the end of the factor before it is left to the boundary check.
+    """
+    if not len(at):
+        return []
+    goes_on = (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1]) & (doc[1:] == doc[:-1]) & (source[1:] == source[:-1] + 1)
+    begin = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((begin[1:], [len(at)])) - 1
+    out, done = [], -1
+    for t, s, e, d, p in zip(text[begin].tolist(), at[begin].tolist(), (at[last] + length).tolist(), doc[begin].tolist(), source[begin].tolist()):
+        start = max(s, done)  # positions count on through the texts, so a factor never reaches into the next one
+        if e - start >= length:
+            out.append((t, start, e - start, d, p + start - s))
+            done = e
+    return out
+
+
+def _repeats(s: Slice, here: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows also start further left in their text, the place of the first one); compared word by word, not by hash alone."""
+    _, first, where = np.unique(pair(here, text.astype(U)), return_index=True, return_inverse=True)
+    earlier = first[where]
+    again = np.flatnonzero(earlier != np.arange(len(here)))
+    a, b = s.windows[again], s.windows[earlier[again]]
+    same = text[again] == text[earlier[again]]
+    for t in range(s.length):
+        same &= s.words[a + t] == s.words[b + t]
+    local = np.zeros(len(here), dtype=bool)
+    local[again[same]] = True
+    return local, s.windows[earlier]
 
 
 def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
-    """The result rows of a slice. Windows that are known extend the factor before them if they touch it."""
+    """The result rows of a slice: its texts are parsed, and all windows that the index holds are covered."""
     count, total = len(s.n_words), len(s.starts)
     change = np.zeros(total + 1, dtype=np.int64)
+    factors: list[tuple[int, int, int, int, int]] = []
     if len(s.windows):
         here, text = s.window_hash(), s.text_of[s.windows]
-        blocks, of = pair(s.anchor, s.block), s.block_text.astype(_U)
-        whole = np.isin(pair(of, blocks), pair(*_listed(rows.column("blocks"))))
-        single = np.isin(pair(text.astype(_U), pair(np.repeat(s.anchor, s.block_size), here)), pair(*_listed(rows.column("windows"))))
-        hit = np.repeat(whole, s.block_size) | single
-        local = np.ones(len(here), dtype=bool)
-        local[once(here, text.astype(_U))] = False
-        at = s.windows[hit | local]
+        own = rows.column("doc").to_numpy()
+        in_block = s.windows - np.repeat(s.first, s.block_size)
+        found, doc, source = (np.repeat(x, s.block_size) for x in _look_up(pair(s.block_text.astype(U), pair(s.anchor, s.block)), _listed(rows.column("blocks"))))
+        source = source + in_block
+        single = _look_up(pair(text.astype(U), pair(np.repeat(s.anchor, s.block_size), here)), _listed(rows.column("windows")))
+        use = ~found & single[0]
+        found, doc, source = found | use, np.where(use, single[1], doc), np.where(use, single[2], source)
+        local, first = _repeats(s, here, text)
+        use = ~found & local
+        found, doc, source = found | use, np.where(use, own[text], doc), np.where(use, first - s.word_at[text], source)
+        at = s.windows[found]
+        factors = parse(at, text[found], doc[found], source[found], s.length)
         np.add.at(change, at, 1)
         np.add.at(change, at + s.length, -1)
     covered = np.cumsum(change)[:total] > 0
@@ -277,7 +284,10 @@ def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum(shown)))[s.offsets].astype(np.int32)
     text = pa.StringArray.from_buffers(count, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[shown].tobytes()))
     removed = np.bincount(s.text_of[covered], minlength=count)
-    return pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(s.n_words), pa.array(removed), spans, text], names=["doc", "n_words", "n_removed", "spans", "kept_text"])
+    of, start, size, doc, source = (np.array(x, dtype=np.int64) for x in (zip(*factors) if factors else [()] * 5))
+    parts = pa.StructArray.from_arrays([pa.array(start - s.word_at[of]), pa.array(size), pa.array(doc), pa.array(source)], names=["start", "length", "doc", "from"])
+    parsed = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(count + 1)), pa.int32()), parts)
+    return pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(s.n_words), pa.array(removed), spans, parsed, text], names=["doc", "n_words", "n_removed", "spans", "factors", "kept_text"])
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
