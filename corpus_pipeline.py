@@ -7,15 +7,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import stage, table
-from textloom.llm.exact import exact_dedup
+from textloom.llm.exact import unique_texts
 from textloom.llm.mixing import mix
 from textloom.llm.packing import pack
-from textloom.llm.quality import calibrate, features, keep_good
-from textloom.llm.similar import similar_documents
+from textloom.llm.quality import calibrate, features, keep_good, labelled
+from textloom.llm.simhash import one_of_each
 from textloom.llm.tokens import tokenizer_path
 
 #: Shares of the token total that the mixing stage aims at.
@@ -26,24 +26,18 @@ LEAST_RATE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs of their language."""
-    counts = stage(features(docs), "pipeline-features")
-    return keep_good(docs, calibrate(counts, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    return keep_good(docs, calibrate(features(labelled(docs, labels), keyed=True), labels))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the largest doc_id of each group of equal texts."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = exact_dedup(docs, extra={"__mark": F.xxhash64("__text")}).filter("kept").select(F.col("doc_id").alias("__id"), "__mark").distinct()
-    marked = docs.withColumn("__h", mark)
-    rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__h"] == kept["__mark"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("doc_id"))
-    return rows.withColumn("__row", once).filter("__row = 1").select(*docs.columns)
+    """The row with the largest doc_id of each group of equal texts (null and empty ones are equal); of rows that tie, one."""
+    return unique_texts(docs)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    kept = similar_documents(docs, similarity=0.8, width=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The row with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8; of rows that tie, one."""
+    return one_of_each(docs, width=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
