@@ -634,7 +634,8 @@ def test_mixing_meets_targets(spark):
     docs, labels = mixing_docs(spark)
     weights = {"good": 0.7, "low": 0.2, "toxic": 0.1}
     out, c = mixing.mix(docs, labels, mixing.quality_domain(), weights)
-    assert set(c.words) == {"calm", "noisy", "awful"}
+    slot = lambda w: spark.range(1).select(mixing.slot_of(F.lit(w))).first()[0]
+    assert set(c.slots) >= {slot(w) for w in ("calm", "noisy", "awful")} and len(c.slots) < 20 and slot("(calm!)") == slot("calm") and slot("...") is None
     rows = out.collect()
     total = sum(r.tokens for r in rows)
     assert all(r.rate >= 0 and r.copies >= 0 for r in rows) and all(abs(r.p0 + r.p1 + r.p2 - 1) < 1e-9 for r in rows)
@@ -659,6 +660,31 @@ def test_mixing_reaches_the_constrained_optimum(spark):
     assert ((np.array(e) - target) ** 2).sum() <= best + 1e-4 * n.sum() ** 2
 
 
+def test_mixing_classifier_against_numpy(spark):
+    """Posteriors from all words of a text by the formula, and accuracy on documents without labels."""
+    docs, labels = mixing_docs(spark)
+    c = mixing.fit_classifier(docs, labels, mixing.quality_domain(), ("good", "low", "toxic"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    slots = {w: s for w, s in spark.createDataFrame([(w,) for w in {w for t in texts.values() for w in t.split()}], "w string").select("w", mixing.slot_of(F.col("w"))).collect()}
+    right = 0
+    for r in mixing.posteriors(docs, c).collect():
+        logs = np.array(c.prior) + sum((np.array(w) for s, w in zip(c.slots, c.weights) if s in {slots[x] for x in texts[r.doc_id].split()}), np.zeros(3))
+        p = np.exp(logs - logs.max())
+        assert np.allclose([r.p0, r.p1, r.p2], p / p.sum()) and r.tokens == len(texts[r.doc_id].split())
+        right += r.doc_id % 2 == 0 and np.argmax(p) == r.doc_id % 3
+    assert right > 0.8 * 450
+
+
+def test_mixing_cap_and_take(spark):
+    docs, labels = mixing_docs(spark)
+    rated, _ = mixing.mix(docs, labels, mixing.quality_domain(), {"good": 1.0, "low": 0.0, "toxic": 0.0}, total="good", cap=1.0)
+    rows = {r.doc_id: r for r in rated.collect()}
+    assert max(r.rate for r in rows.values()) <= 1 and np.mean([r.rate for r in rows.values() if r.p0 > 0.9]) > 0.95 and np.mean([r.rate for r in rows.values() if r.p0 < 0.1]) < 0.05
+    more = rated.withColumn("copies", F.when(F.col("doc_id") == 4, 3).otherwise(F.col("copies")).cast("long"))
+    got = Counter(r.doc_id for r in mixing.take(docs.withColumn("mark", F.lit("x")), more).collect())
+    assert got == Counter({i: 3 if i == 4 else r.copies for i, r in rows.items() if i == 4 or r.copies})
+
+
 def test_mixing_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
     out, _ = mixing.mix(odd, labels, mixing.quality_domain(), {"good": 1.0, "low": 1.0, "toxic": 1.0})
