@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import stage, table
 from textloom.llm.exact import unique_texts
-from textloom.llm.mixing import mix
+from textloom.llm.mixing import mix, take
 from textloom.llm.packing import pack
 from textloom.llm.quality import calibrate, features, keep_good, labelled
 from textloom.llm.simhash import one_of_each
@@ -20,8 +20,6 @@ from textloom.llm.tokens import tokenizer_path
 
 #: Shares of the token total that the mixing stage aims at.
 TARGET = {"clean": 1.0, "toxic": 0.0}
-#: A document whose rate is below this is left out.
-LEAST_RATE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +39,13 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate is at least ``LEAST_RATE``: the target gives toxic text no tokens and clean text all."""
+    """Documents as often as their fitted copies say, once at most: the target is the expected tokens of clean text, and none of toxic text.
+
+    Rows that share id and text are taken alike; without labels, all are taken.
+    """
     domain = F.when(F.col("toxic") > 0, "toxic").when(F.col("toxic") == 0, "clean")
-    rated, _ = mix(docs, table(spark, sf_dir, "labels"), domain, TARGET)
-    out = stage(rated.filter(F.col("rate") < LEAST_RATE).select(F.col("doc_id").alias("__id")).distinct(), "pipeline-left-out")
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    rated, _ = mix(docs, table(spark, sf_dir, "labels"), domain, TARGET, total="clean", cap=1.0)
+    return take(docs, rated)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
