@@ -590,24 +590,71 @@ def test_lm(spark, odd, empty):
     rows = [(i, text()) for i in range(300)]
     mixed = [(1000 + i, " ".join(rng.sample(t.split(), 120))) for i, t in rows[:50]]
     df = spark.createDataFrame(rows + mixed, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.mean_log_likelihood for r in lm.score_documents(df, lm.Shape(batch=512, classes=36, top=36), rounds=2).collect()}
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.score_documents(df, lm.Shape(batch=512, classes=6, leaves=8, bands=12), rounds=2).collect()}
     assert np.mean([got[i] > got[1000 + i] for i in range(50)]) > 0.9
     scored = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(odd).collect()}
     assert {(i, len(WORD.findall(t or ""))) for i, t in ODD} == set(scored) and scored[1, 0].log_likelihood == 0 and scored[1, 0].mean_log_likelihood is None
     assert lm.score_documents(empty).count() == 0
 
 
-def test_lm_gradient():
+def small_lm(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(80)) + f" once{k}" for k in range(60)]
+    s = lm.Shape(classes=4, leaves=8, bands=6, shared=16, batch=256, hidden=4, dim=3)
+    v = lm.vocabulary(stage(lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string")), "t"), s)
+    rng = np.random.default_rng(2)
+    return texts, s, v, {k: (a + rng.normal(0, 0.3, a.shape)).astype(np.float32) for k, a in lm.fresh(v, s).items()}
+
+
+def test_lm_is_a_distribution_over_all_words(spark):
+    """Beside any two sides, the probabilities of all words add up to 1, and more frequent words without a leaf have more of their band."""
+    texts, s, v, m = small_lm(spark)
+    words = sorted({w for t in texts for w in t.split()})
+    assert len(v.ids) == s.top == 26 < len(words) and len(v.leaf) == 1024
+    ids = v.look_up(words)
+    cls, leaf, inside = v.target(ids)
+    taken = len(set(ids.tolist()))
+    for sides in (v.rows(ids[:4]), np.full(4, v.edge, np.int32)):
+        p = np.exp(lm.log_probability(m, np.tile(sides, (len(ids), 1)), cls, leaf) + inside)
+        assert 0.9 < p.sum() < 1.0001 and taken > 0.8 * len(words)  # what is missing lies in slots without a word
+    counts = Counter(w for t in texts for w in t.split())
+    rare = [w for w in words if w not in v.ids]
+    same = defaultdict(list)
+    for w, i in zip(rare, v.look_up(rare)):
+        if Counter(v.look_up(rare).tolist())[int(i)] == 1:
+            same[int(v.leaf[i - len(v.ids)])].append((counts[w], float(v.inside[i - len(v.ids)])))
+    assert any(len({n for n, _ in x}) > 1 for x in same.values())
+    assert all((a[0] - b[0]) * (a[1] - b[1]) > 0 for x in same.values() for a in x for b in x if a[0] != b[0])
+
+
+def test_lm_score_against_brute_force(spark):
+    """Token by token in double precision, from the definition."""
+    texts, s, v, m = small_lm(spark)
+    e = {k: a.astype(np.float64) for k, a in m.items()}
+    for t in texts[:5]:
+        ids = [int(i) for i in v.look_up(t.split())]
+        row = lambda k: v.edge if not 0 <= k < len(ids) else ids[k] if ids[k] < len(v.ids) else len(v.ids) + (ids[k] - len(v.ids)) % s.shared  # noqa: B023, E731
+        total = 0.0
+        for k, i in enumerate(ids):
+            h = np.tanh(np.concatenate([e["E"][row(k + d)] for d in (-2, -1, 1, 2)]) @ e["W"] + e["b"])
+            at = i if i < len(v.ids) else int(v.leaf[i - len(v.ids)])
+            c, x = divmod(at, s.leaves)
+            z, y = h @ e["V"] + e["c"], (h * e["G"][c]) @ e["U"] + e["B"][c]
+            total += z[c] - np.log(np.exp(z).sum()) + y[x] - np.log(np.exp(y).sum()) + (0 if i < len(v.ids) else float(v.inside[i - len(v.ids)]))
+        n, got = lm.score(t, m, v, s)
+        assert n == len(ids) and abs(got - total) < 1e-3 * abs(total)
+
+
+def test_lm_gradient(spark):
     """Backpropagation against differences."""
-    s = lm.Shape(side=1, dim=2, hidden=3, top=5, rare=1, classes=3)
-    v = lm.Vocabulary({w: i for i, w in enumerate("abcde")}, 1, np.array([0, 0, 1, 2, 2, 3]), np.zeros(6), 4)
-    m = {k: a.astype(np.float64) for k, a in lm.fresh(v, s).items()}
-    ids = v.look_up(list("abcdeabz"))
-    ctx, y = lm.windows(ids, 1, v.edge), v.cls[ids]
-    loss = lambda p: -lm.log_probability(p, ctx, y).mean()
-    for name in ("E", "W", "b", "V", "c"):
+    texts, s, v, m = small_lm(spark)
+    m = {k: a.astype(np.float64) for k, a in m.items()}
+    ids = v.look_up(texts[0].split())
+    ctx, (cls, leaf, _) = lm.windows(v.rows(ids), s.side, v.edge), v.target(ids)
+    loss = lambda p: -lm.log_probability(p, ctx, cls, leaf).mean()
+    for name in s.names:
         p, g2 = {k: a.copy() for k, a in m.items()}, {k: np.zeros(a.shape) for k, a in m.items()}
-        lm.learn(p, g2, ctx, y, 0.0)
+        lm.learn(p, g2, ctx, cls, leaf, 0.0)
         at = np.unravel_index(np.argmax(g2[name]), m[name].shape)
         up, down = ({k: a.copy() for k, a in m.items()} for _ in range(2))
         up[name][at] += 1e-5

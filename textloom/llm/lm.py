@@ -1,11 +1,13 @@
 """LM scoring by masked pseudo-likelihood.
 
-A small network sees the ``side`` words on either side of a token and predicts the token: window
-embeddings -> tanh layer -> softmax over word classes, times the share of the word within its class.
-A document's score is the sum over its tokens of log P(token | both sides). The word counts that
-define vocabulary and classes come from the whole corpus. Each partition trains on all its tokens in numpy
-from the same start, and the networks are averaged by their token counts, in ``rounds`` passes.
-The model has a fixed size (about 120 kB), so it is sent to the tasks with the code.
+A small network sees the ``side`` words on either side of a token and predicts the token itself: window
+embeddings -> tanh layer -> a class, and within the class a leaf, both by softmax. Each of the most frequent words has a leaf of its
+own; all other words have a slot each (or share one, by hash), the slots are dealt to bands of similar frequency, a leaf each, and a word's
+share within its band comes from its own count. So P(token | both sides) is a distribution over all words of the corpus.
+A document's score is the sum over its tokens of log P. The counts come from the whole corpus, and the table of slots grows with
+it: as many as words that occur twice, ``SLOTS`` at most, which bounds what is broadcast at 64 MiB. Each partition trains on all its tokens in numpy
+from the same start, and the networks are averaged by their token counts, in ``rounds`` passes; so the network, and with it the last digits
+of a score, depend on how the rows are dealt to partitions. The network has a fixed size (some 150 kB) and is sent to the tasks with the code.
 """
 
 from __future__ import annotations
@@ -23,67 +25,84 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, stage, table
+from textloom.llm.common import WORD, lean, stage, table
 
 _WORD = re.compile(WORD)
 SEED = 42
+#: Slots for words without a leaf of their own, at most: eight bytes each.
+SLOTS = 1 << 23
+CHUNK = 4096
 
 
 class _Ids(dict):
-    """Word -> id; hashed ids of other words are kept up to a bound."""
+    """Word -> id: the number of a known word, else one more than those and its slot; ids of other words are kept up to a bound."""
 
-    def __init__(self, known: dict[str, int], rare: int, most: int = 300_000):
+    def __init__(self, known: dict[str, int], slots: int, most: int = 300_000):
         super().__init__(known)
-        self.known, self.rare, self.most = known, rare, most
+        self.known, self.slots, self.most = known, slots, most
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(self.known)
-        value = self[word] = len(self.known) + xxhash.xxh64_intdigest(word, SEED) % self.rare
+        value = self[word] = len(self.known) + (xxhash.xxh64_intdigest(word, SEED) & (self.slots - 1))
         return value
 
     def __reduce__(self):
-        return _Ids, (self.known, self.rare, self.most)
+        return _Ids, (self.known, self.slots, self.most)
 
 
 @dataclass
-class Vocabulary:
-    """The ``top`` most frequent words have ids of their own; all others share ``rare`` hashed ids.
+class Shape:
+    side: int = 2
+    dim: int = 8
+    hidden: int = 16
+    batch: int = 8192
+    rate: float = 0.25
+    classes: int = 40
+    leaves: int = 48
+    bands: int = 64
+    #: rows of embeddings that words without a leaf of their own share
+    shared: int = 1024
+    seed: int = 7
+    names: tuple[str, ...] = field(default=("E", "W", "b", "V", "c", "G", "U", "B"))
+
+    @property
+    def top(self) -> int:
+        return self.classes * self.leaves - self.bands
 
-    ``cls``: class of each id; classes have near equal token counts, hashed ids are classes of their own.
-    ``inside``: log share of the id's words within the class. The id after the last stands for the text's edge.
-    """
+
+@dataclass
+class Vocabulary:
+    """``ids``: the words with a leaf of their own. ``leaf`` and ``inside``: for each slot, the leaf and the log share of a word of the slot within it."""
 
     ids: dict[str, int]
-    rare: int
-    cls: np.ndarray
+    leaf: np.ndarray
     inside: np.ndarray
-    classes: int
+    shape: Shape
 
     def __post_init__(self):
-        self.seen = _Ids(self.ids, self.rare)
+        self.seen = _Ids(self.ids, len(self.leaf))
 
     def look_up(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.seen.__getitem__, words), dtype=np.int32, count=len(words))
 
-    @property
-    def edge(self) -> int:
-        return len(self.ids) + self.rare
+    def target(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, leaf within the class, log share within the leaf) of each id."""
+        slot = ids - len(self.ids)
+        rare = slot >= 0
+        leaf = np.where(rare, self.leaf[slot * rare], ids)
+        return leaf // self.shape.leaves, leaf % self.shape.leaves, np.where(rare, self.inside[slot * rare], 0.0)
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """The row of embeddings of each id."""
+        known = len(self.ids)
+        return np.where(ids < known, ids, known + (ids - known) % self.shape.shared).astype(np.int32)
 
-@dataclass
-class Shape:
-    side: int = 2
-    dim: int = 8
-    hidden: int = 16
-    batch: int = 8192
-    rate: float = 0.25
-    top: int = 2000
-    rare: int = 16
-    classes: int = 48
-    seed: int = 7
-    names: tuple[str, ...] = field(default=("E", "W", "b", "V", "c"))
+    @property
+    def edge(self) -> int:
+        """The row of the text's edge."""
+        return len(self.ids) + self.shape.shared
 
 
 def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
@@ -102,97 +121,150 @@ def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
                     seen.clear()
         yield batch(seen)
 
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return lean(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def slot_counts(counts: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, words) of each slot; ``counts``: (word, n). Eight bytes a slot reach the driver."""
+
+    def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.array([xxhash.xxh64_intdigest(w, SEED) & (slots - 1) for w in b.column("word").to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"slot": at, "n": b.column("n")})
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, types = np.zeros(CHUNK, "<f4"), np.zeros(CHUNK, "<f4")
+        n[pdf["slot"] % CHUNK], types[pdf["slot"] % CHUNK] = pdf["n"], pdf["types"]
+        return pd.DataFrame({"chunk": [key[0]], "n": [n.tobytes()], "types": [types.tobytes()]})
+
+    sums = lean(counts).mapInArrow(slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+    chunks = sums.groupBy(F.expr(f"slot div {CHUNK}").alias("chunk")).applyInPandas(pack, "chunk long, n binary, types binary").collect()
+    n, types = np.zeros(max(slots, CHUNK), "<f4"), np.zeros(max(slots, CHUNK), "<f4")
+    for r in chunks:
+        at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
+        n[at], types[at] = np.frombuffer(r["n"], "<f4"), np.frombuffer(r["types"], "<f4")
+    return n[:slots], types[:slots]
 
 
-def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
-    """Top words and, for the rest, tokens and types per hashed id: a fixed number of rows."""
+def vocabulary(counts: DataFrame, shape: Shape, most: int = SLOTS) -> Vocabulary:
+    """The most frequent words (ties: the smaller one) and the table of slots, from the counts of all words."""
     best = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(shape.top).collect()]
-    slot = F.expr(f"cast(cast(conv(hex(xxhash64(word)), 16, 10) as decimal(20,0)) % {shape.rare} as int)")
     lowest = best[-1] if best else ("", 0)
     others = counts.filter((F.col("n") < lowest[1]) | ((F.col("n") == lowest[1]) & (F.col("word") > lowest[0])))
-    rest = {r["slot"]: (r["n"], r["types"]) for r in others.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    ids = {w: i for i, (w, _) in enumerate(best)}
-    n = np.array([c for _, c in best], dtype=float)
-    share = (np.cumsum(n) - n / 2) / max(n.sum(), 1)
-    cls = np.minimum((share * shape.classes).astype(int), shape.classes - 1)
-    mass = np.bincount(cls, weights=n, minlength=shape.classes)
-    inside = np.log(n) - np.log(mass[cls]) if len(n) else np.empty(0)
-    types = np.array([max(1, rest.get(k, (0, 1))[1]) for k in range(shape.rare)], dtype=float)
-    return Vocabulary(ids, shape.rare, np.concatenate((cls, shape.classes + np.arange(shape.rare))), np.concatenate((inside, -np.log(types))), shape.classes + shape.rare)
+    slots = min(most, 1 << max(10, others.filter("n > 1").count().bit_length()))
+    n, types = slot_counts(others, slots)
+    each = np.maximum(n, 0.5) / np.maximum(types, 1)  # tokens of a word of the slot
+    order = np.argsort(-each, kind="stable")
+    mass = np.cumsum(np.maximum(n, 0.5)[order], dtype=np.float64)
+    band = np.empty(slots, dtype=np.int32)
+    band[order] = np.minimum(mass / mass[-1] * shape.bands, shape.bands - 1).astype(np.int32)
+    total = np.bincount(band, weights=each.astype(np.float64) * np.maximum(types, 1), minlength=shape.bands)
+    return Vocabulary({w: i for i, (w, _) in enumerate(best)}, (shape.top + band).astype(np.int32), (np.log(each) - np.log(total[band])).astype(np.float32), shape)
 
 
 def fresh(v: Vocabulary, s: Shape) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(s.seed)
     width = 2 * s.side * s.dim
     normal = lambda *shape, sd: rng.normal(0, sd, shape).astype(np.float32)
-    return {"E": normal(v.edge + 1, s.dim, sd=0.3), "W": normal(width, s.hidden, sd=width**-0.5), "b": np.zeros(s.hidden, np.float32), "V": normal(s.hidden, v.classes, sd=0.1), "c": np.zeros(v.classes, np.float32)}
+    return {
+        "E": normal(v.edge + 1, s.dim, sd=0.3), "W": normal(width, s.hidden, sd=width**-0.5), "b": np.zeros(s.hidden, np.float32),
+        "V": normal(s.hidden, s.classes, sd=0.1), "c": np.zeros(s.classes, np.float32),
+        "G": 1 + normal(s.classes, s.hidden, sd=0.3), "U": normal(s.hidden, s.leaves, sd=0.1), "B": np.zeros((s.classes, s.leaves), np.float32),
+    }
 
 
-def windows(ids: np.ndarray, side: int, edge: int) -> np.ndarray:
-    """The ``side`` ids on the left and on the right of each position, the edge id beyond the ends."""
-    padded = np.concatenate((np.full(side, edge, np.int32), ids, np.full(side, edge, np.int32)))
-    n = len(ids)
+def windows(rows: np.ndarray, side: int, edge: int) -> np.ndarray:
+    """The ``side`` rows on the left and on the right of each position, the edge's row beyond the ends."""
+    padded = np.concatenate((np.full(side, edge, np.int32), rows, np.full(side, edge, np.int32)))
+    n = len(rows)
     return np.stack([padded[k : k + n] for k in range(2 * side + 1) if k != side], axis=1)
 
 
-def forward(m: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, hidden layer, scores of the classes, their exponentials, the sums of those)."""
+def scores(m: dict[str, np.ndarray], ctx: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(inputs, hidden layer, the class's gate, gated hidden layer, scores of the classes, scores of the leaves of the class)."""
     x = m["E"][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ m["W"] + m["b"])
-    z = h @ m["V"] + m["c"]
-    if np.abs(m["V"]).sum(axis=0).max() + np.abs(m["c"]).max() > 60:  # else the exponentials can't overflow, as |h| <= 1
+    gate = m["G"][cls]
+    gated = h * gate
+    z, y = h @ m["V"], gated @ m["U"]
+    z += m["c"]
+    y += m["B"][cls]
+    return x, h, gate, gated, z, y
+
+
+def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums), in place; scores are first lowered by their largest where they could overflow."""
+    if z.size and z.max() > 60:
         z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return x, h, z, e, e @ np.ones(e.shape[1], e.dtype)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def log_probability(m: dict[str, np.ndarray], ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log P(class | both sides) of each position's class."""
-    *_, z, _, total = forward(m, ctx)
-    return z[np.arange(len(y)), y] - np.log(total)
+def log_probability(m: dict[str, np.ndarray], ctx: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """log P(class and leaf | both sides) of each position."""
+    *_, z, y = scores(m, ctx, cls)
+    at = np.arange(len(cls))
+    p, p_sum = softmax(z)
+    q, q_sum = softmax(y)
+    tiny = np.finfo(p.dtype).tiny
+    return np.log(np.maximum(p[at, cls], tiny) / p_sum) + np.log(np.maximum(q[at, leaf], tiny) / q_sum)
 
 
-def learn(m: dict[str, np.ndarray], g2: dict[str, np.ndarray], ctx: np.ndarray, y: np.ndarray, rate: float) -> None:
+def learn(m: dict[str, np.ndarray], g2: dict[str, np.ndarray], ctx: np.ndarray, cls: np.ndarray, leaf: np.ndarray, rate: float) -> None:
     """One adaptive gradient step on a batch, in place."""
-    x, h, _, p, total = forward(m, ctx)
-    p /= total[:, None]
-    p[np.arange(len(y)), y] -= 1
-    dh = (p @ m["V"].T) * (1 - h * h)
-    dx = (dh @ m["W"].T).reshape(len(y) * ctx.shape[1], -1)
-    flat, rows = ctx.ravel(), len(m["E"])
-    grads = {"V": h.T @ p, "c": p.sum(axis=0), "W": x.T @ dh, "b": dh.sum(axis=0), "E": np.stack([np.bincount(flat, weights=dx[:, j], minlength=rows) for j in range(dx.shape[1])], axis=1)}
+    x, h, gate, gated, z, y = scores(m, ctx, cls)
+    n, at = len(cls), np.arange(len(cls))
+    p, p_sum = softmax(z)
+    q, q_sum = softmax(y)
+    p /= p_sum[:, None]
+    q /= q_sum[:, None]
+    p[at, cls] -= 1
+    q[at, leaf] -= 1
+    one = np.zeros_like(p)
+    one[at, cls] = 1
+    d_gated = q @ m["U"].T
+    dh = (p @ m["V"].T + d_gated * gate) * (1 - h * h)
+    rows, dim = m["E"].shape
+    dx = (dh @ m["W"].T).reshape(-1, dim)
+    spots = (ctx.reshape(-1, 1) * dim + np.arange(dim, dtype=np.int32)).ravel()
+    grads = {
+        "V": h.T @ p, "c": p.sum(axis=0), "W": x.T @ dh, "b": dh.sum(axis=0), "U": gated.T @ q, "B": one.T @ q, "G": one.T @ (d_gated * h),
+        "E": np.bincount(spots, weights=dx.ravel(), minlength=rows * dim).reshape(rows, dim),
+    }
     for k, g in grads.items():
-        g = (g / len(y)).astype(m[k].dtype)
+        g = (g / n).astype(m[k].dtype)
         g2[k] += g * g
         m[k] -= rate * g / (np.sqrt(g2[k]) + 1e-6)
 
 
-def train_round(docs: DataFrame, start: dict[str, np.ndarray], v: Vocabulary, s: Shape, fan: int = 64) -> dict[str, np.ndarray]:
-    """Train in every partition from ``start``; the mean network, weighted by tokens. ``fan`` partial sums reach the driver."""
+def train_round(docs: DataFrame, start: dict[str, np.ndarray], shared, s: Shape, fan: int = 64) -> dict[str, np.ndarray]:
+    """Train in every partition from ``start``; the mean network, weighted by tokens. ``fan`` partial sums reach the driver. ``shared``: the broadcast vocabulary."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         m = {k: a.copy() for k, a in start.items()}
         g2 = {k: np.full(a.shape, 1e-8, np.float32) for k, a in start.items()}
-        ctx, y, held, total = [], [], 0, 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                ids = v.look_up(_WORD.findall(text))
-                if not len(ids):
-                    continue
-                ctx.append(windows(ids, s.side, v.edge))
-                y.append(v.cls[ids])
-                held += len(ids)
-                if held >= s.batch:
-                    c, t = np.concatenate(ctx), np.concatenate(y)
-                    for at in range(0, len(t), s.batch):
-                        learn(m, g2, c[at : at + s.batch], t[at : at + s.batch], s.rate)
-                    total, ctx, y, held = total + len(t), [], [], 0
-        if held:
-            learn(m, g2, np.concatenate(ctx), np.concatenate(y), s.rate)
-            total += held
+        held, n, total = [], 0, 0
+
+        def step(at_least: int) -> None:
+            nonlocal held, n, total
+            if n and n >= at_least:
+                ctx, cls, leaf = (np.concatenate(x) for x in zip(*held))
+                for at in range(0, n, s.batch):
+                    some = slice(at, at + s.batch)
+                    learn(m, g2, ctx[some], cls[some], leaf[some], s.rate)
+                held, n, total = [], 0, total + n
+
+        for b in batches:
+            for text in b.column("text"):
+                ids = v.look_up(_WORD.findall(text.as_py()))
+                if len(ids):
+                    held.append((windows(v.rows(ids), s.side, v.edge), *v.target(ids)[:2]))
+                    n += len(ids)
+                    step(s.batch)
+        step(1)
         if total:
-            yield pd.DataFrame({"n": [float(total)], "model": [pickle.dumps({k: a * np.float64(total) for k, a in m.items()})]})
+            yield pa.RecordBatch.from_pydict({"n": [float(total)], "model": [pickle.dumps({k: a * np.float64(total) for k, a in m.items()})]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, acc = 0.0, None
@@ -204,7 +276,7 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], v: Vocabulary, s:
             yield pd.DataFrame({"n": [n], "model": [pickle.dumps(acc)]})
 
     kind = "n double, model binary"
-    parts = docs.mapInPandas(run, kind).repartition(fan).mapInPandas(add, kind).collect()
+    parts = lean(docs).mapInArrow(run, kind).repartition(fan).mapInPandas(add, kind).collect()
     if not parts:
         return start
     n = sum(r["n"] for r in parts)
@@ -212,14 +284,14 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], v: Vocabulary, s:
     return {k: (sum(x[k] for x in sums) / n).astype(np.float32) for k in start}
 
 
-def score(text: str, m: dict[str, np.ndarray], v: Vocabulary, s: Shape) -> tuple[int, float]:
+def score(text: str, m: dict[str, np.ndarray], v: Vocabulary, s: Shape, step: int = 1 << 10) -> tuple[int, float]:
     """(tokens, sum of log P(token | both sides))."""
     ids = v.look_up(_WORD.findall(text))
-    total = 0.0
-    ctx, cls, inside = windows(ids, s.side, v.edge), v.cls[ids], v.inside[ids]
-    for at in range(0, len(ids), 1 << 13):
-        some = slice(at, at + (1 << 13))
-        total += float(log_probability(m, ctx[some], cls[some]).sum(dtype=np.float64) + inside[some].sum())
+    ctx, (cls, leaf, inside) = windows(v.rows(ids), s.side, v.edge), v.target(ids)
+    total = float(inside.sum(dtype=np.float64))
+    for at in range(0, len(ids), step):
+        some = slice(at, at + step)
+        total += float(log_probability(m, ctx[some], cls[some], leaf[some]).sum(dtype=np.float64))
     return len(ids), total
 
 
@@ -227,23 +299,24 @@ def score_documents(docs: DataFrame, shape: Shape | None = None, rounds: int = 1
     """One row per input row: (doc_id, n_tokens, log_likelihood, mean_log_likelihood).
 
     Null and empty texts have 0 tokens, sum 0 and a null mean. Repeated rows train and score as often
-    as they occur; other columns are ignored; an empty input gives no rows.
+    as they occur, null ids stay null; other columns are ignored; an empty input gives no rows. Texts are read whole.
     """
-    s = shape or Shape()
+    s, spark = shape or Shape(), docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    v = vocabulary(stage(count_words(rows.select("text")), "lm-words"), s)
-    m = fresh(v, s)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = spark.sparkContext.broadcast(vocabulary(stage(count_words(rows.select("text")), "lm-words"), s))
+    m = fresh(shared.value, s)
     for _ in range(rounds):
-        m = train_round(rows.select("text"), m, v, s)
+        m = train_round(rows.select("text"), m, shared, s)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [score(t, m, v, s) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": np.array([n for n, _ in found], dtype=np.int64), "total": np.array([x for _, x in found], dtype=float)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for b in batches:
+            found = [score(t.as_py(), m, v, s) for t in b.column("text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array([n for n, _ in found], pa.int64()), "log_likelihood": pa.array([x for _, x in found], pa.float64())})
 
-    out = rows.mapInPandas(run, "id string, n long, total double")
-    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").alias("n_tokens"), F.col("total").alias("log_likelihood"), F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_log_likelihood"))
+    out = lean(rows).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
