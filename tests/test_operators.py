@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import export, memory, review, runs, segments, store, terms, translate
-from textloom.plans.keep import keeper
+from textloom.operators.keep import keeper
 from textloom.sources.formats import parse_files, tags_of
 
 RUBY = "array<struct<token:string,base:string,rt:string,style:string>>"
@@ -242,3 +242,19 @@ def test_progress_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("totals").collect())) == [(1, 2, 1, 1, 6, 3), (2, 1, 1, 0, 3, 3)]
+
+
+def test_numbers_are_gapless_at_size(spark):
+    """Many rows of uneven width: every row keeps its place, with adaptive execution and without."""
+    from textloom.operators.store import numbered
+
+    wide = F.repeat(F.lit("x"), (F.col("id") % 97 == 0).cast("int") * 400 + 1)
+    rows = spark.range(0, 200_000, 1, 7).select(((F.col("id") * 7919) % 200_003).alias("k"), wide.alias("payload"))
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", on)
+        out = numbered(rows, ["k"], "n")
+        checks = out.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.sum("n")).first()
+        assert tuple(checks) == (200_000, 200_000, 1, 200_000, 200_000 * 200_001 // 2)
+        a, b = out.alias("a"), out.alias("b")
+        assert not a.join(b, F.col("a.n") + 1 == F.col("b.n")).filter("a.k >= b.k").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")

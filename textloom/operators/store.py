@@ -6,10 +6,11 @@ an update means "leave it", so a field can't be cleared that way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.keep import keeper
 
 SEGMENTS = (
     "id long, doc_id long, seq long, src_text string, src_hash string, tgt_text string, status string, is_heading boolean, translatable boolean, "
@@ -63,7 +64,7 @@ def upsert_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
     )
     fresh = n.join(docs, F.col("path") == F.col("__path"), "left_anti")
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    ids = _numbered(fresh, ["__path"], "__n")
+    ids = numbered(fresh, ["__path"], "__n")
     added = ids.crossJoin(F.broadcast(top)).select(
         (F.col("__top") + F.col("__n")).alias("id"), F.col("__path").alias("path"), F.col("__format").alias("format"), F.col("__hash").alias("content_hash"),
         F.create_map().cast("map<string,string>").alias("tags"), F.lit(False).alias("terms_extracted"), F.lit("segmented").alias("status"),
@@ -71,16 +72,20 @@ def upsert_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
-def _numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Running number from 1 in the order of ``by`` without one task for all rows: ranges, then their offsets."""
-    spread = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    spread = spread.withColumn("__in", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = spread.groupBy("__pid").count()
-    from pyspark.sql import Window
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Running number from 1 in the order of ``by`` without one task for all rows: ranges, then their offsets. Ties get numbers in any order.
 
-    bases = counts.select(F.col("__pid").alias("__p"), (F.sum("count").over(Window.orderBy("__pid")) - F.col("count")).alias("__base"))  # a row per partition
-    out = spread.join(F.broadcast(bases), F.col("__pid") == F.col("__p"))
-    return out.withColumn(name, F.col("__base") + F.col("__in") + 1).drop("__pid", "__mono", "__in", "__p", "__base")
+    The ranges are written once, with their number and the place within them, and both counts and rows are read from there: planned
+    twice, the two would be cut differently.
+    """
+    spread = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__mono", F.monotonically_increasing_id())
+    spread = keeper(df.sparkSession)(spread, "numbered")
+    rows = spread.withColumn("__part", F.shiftright("__mono", 33)).withColumn("__in", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__count"))
+    before = F.sum("__count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__base"))  # a row per partition
+    out = rows.join(F.broadcast(bases), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.col("__base") + F.col("__in") + 1).drop("__part", "__mono", "__in", "__p", "__base")
 
 
 def delete_documents(docs: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

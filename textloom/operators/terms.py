@@ -108,11 +108,11 @@ def bridging_bigrams(docs: DataFrame, text: str = "text", order: str = "doc_id")
 
     Only the first and last Han character of a document travel. Numbering ranges of documents keeps it off one task.
     """
-    from textloom.operators.store import _numbered
+    from textloom.operators.store import numbered
 
     chars = F.regexp_extract_all(F.col(text), F.lit(T.HAN), F.lit(0))
     ends = docs.select(F.col(order).alias("__d"), F.try_element_at(chars, F.lit(1)).alias("a"), F.try_element_at(chars, F.lit(-1)).alias("z")).filter("a is not null")
-    numbered = _numbered(ends, ["__d"], "__n")
+    numbered = numbered(ends, ["__d"], "__n")
     nxt = numbered.select((F.col("__n") - 1).alias("__n"), F.col("a").alias("b"))
     return numbered.join(nxt, "__n").select(F.concat("z", "b").alias("word"))
 

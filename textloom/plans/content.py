@@ -224,10 +224,10 @@ def export_md_table(spark, sf_dir: str) -> DataFrame:
   lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(regexp_replace(r, '^0+([0-9])', '\\1'), 40, '0') ELSE lower(r) END), page_id) AS BIGINT) AS place FROM pages""")
 def natural_sort(spark, sf_dir: str) -> DataFrame:
     """Place of each page in the natural order of addresses, numbered without one task for all rows."""
-    from textloom.operators.store import _numbered
+    from textloom.operators.store import numbered
 
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("stem"), T.natural_key(F.col("url")).alias("key"))
-    return _numbered(rows, ["key", "page_id"], "place").select("page_id", "stem", F.col("place").cast("long").alias("place"))
+    return numbered(rows, ["key", "page_id"], "place").select("page_id", "stem", F.col("place").cast("long").alias("place"))
 
 
 @query()

@@ -187,7 +187,7 @@ SELECT h.id, CASE WHEN h.tm_id IS NULL THEN 'machine_translated' ELSE s.status E
 def translation_run(spark, sf_dir: str) -> DataFrame:
     """A whole run over all pending segments with the deterministic model: memory, deduplication, batches, answers, fan-out."""
     from textloom.plans.base import glossary
-    from textloom.plans.keep import keeper
+    from textloom.operators.keep import keeper
 
     s = segments(spark, sf_dir).withColumn("ruby_src", F.array().cast("array<struct<token:string,base:string,rt:string,style:string>>"))
     terms = glossary(spark).withColumn("occurrences", F.lit(1))

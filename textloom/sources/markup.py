@@ -7,8 +7,9 @@ import re
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
+from itertools import groupby
 
-from textloom.functions.plain import RUBY_SLOT, Block, FormatError, anchor, decode, effectively_empty, restore_ruby, ruby_enabled, split_long
+from textloom.functions.plain import Block, FormatError, decode, effectively_empty, reading_pieces, restore_ruby, ruby_enabled, split_long
 from textloom.sources.lines import final, paragraphs
 
 #: Fixed values. Elements that hold one paragraph of text; a div does if it has none of them inside.
@@ -227,37 +228,31 @@ def parse_html(raw: bytes, lang: str = "", **_) -> list[Block]:
     return parse_tree(build(decode(raw)), ruby_enabled(lang))
 
 
-def _fill(target: Node, source: Node, held: dict[str, Node], ruby: dict[str, dict], readings: dict[str, str]) -> None:
-    """Rebuild translated content: slots become their elements, reading slots <ruby> around the word before them."""
+def _opened(source: Node) -> list[Node | str]:
+    """The children, with those of elements that carry no meaning in their place, and neighbouring strings as one; comments go."""
+    out: list[Node | str] = []
+    for c in source.children:
+        if isinstance(c, Node):
+            out += [] if c.tag == "!" else [c] if c.tag in INLINE or c.tag in ("code", "img", "br") else _opened(c)
+        else:
+            out.append(c)
+    runs = groupby(out, lambda c: isinstance(c, str))
+    return [x for text, some in runs for x in (["".join(some)] if text else some)]
 
-    def put_text(into: Node, text: str) -> None:
-        for piece in _SPLIT.split(text):
-            if piece in held:
-                into.children.append(copy.deepcopy(held[piece]))
-            elif RUBY_SLOT.fullmatch(piece) and piece in ruby:
-                rt = readings.get(piece) or ruby[piece]["rt"]
-                last = into.children[-1] if into.children and isinstance(into.children[-1], str) else ""
-                before, word = anchor(last, ruby[piece]["base"])
-                if not word:
-                    into.children.append(f"（{rt}）")
-                    continue
-                into.children[-1] = before
-                into.children.append(Node("ruby", {}, [word, Node("rt", {}, [rt])]))
-            elif piece:
-                if into.children and isinstance(into.children[-1], str):
-                    into.children[-1] += piece
-                else:
-                    into.children.append(piece)
 
-    for c in source.children:
-        if isinstance(c, str):
-            put_text(target, c)
-        elif c.tag in INLINE or c.tag in ("code", "img", "br"):
-            inner = Node(c.tag, dict(c.attrs))
-            _fill(inner, c, held, ruby, readings)
-            target.children.append(inner)
-        elif c.tag != "!":
-            _fill(target, c, held, ruby, readings)
+def _fill(target: Node, source: Node, held: dict[str, Node], ruby: dict[str, dict], readings: dict[str, str]) -> None:
+    """Rebuild translated content: slots become their elements, reading slots <ruby> around the word before them."""
+    for c in _opened(source):
+        if isinstance(c, Node):
+            target.children.append(Node(c.tag, dict(c.attrs)))
+            _fill(target.children[-1], c, held, ruby, readings)
+            continue
+        for piece in reading_pieces(c, ruby.values(), readings, lambda e: ""):
+            if isinstance(piece, str):
+                target.children += [copy.deepcopy(held[x]) if x in held else x for x in _SPLIT.split(piece) if x]
+            else:
+                word, rt = piece
+                target.children.append(Node("ruby", {}, [word, Node("rt", {}, [rt])]))
 
 
 def render_tree(root: Node, blocks: list[Block], done: dict[int, str], mode: str, readings: dict[int, dict], ruby_on: bool, xml: bool = False) -> str:
