@@ -70,21 +70,23 @@ def deduplicate(todo: DataFrame, order: list[str]) -> DataFrame:
 def batches(todo: DataFrame, max_segments: int = MAX_SEGMENTS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Adds ``batch``, the number of the greedy batch within the document: a new one begins after ``max_segments`` segments or once ``max_chars`` characters are reached.
 
-    A fold over the document's lengths in order; only (seq, id, length) is gathered, not texts.
+    A fold over the document's lengths in order, which keeps where batches begin; only (seq, id, length) is gathered, not texts.
     """
-    item = F.array_sort(F.collect_list(F.struct("seq", "id", F.length("src_text").alias("n"))))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).alias("chars"), F.array().cast("array<struct<id:bigint,batch:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("count"), F.lit(0).alias("chars"), F.array(F.lit(0)).alias("starts"))
 
     def add(acc, x):
         full = (acc["count"] >= max_segments) | (acc["chars"] >= max_chars)
-        batch = acc["batch"] + full.cast("int")
         return F.struct(
-            batch.alias("batch"), (F.when(full, 0).otherwise(acc["count"]) + 1).alias("count"), (F.when(full, 0).otherwise(acc["chars"]) + x["n"]).alias("chars"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), batch.alias("batch")))).alias("out"),
+            (acc["at"] + 1).alias("at"), (F.when(full, 0).otherwise(acc["count"]) + 1).alias("count"), (F.when(full, 0).otherwise(acc["chars"]) + x["n"]).alias("chars"),
+            F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"),
         )
 
-    folded = todo.groupBy("doc_id").agg(F.aggregate(item, zero, add, lambda a: a["out"]).alias("out"))
-    return folded.select("doc_id", F.explode("out").alias("x")).select("doc_id", "x.id", F.col("x.batch").cast("long").alias("batch"))
+    items = todo.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id", F.length("src_text").alias("n")))).alias("items"))
+    items = items.withColumn("starts", F.aggregate("items", zero, add, lambda a: a["starts"]))
+    end = F.coalesce(F.try_element_at("starts", F.col("batch") + 2), F.size("items"))
+    dealt = items.select("doc_id", "items", "starts", F.posexplode("starts").alias("batch", "start"))
+    dealt = dealt.select("doc_id", F.col("batch").cast("long").alias("batch"), F.slice("items", F.col("start") + 1, end - F.col("start")).alias("items"))
+    return dealt.select("doc_id", "batch", F.explode("items.id").alias("id")).select("doc_id", "id", "batch")
 
 
 def context(segments: DataFrame, n: int) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.plans import content, state
+from textloom.plans import content, files, state
 
 
 def queries() -> dict:
-    return {**content.QUERIES, **state.QUERIES}
+    return {**content.QUERIES, **state.QUERIES, **files.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**content.SQL, **state.SQL}
+    return {**content.SQL, **state.SQL, **files.SQL}
