@@ -15,7 +15,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,11 +173,31 @@ def fresh(v: Vocabulary, s: Shape) -> dict[str, np.ndarray]:
     }
 
 
-def windows(rows: np.ndarray, side: int, edge: int) -> np.ndarray:
-    """The ``side`` rows on the left and on the right of each position, the edge's row beyond the ends."""
-    padded = np.concatenate((np.full(side, edge, np.int32), rows, np.full(side, edge, np.int32)))
-    n = len(rows)
-    return np.stack([padded[k : k + n] for k in range(2 * side + 1) if k != side], axis=1)
+def grouped(texts: Iterable[str], v: Vocabulary, s: Shape, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(tokens of each text, text of each token, windows, class, leaf, log share) of runs of texts with ``least`` tokens or more.
+
+    A window is the ``side`` rows on the left and on the right of a position, the edge's row beyond the ends of its text.
+    """
+    offsets = np.array([k for k in range(-s.side, s.side + 1) if k])
+
+    def made(words: list[str], sizes: list[int]) -> tuple[np.ndarray, ...]:
+        ids, n = v.look_up(words), np.array(sizes)
+        of = np.repeat(np.arange(len(n)), n)
+        padded = np.full(len(ids) + s.side * (len(n) + 1), v.edge, np.int32)
+        at = np.arange(len(ids)) + s.side * (1 + of)
+        padded[at] = v.rows(ids)
+        return n, of, padded[at[:, None] + offsets], *v.target(ids)
+
+    words, sizes = [], []
+    for text in texts:
+        found = _WORD.findall(text)
+        words += found
+        sizes.append(len(found))
+        if len(words) >= least:
+            yield made(words, sizes)
+            words, sizes = [], []
+    if sizes:
+        yield made(words, sizes)
 
 
 def scores(m: dict[str, np.ndarray], ctx: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -244,25 +264,13 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], shared, s: Shape,
         v = shared.value
         m = {k: a.copy() for k, a in start.items()}
         g2 = {k: np.full(a.shape, 1e-8, np.float32) for k, a in start.items()}
-        held, n, total = [], 0, 0
-
-        def step(at_least: int) -> None:
-            nonlocal held, n, total
-            if n and n >= at_least:
-                ctx, cls, leaf = (np.concatenate(x) for x in zip(*held))
-                for at in range(0, n, s.batch):
-                    some = slice(at, at + s.batch)
-                    learn(m, g2, ctx[some], cls[some], leaf[some], s.rate)
-                held, n, total = [], 0, total + n
-
-        for b in batches:
-            for text in b.column("text"):
-                ids = v.look_up(_WORD.findall(text.as_py()))
-                if len(ids):
-                    held.append((windows(v.rows(ids), s.side, v.edge), *v.target(ids)[:2]))
-                    n += len(ids)
-                    step(s.batch)
-        step(1)
+        total = 0
+        texts = (t.as_py() for b in batches for t in b.column("text"))
+        for _, _, ctx, cls, leaf, _ in grouped(texts, v, s, s.batch):
+            for at in range(0, len(cls), s.batch):
+                some = slice(at, at + s.batch)
+                learn(m, g2, ctx[some], cls[some], leaf[some], s.rate)
+            total += len(cls)
         if total:
             yield pa.RecordBatch.from_pydict({"n": [float(total)], "model": [pickle.dumps({k: a * np.float64(total) for k, a in m.items()})]})
 
@@ -284,15 +292,17 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], shared, s: Shape,
     return {k: (sum(x[k] for x in sums) / n).astype(np.float32) for k in start}
 
 
-def score(text: str, m: dict[str, np.ndarray], v: Vocabulary, s: Shape, step: int = 1 << 10) -> tuple[int, float]:
-    """(tokens, sum of log P(token | both sides))."""
-    ids = v.look_up(_WORD.findall(text))
-    ctx, (cls, leaf, inside) = windows(v.rows(ids), s.side, v.edge), v.target(ids)
-    total = float(inside.sum(dtype=np.float64))
-    for at in range(0, len(ids), step):
-        some = slice(at, at + step)
-        total += float(log_probability(m, ctx[some], cls[some], leaf[some]).sum(dtype=np.float64))
-    return len(ids), total
+def score(texts: Iterable[str], m: dict[str, np.ndarray], v: Vocabulary, s: Shape, step: int = 1 << 10) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sum of log P(token | both sides)) of each text."""
+    counts, sums = [np.empty(0, np.int64)], [np.empty(0)]
+    for n, of, ctx, cls, leaf, inside in grouped(texts, v, s, 8 * step):
+        logs = inside.astype(np.float64)
+        for at in range(0, len(cls), step):
+            some = slice(at, at + step)
+            logs[some] += log_probability(m, ctx[some], cls[some], leaf[some])
+        counts.append(n)
+        sums.append(np.bincount(of, weights=logs, minlength=len(n)))
+    return np.concatenate(counts), np.concatenate(sums)
 
 
 def score_documents(docs: DataFrame, shape: Shape | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,8 +322,8 @@ def score_documents(docs: DataFrame, shape: Shape | None = None, rounds: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            found = [score(t.as_py(), m, v, s) for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array([n for n, _ in found], pa.int64()), "log_likelihood": pa.array([x for _, x in found], pa.float64())})
+            n, total = score((t.as_py() for t in b.column("text")), m, v, s)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total, pa.float64())})
 
     out = lean(rows).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
