@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, lm, mixing, packing, quality, secrets, simhash, substring, token_files
+from textloom.llm import chat, exact, lm, mixing, packing, periodic, quality, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_score": lm.op8_lm_score,
         "op9_mixing": mixing.op9_mixing,
         "op10_exact_dedup": exact.op10_exact_dedup,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
