@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, lm, mixing, packing, periodic, quality, secrets, simhash, substring, token_files
+from textloom.llm import chat, exact, importance, lm, mixing, packing, periodic, quality, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_exact_dedup": exact.op10_exact_dedup,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op13_importance": importance.op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.OP3_SQL, "op7_chat_format": chat.OP7_SQL, "op10_exact_dedup": exact.OP10_SQL}
+    return {"op3_substring_dedup": substring.OP3_SQL, "op7_chat_format": chat.OP7_SQL, "op10_exact_dedup": exact.OP10_SQL, "op13_importance": importance.OP13_SQL}
