@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, exact, importance, lm, mixing, packing, periodic, quality, secrets, simhash, substring, token_files
+from textloom.llm import chat, exact, importance, lm, mixing, neighbours, packing, periodic, quality, secrets, simhash, substring, token_files
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_exact_dedup": exact.op10_exact_dedup,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_neighbours": neighbours.op12_neighbours,
         "op13_importance": importance.op13_importance,
     }
 
