@@ -61,12 +61,29 @@ def test_consistency_and_issues(spark):
     assert [[(i.kind, i.term, i.old) for i in r.issues] for r in found.orderBy("id").collect()] == [[("old", "灵石", "Spirit Stone")], [("missing", "丹炉", "")]]
 
 
-def test_large_glossary_joins_the_same_rows(spark):
-    rows = segs(spark, [(i, 1, i, f"w{i} abc{i % 7}x y", None, "pending", "A") for i in range(40)])
-    g = glossary(spark, [(f"c{i}x", ["q"], "") for i in range(9)] + [("y", ["q"], ""), ("", ["q"], "")])
-    small, large = terms.containing(rows, g, "src_text"), terms.containing(rows, g, "src_text", inline=2)
-    key = lambda d: sorted((r.id, r.src) for r in d.collect())
-    assert key(small) == key(large) and len(key(small)) == 80
+def test_many_terms_split_over_automata(spark, monkeypatch):
+    rows = segs(spark, [(i, 1, i, f"w{i} abc{i % 7}x y" if i % 9 else None, None, "pending", "A") for i in range(40)])
+    g = glossary(spark, [(f"c{i}x", ["q"], "") for i in range(9)] + [("y", ["q"], ""), ("", ["q"], ""), ("y", ["r"], "")])
+    key = lambda d: sorted((r.id, r.src, r.cands[0]) for r in d.collect())
+    one = key(terms.containing(rows, g, "src_text"))
+    monkeypatch.setattr(terms, "AUTOMATON_CHARS", 7)
+    monkeypatch.setattr(terms, "BROADCAST_BYTES", 0)
+    assert len(terms.automata(g.select("src"))) > 3 and key(terms.containing(rows, g, "src_text")) == one
+    assert one == sorted((r.id, t.src, t.cands[0]) for r in rows.collect() for t in g.collect() if t.src and r.src_text and t.src in r.src_text)
+    assert terms.containing(rows, g.limit(0), "src_text").count() == 0
+
+
+def test_a_term_in_every_segment(spark):
+    """Suspicious segments are the first fifty by document and place, whatever the partitions; nothing but a row a term and partition is shuffled."""
+    n = 3000
+    rows = spark.range(n).selectExpr("(id * 7919) % 3000 as id", "id % 13 as doc_id", "id as seq", "'the cat ' || id as src_text", "if(id % 3 = 0, 'la chat', 'x Chats chat') as tgt_text", "'confirmed' as status", "true as translatable").repartition(7)
+    g = glossary(spark, [("the", ["chat"], ""), ("cat", ["none"], ""), ("cat", ["x"], ""), ("qq", ["x"], "")])
+    got = {r.src + r.candidates: r for r in terms.consistency(rows, g, keep=50).collect()}
+    want = [r.id for r in rows.orderBy("doc_id", "seq").collect()]
+    assert (got["thechat"].src_hits, got["thechat"].candidate_hits, got["thechat"].suspicious) == (n, n // 3 + 4 * n // 3, [])
+    assert (got["catnone"].src_hits, got["catnone"].candidate_hits, got["catnone"].suspicious) == (n, 0, want[:50])
+    third = [r.id for r in rows.filter("seq % 3 = 0").orderBy("doc_id", "seq").collect()]
+    assert got["catx"].suspicious == third[:50] and got["qqx"].src_hits == 0
 
 
 def test_impact_replace_undo(spark):

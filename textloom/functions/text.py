@@ -121,41 +121,61 @@ def join_parts(parts: Column, latin: Column) -> Column:
 # ---- slots: one pass from left to right ----
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a column used inside a lambda would be worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pieces(c: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
+    """The text as pieces in order: struct (gap, g0, ...), what is before a match and its groups; the groups of the last piece are null."""
+    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)]
+    return F.arrays_zip(F.split(c, pattern, -1).alias("gap"), *found)
+
+
+def joined(parts: Column, value) -> Column:
+    """Pieces put together again, with ``value(piece, place)`` after each gap but the last."""
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(p["gap"], F.when(p["g0"].isNull(), "").otherwise(value(p, i)))), "")
+
+
 def replace_each(c: Column, pattern: str, value) -> Column:
     """Replace every match by ``value(match)`` in one pass, so inserted text is never matched again."""
-    gaps, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pairs = F.transform(found, lambda m, i: F.concat(F.element_at(gaps, i + 1), value(m)))
-    return F.concat(F.array_join(pairs, ""), F.element_at(gaps, -1))
+    return joined(pieces(c, pattern), lambda p, _: value(p["g0"]))
+
+
+def by_slot(slot: Column, names: Column, values: Column) -> Column:
+    """The value whose name is ``slot``, else null. Slots are mostly in the place that their number says; only others are searched for."""
+    at = F.regexp_extract(slot, r"(?<=\D)([0-9]{1,9})\}", 1)
+    place = F.when(at != "", at.cast("int") + 1).otherwise(0)
+    there = F.when(place.between(1, F.size(names)), F.element_at(names, F.greatest(place, F.lit(1)))) == slot
+    other = F.nullif(F.array_position(names, slot), F.lit(0))
+    return F.when(there, F.element_at(values, F.greatest(place, F.lit(1)))).otherwise(F.when(other.isNotNull(), F.element_at(values, F.coalesce(other, F.lit(1)).cast("int"))))
 
 
 def restore(c: Column, protected: Column) -> Column:
     """Put protected fragments (map slot -> text) back; unknown slots stay."""
-    return replace_each(c, r"\{r?\p{Nd}+\}", lambda m: F.coalesce(F.try_element_at(protected, m), m))
+    known = F.struct(F.map_keys(protected).alias("names"), F.map_values(protected).alias("values"))
+    return F.when(protected.isNull(), c).otherwise(bind(known, lambda k: replace_each(c, r"\{r?\p{Nd}+\}", lambda m: F.coalesce(by_slot(m, k["names"], k["values"]), m))))
 
 
 def protect(c: Column, patterns: list[str]) -> Column:
     """Struct (text, slots): matches of each pattern in turn become {0}, {1}, ...; slots maps them to the text."""
-    text, kept = c, F.create_map().cast("map<string,string>")
+    state = F.struct(c.alias("text"), F.create_map().cast("map<string,string>").alias("slots"))
     for p in patterns:
-        found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-        start = F.size(kept)
-        names = _names(found, start)
-        gaps = F.split(text, p, -1)
-        text = F.concat(F.array_join(_zip_concat(gaps, names), ""), F.element_at(gaps, -1))
-        kept = F.map_concat(kept, F.map_from_arrays(names, _restored(found, kept)))  # a match may hold slots of the patterns before
-    return F.struct(text.alias("text"), kept.alias("slots"))
-
-
-def _restored(found: Column, kept: Column) -> Column:
-    return F.transform(found, lambda x: restore(x, kept))
+        state = _protected(state, p)
+    return state
 
 
-def _names(found: Column, start: Column) -> Column:
-    return F.transform(found, lambda _, i: F.concat(F.lit("{"), (start + i).cast("string"), F.lit("}")))
+def _protected(state: Column, pattern: str) -> Column:
+    """The state after one pattern; a match may hold slots of the patterns before, which are put back in what is kept."""
 
+    def step(x: Column) -> Column:
+        start = F.size(x["slots"])
+        name = lambda i: F.concat(F.lit("{"), (start + i).cast("string"), F.lit("}"))
+        hits = F.filter(x["parts"], lambda q: q["g0"].isNotNull())
+        names, texts = F.transform(hits, lambda _, i: name(i)), F.transform(hits, lambda q: restore(q["g0"], x["slots"]))
+        return F.struct(joined(x["parts"], lambda _, i: name(i)).alias("text"), F.map_concat(x["slots"], F.map_from_arrays(names, texts)).alias("slots"))
 
-def _zip_concat(gaps: Column, names: Column) -> Column:
-    return F.transform(names, lambda n, i: F.concat(F.element_at(gaps, i + 1), n))
+    return bind(state, lambda s: bind(F.struct(pieces(s["text"], pattern).alias("parts"), s["slots"].alias("slots")), step))
 
 
 # ---- readings (ruby) ----
@@ -167,35 +187,39 @@ def strip_ruby_tokens(c: Column) -> Column:
 
 def strip_ruby_markup(c: Column) -> Column:
     """Drop <rt> and <rp> with their content, other ruby tags, and slots."""
-    bare = F.regexp_replace(c, r"(?is)<rt\b[^>]*>(.*?)</rt>", "")
-    bare = F.regexp_replace(bare, r"(?is)<rp\b[^>]*>.*?</rp>", "")
-    bare = F.regexp_replace(bare, r"(?i)</?(?:ruby|rb|rt|rp)\b[^>]*>", "")
+    bare = F.regexp_replace(c, r"(?is)<(r[tp])\b[^>]*>.*?</\1>|</?r(?:uby|[btp])\b[^>]*>", "")
     return strip_ruby_tokens(bare)
 
 
 def rubyize_aozora(c: Column) -> Column:
     """Struct (text, entries) for base《reading》: the base stays, the reading becomes slot {rK}."""
     pattern = r"([\u4e00-\u9fff々〆\u30A0-\u30FFーA-Za-z0-9]{1,20})《([^》\n]{1,30})》"
-    base, reading = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
-    gaps = F.split(c, pattern, -1)
     slot = lambda i: F.concat(F.lit("{r"), i.cast("string"), F.lit("}"))
-    text = F.concat(F.array_join(F.transform(base, lambda b, i: F.concat(F.element_at(gaps, i + 1), b, slot(i))), ""), F.element_at(gaps, -1))
-    entries = F.transform(base, lambda b, i: F.struct(slot(i).alias("token"), b.alias("base"), F.element_at(reading, i + 1).alias("rt"), F.lit("aozora").alias("style")))
-    return F.struct(text.alias("text"), entries.alias("entries"))
+
+    def taken(parts: Column) -> Column:
+        hits = F.filter(parts, lambda p: p["g0"].isNotNull())
+        entries = F.transform(hits, lambda p, i: F.struct(slot(i).alias("token"), p["g0"].alias("base"), p["g1"].alias("rt"), F.lit("aozora").alias("style")))
+        return F.struct(joined(parts, lambda p, i: F.concat(p["g0"], slot(i))).alias("text"), entries.alias("entries"))
+
+    return bind(pieces(c, pattern, (1, 2)), taken)
 
 
 def restore_ruby(c: Column, entries: Column, readings: Column | None = None, style: str | None = None) -> Column:
     """Slots back to 《reading》, or （reading） in paren style; ``readings`` (map slot -> text) wins where not empty."""
-    rendered = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["token"], F.struct(e["rt"].alias("rt"), e["style"].alias("style")))))
 
-    def value(token: Column) -> Column:
-        e = F.try_element_at(rendered, token)
-        own = F.lit(None).cast("string") if readings is None else F.nullif(F.try_element_at(readings, token), F.lit(""))
-        rt = F.coalesce(own, e["rt"])
-        paren = F.lit(style == "paren") if style else e["style"] == "paren"
-        return F.when(e.isNull(), token).when(paren, F.concat(F.lit("（"), rt, F.lit("）"))).otherwise(F.concat(F.lit("《"), rt, F.lit("》")))
+    def put_back(known: Column) -> Column:
+        def value(token: Column) -> Column:
+            e = by_slot(token, known["names"], known["entries"])
+            own = F.lit(None).cast("string") if readings is None else F.nullif(by_slot(token, known["own"], known["texts"]), F.lit(""))
+            rt = F.coalesce(own, e["rt"])
+            paren = F.lit(style == "paren") if style else e["style"] == "paren"
+            return F.when(e.isNull(), token).when(paren, F.concat(F.lit("（"), rt, F.lit("）"))).otherwise(F.concat(F.lit("《"), rt, F.lit("》")))
+
+        return replace_each(c, RUBY_SLOT, value)
 
-    return F.when(F.size(entries) > 0, replace_each(c, RUBY_SLOT, value)).otherwise(c)
+    own = [] if readings is None else [F.coalesce(F.map_keys(readings), F.array().cast("array<string>")).alias("own"), F.coalesce(F.map_values(readings), F.array().cast("array<string>")).alias("texts")]
+    known = F.struct(F.transform(entries, lambda e: e["token"]).alias("names"), entries.alias("entries"), *own)
+    return F.when(F.size(entries) > 0, bind(known, put_back)).otherwise(c)
 
 
 # ---- terms ----
@@ -278,11 +302,11 @@ def snippet(text: Column, needle: Column, around: int = 20, head: int = 60) -> C
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which digit runs compare as numbers: alternating runs of other and digit characters, numbers padded."""
+    """Sort key in which digit runs compare as numbers of any length: alternating runs of other and digit characters, a number led by how long it is."""
     runs = F.regexp_extract_all(F.concat(c, F.lit("")), F.lit(r"\p{Nd}+|\P{Nd}+"), F.lit(0))
     lead = F.when(c.rlike(r"\A\p{Nd}"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    key = lambda r: F.when(r.rlike(r"\A\p{Nd}"), F.lpad(F.regexp_replace(r, r"\A0+(?=\p{Nd})", ""), 40, "0")).otherwise(F.lower(r))
-    return F.concat(lead, F.transform(runs, key))
+    number = lambda r: bind(F.regexp_replace(r, r"\A0+(?=\p{Nd})", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
+    return F.concat(lead, F.transform(runs, lambda r: F.when(r.rlike(r"\A\p{Nd}"), number(r)).otherwise(F.lower(r))))
 
 
 # ---- estimates ----
@@ -328,7 +352,5 @@ def katakana_runs(c: Column) -> Column:
 
 def han_bigrams(c: Column) -> Column:
     """Pairs of neighbouring Han characters once all other characters are dropped."""
-    chars = F.regexp_extract_all(c, F.lit(HAN), F.lit(0))
-    n = F.size(chars)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))
-    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
+    pairs = lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: F.concat(a, b))  # noqa: E731  the last one has no partner and is null
+    return F.coalesce(bind(F.regexp_extract_all(c, F.lit(HAN), F.lit(0)), lambda x: F.filter(pairs(x), lambda p: p.isNotNull())), F.array().cast("array<string>"))

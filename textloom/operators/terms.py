@@ -1,44 +1,68 @@
 """Glossary, term candidates, consistency, and the impact of changed terms.
 
-A glossary of up to ``INLINE`` terms becomes an array in the projection, checked by count; a segment then
-finds its terms in one pass without a join. A larger one is joined on short leading grams, an equality
-join, and re-checked. Both give the same rows.
+Terms are found by an automaton over all of them: one pass over a text gives every term it contains, however many terms there are. A
+glossary of more than ``AUTOMATON_CHARS`` characters is split by a hash into several automata, one pass each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.automaton import Automaton
 from textloom.operators.store import TRANSLATED
 
-INLINE = 2000
-GRAM = 4
+#: Characters of the terms of one automaton, at most; about 20 bytes each in every task.
+AUTOMATON_CHARS = 2_000_000
+#: Bytes of the rows of terms that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def automata(words: DataFrame) -> list[Automaton]:
+    """Automata that together hold the distinct words of the only column: one, unless they are more than ``AUTOMATON_CHARS`` characters."""
+    (name,) = words.columns
+    used = words.filter(F.col(name) != "").distinct()
+    parts = max(1, -(-(used.agg(F.sum(F.length(name))).first()[0] or 0) // AUTOMATON_CHARS))
+    shard = F.pmod(F.xxhash64(name), F.lit(parts))
+    return [Automaton([r[0] for r in used.filter(shard == i).collect()]) for i in range(parts)]
+
+
+def found_in(automaton: Automaton, text: Column) -> Column:
+    """The words of the automaton that the text contains, each once."""
+
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
+        rows, words = automaton.find(texts)
+        names = pa.array(automaton.words, pa.string()).take(pa.array(words)) if len(words) else pa.array([], pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)), pa.int32()), names)
 
+    return find(text)
 
-def containing(segments: DataFrame, terms: DataFrame, text: str, needle: str = "src", inline: int = INLINE) -> DataFrame:
+
+def everywhere(df: DataFrame) -> DataFrame:
+    """Sent to all tasks if its rows are small enough together, which is counted."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def containing(segments: DataFrame, terms: DataFrame, text: str, needle: str = "src") -> DataFrame:
     """Rows (segment, term) where ``text`` contains the term's ``needle``, which isn't empty."""
     used = terms.filter(F.col(needle) != "")
-    rows = used.limit(inline + 1).collect()
-    if not rows:
-        empty = used.limit(0)
-        return segments.join(empty, F.lit(False))
-    if len(rows) <= inline:
-        as_struct = F.array(*[F.struct(*[F.lit(r[c]).cast(used.schema[c].dataType).alias(c) if not isinstance(r[c], list) else F.array(*map(F.lit, r[c])).cast(used.schema[c].dataType).alias(c) for c in used.columns]) for r in rows])
-        hits = F.filter(as_struct, lambda t: F.contains(F.coalesce(F.col(text), F.lit("")), t[needle]))
-        return segments.withColumn("__hit", F.explode(hits)).select(*segments.columns, *[F.col(f"__hit.{c}").alias(c) for c in used.columns])
-    sized = used.withColumn("__g", F.substring(needle, 1, GRAM))
-    lengths = [r[0] for r in sized.select(F.length("__g")).distinct().collect()]  # 1..GRAM
-    body = F.coalesce(F.col(text), F.lit(""))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(body, n) for n in lengths])))
-    spread = segments.withColumn("__g", F.explode(grams))
-    return spread.join(sized, "__g").filter(F.contains(body, F.col(needle))).drop("__g")
-
-
-def _grams(body: Column, n: int) -> Column:
-    at = F.when(F.length(body) >= n, F.sequence(F.lit(1), F.length(body) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(body, i, n))
+    known = everywhere(used.withColumn("__hit", F.col(needle)))
+    found = [segments.withColumn("__hit", F.explode(found_in(a, F.col(text)))) for a in automata(used.select(needle))]
+    return union(found).join(known, "__hit").select(*segments.columns, *used.columns)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # ---- glossary ----
@@ -124,25 +148,74 @@ def consistency(segments: DataFrame, terms: DataFrame, keep: int = 50) -> DataFr
     """Per term: hits in sources, occurrences of its candidates in targets, status, and the first suspicious segments.
 
     ``terms`` (ord, src, cands). A term is missing if the source has it and no target has a candidate. A segment is suspicious if it
-    is translated, its source has the term and its target no candidate.
+    is translated, its source has the term and its target no candidate. The segments are read once; each task reduces what it finds to a
+    row a term before anything is shuffled.
     """
     segs = segments.filter("translatable")
-    hit = containing(segs, terms.select("ord", "src", "cands"), "src_text").withColumn("found", T.mentions(F.coalesce("tgt_text", F.lit("")), F.col("cands")))
-    suspect = ~F.col("found") & F.col("status").isin(list(TRANSLATED))
-    src = hit.groupBy("ord").agg(F.count("*").alias("src_hits"))
-    w = Window.partitionBy("ord").orderBy("doc_id", "seq")
-    firsts = hit.filter(suspect).select("ord", "doc_id", "seq", "id").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= keep)
-    sus = firsts.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("suspicious"))
     each = terms.select("ord", F.explode("cands").alias("cand")).withColumn("low", F.lower(T.strip(F.col("cand"))))
-    tgt = segs.select(F.coalesce("tgt_text", F.lit("")).alias("t")).withColumn("t_low", F.lower("t"))
-    cand = containing(tgt, each, "t_low", "low").groupBy("ord").agg(F.sum(T.count_any(F.col("t"), T.variants(F.col("cand")))).alias("candidate_hits"))
-    out = terms.join(src, "ord", "left").join(cand, "ord", "left").join(sus, "ord", "left")
+    none = F.lit(None)
+    known = terms.select(F.lit("src").alias("kind"), F.col("src").alias("word"), "ord", "cands", none.cast("string").alias("cand"))
+    known = known.unionByName(each.select(F.lit("cand").alias("kind"), F.col("low").alias("word"), "ord", none.cast("array<string>").alias("cands"), "cand"))
+    target = F.coalesce("tgt_text", F.lit(""))
+    tagged = lambda kind, words: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    found = [F.flatten(F.array(*[tagged("src", found_in(a, F.col("src_text"))) for a in automata(terms.select("src"))], *[tagged("cand", found_in(a, F.lower(target))) for a in automata(each.select("low"))]))]
+    hits = segs.select("doc_id", "seq", "id", target.alias("t"), F.col("status").isin(list(TRANSLATED)).alias("done"), F.explode(*found).alias("x"))
+    hits = hits.select("*", "x.kind", "x.word").drop("x").join(everywhere(known), ["kind", "word"])
+    suspect = (F.col("kind") == "src") & F.col("done") & ~T.mentions(F.col("t"), F.col("cands"))
+    n = F.when(F.col("kind") == "cand", T.count_any(F.col("t"), T.variants(F.col("cand")))).otherwise(0)
+    rows = hits.select("ord", "doc_id", "seq", "id", suspect.alias("suspect"), (F.col("kind") == "src").cast("long").alias("src_hits"), n.cast("long").alias("candidate_hits"))
+    out = terms.join(first_suspects(rows, keep), "ord", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     out = out.select("ord", "src", F.array_join("cands", "|").alias("candidates"), n("src_hits").alias("src_hits"), n("candidate_hits").alias("candidate_hits"), F.coalesce("suspicious", F.array().cast("array<bigint>")).alias("suspicious"))
     status = F.when((F.col("candidate_hits") > 0) | (F.col("src_hits") == 0), "ok").otherwise("missing")
     return out.withColumn("status", status).orderBy(F.col("status") != "missing", F.desc("src_hits"), "ord")
 
 
+def first_suspects(rows: DataFrame, keep: int) -> DataFrame:
+    """(ord, src_hits, candidate_hits, suspicious): sums, and the ids of the ``keep`` first suspicious rows by document and place.
+
+    ``rows`` (ord, doc_id, seq, id, suspect, src_hits, candidate_hits). A k-smallest aggregate that combines before the shuffle: each
+    partition leaves one row a term with ``keep`` entries at most; these are merged in two steps, so that no
+    task gets the rows of all partitions of a term at once.
+    """
+    kind = "ord int, part int, src_hits long, candidate_hits long, firsts array<struct<doc_id:long,seq:long,id:long>>"
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sums, held = np.zeros((0, 3), dtype=np.int64), np.zeros((0, 4), dtype=np.int64)
+        for batch in batches:
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("ord", "doc_id", "seq", "id", "suspect", "src_hits", "candidate_hits")}
+            sums = _summed(np.concatenate((sums, np.stack((c["ord"], c["src_hits"], c["candidate_hits"]), axis=1))))
+            some = c["suspect"].astype(bool)
+            held = _firsts(np.concatenate((held, np.stack([c[k][some] for k in ("ord", "doc_id", "seq", "id")], axis=1))), keep)
+        at = np.searchsorted(held[:, 0], sums[:, 0], side="left"), np.searchsorted(held[:, 0], sums[:, 0], side="right")
+        firsts = [[{"doc_id": d, "seq": q, "id": i} for _, d, q, i in held[a:b].tolist()] for a, b in zip(*at)]
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_pydict({"ord": pa.array(sums[:, 0], pa.int32()), "part": pa.array([part] * len(sums), pa.int32()), "src_hits": sums[:, 1], "candidate_hits": sums[:, 2], "firsts": pa.array(firsts, pa.list_(pa.struct([("doc_id", pa.int64()), ("seq", pa.int64()), ("id", pa.int64())])))})
+
+    out = rows.mapInArrow(reduce, kind)
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, keep).alias("firsts")
+    for key in (["ord", "part"], ["ord"]):
+        out = out.groupBy(*key).agg(F.sum("src_hits").alias("src_hits"), F.sum("candidate_hits").alias("candidate_hits"), merged)
+    return out.select("ord", "src_hits", "candidate_hits", F.transform("firsts", lambda x: x["id"]).alias("suspicious"))
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (key, numbers) added up by key, in order of the keys."""
+    keys, which = np.unique(rows[:, 0], return_inverse=True)
+    out = np.zeros((len(keys), rows.shape[1]), dtype=np.int64)
+    np.add.at(out, which, rows)
+    out[:, 0] = keys
+    return out
+
+
+def _firsts(rows: np.ndarray, keep: int) -> np.ndarray:
+    """The ``keep`` smallest rows of each first value, in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.arange(len(rows)) - np.searchsorted(rows[:, 0], rows[:, 0]) < keep]
+
+
 def write_consistency(report: DataFrame, path: str) -> None:
     """The report as CSV with a mark and Chinese headers, in report order. It has a row per term, so it is written as one file."""
     import csv
@@ -168,18 +241,25 @@ def impact(segments: DataFrame, diff: DataFrame) -> DataFrame:
     """(seg_id, doc_id, kind, term, old, new): "old" where a former candidate is left in a target, "missing" where a
     translated segment has the term and no current candidate. Only changed terms are looked at.
 
-    The last former candidate that occurs is reported, even one that is still current.
+    The last former candidate that occurs is reported, even one that is still current; what is "old" isn't "missing" too. The segments are read
+    once for both kinds, and only what was found is shuffled.
     """
     segs = segments.filter("translatable").select("id", "doc_id", "src_text", "tgt_text", "status")
+    none = F.lit(None)
     first = F.coalesce(F.try_element_at("new_cands", F.lit(1)), F.lit(""))
-    former = diff.filter("old_cands is not null").select(F.col("src").alias("term"), first.alias("new"), F.posexplode("old_cands").alias("pos", "old"))
-    old = containing(segs, former, "tgt_text", "old").groupBy(F.col("id").alias("seg_id"), "doc_id", "term").agg(F.max_by(F.struct("old", "new"), "pos").alias("x"))
-    old = old.select("seg_id", "doc_id", F.lit("old").alias("kind"), "term", "x.old", "x.new")
-    current = diff.filter(F.size("new_cands") > 0).select(F.col("src").alias("term"), "new_cands")
-    miss = containing(segs.filter(F.col("status").isin(list(TRANSLATED)) & ~T.is_blank(F.col("tgt_text"))), current, "src_text", "term")
-    miss = miss.filter(~F.exists("new_cands", lambda c: F.contains(F.col("tgt_text"), c)))
-    miss = miss.select(F.col("id").alias("seg_id"), "doc_id", F.lit("missing").alias("kind"), "term", F.lit("").alias("old"), F.col("new_cands")[0].alias("new"))
-    return old.unionByName(miss.join(old.select("seg_id", "term"), ["seg_id", "term"], "left_anti"))
+    former = diff.filter("old_cands is not null").select(F.lit("old").alias("kind"), F.col("src").alias("term"), first.alias("new"), none.cast("array<string>").alias("current"), F.posexplode("old_cands").alias("pos", "word"))
+    current = diff.filter(F.size("new_cands") > 0).select(F.lit("missing").alias("kind"), F.col("src").alias("term"), F.col("new_cands")[0].alias("new"), F.col("new_cands").alias("current"), F.lit(0).alias("pos"), F.col("src").alias("word"))
+    done = F.col("status").isin(list(TRANSLATED)) & ~T.is_blank(F.col("tgt_text"))
+    tagged = lambda kind, words: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    olds = [tagged("old", found_in(a, F.col("tgt_text"))) for a in automata(former.select("word"))]
+    misses = [tagged("missing", found_in(a, F.when(done, F.col("src_text")))) for a in automata(current.select("word"))]
+    hits = segs.select(F.col("id").alias("seg_id"), "doc_id", "tgt_text", F.explode(F.flatten(F.array(*olds, *misses))).alias("x")).select("seg_id", "doc_id", "tgt_text", "x.kind", "x.word")
+    hits = hits.join(everywhere(former.unionByName(current)), ["kind", "word"])
+    hits = hits.filter((F.col("kind") == "old") | ~F.exists("current", lambda c: F.contains(F.col("tgt_text"), c)))
+    old, miss = F.col("kind") == "old", F.col("kind") == "missing"
+    out = hits.groupBy("seg_id", "doc_id", "term").agg(F.max_by(F.when(old, F.struct(F.col("word").alias("old"), "new")), F.when(old, F.col("pos"))).alias("o"), F.max(F.when(miss, F.col("new"))).alias("m"))
+    is_old = F.col("o").isNotNull()
+    return out.select("seg_id", "doc_id", F.when(is_old, "old").otherwise("missing").alias("kind"), "term", F.when(is_old, F.col("o.old")).otherwise("").alias("old"), F.when(is_old, F.col("o.new")).otherwise(F.col("m")).alias("new"))
 
 
 def issues(segments: DataFrame, terms: list[tuple[str, list[str]]], former: dict[str, list[str]] | None = None, limit: int = 3) -> DataFrame:
