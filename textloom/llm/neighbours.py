@@ -9,6 +9,8 @@
 * A query searches the lists whose centroid is at most ``ratio`` times as far as its nearest one. The ratio is measured: for a bounded set
   of queries the true neighbours are found in one pass over all rows, and the ratio is the one that reaches ``recall`` of them.
   Where such lists hold fewer rows than asked for, the next ones are taken, all of them if need be.
+* The nearest lists are searched first. What is found there bounds the result from below, and the other lists only return what reaches the
+  bound, so that the rows returned don't grow with the number of lists.
 
 Lists are balanced once more where all rows are in: a list, or a list's queries, beyond ``CELL`` is dealt over cells, and a
 task holds a block of each. Equal vectors are one entry with their smallest ids, as many as a result can show.
@@ -36,6 +38,8 @@ LIST, MADE_OF = 256, 8
 CELL = 16_384
 #: Edges of a centroid in the graph.
 EDGES = 24
+#: Lists that a query searches first.
+FIRST = 4
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -219,19 +223,20 @@ def post(entries: DataFrame, index: Index, replicas: int, closure: float) -> Dat
     return lean(entries).mapInArrow(run, f"list int, first boolean, ids {kinds['ids']}, vec {kinds['vec']}")
 
 
-def best_of(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, entry, score) of the ``k`` largest inner products of each query, smaller names first among equals; by query, best first.
 
+    With ``bound``, a number per query, only products of about that size or more.
+
     The products of the whole block only preselect; each score is then summed row by row, the same way wherever the pair is met.
     """
     found = []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
-        if s.shape[1] > k:
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            i, j = np.nonzero(s >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
-        else:
-            i, j = (z.ravel() for z in np.indices(s.shape))
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        if bound is not None:
+            least = np.maximum(least, bound[a : a + 256])
+        i, j = np.nonzero(s >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
         score = (q[a + i] * x[j]).sum(axis=1)
         order = np.lexsort((names[j], -score, i))
         i, j, score = i[order], j[order], score[order]
@@ -276,8 +281,11 @@ def measured_ratio(posted: DataFrame, index: Index, probes: list[tuple[int, np.n
     return ratio, typical, min(len(index.centroids), width + width // 4 + 8)
 
 
-def ask(queries: DataFrame, index: Index, ratio: float, typical: float, width: int, sizes: np.ndarray, k: int) -> DataFrame:
-    """(list, query_id, vec): a query in each list that it searches; ``sizes``: ids whose first list this is."""
+def ask(queries: DataFrame, index: Index, ratio: float, typical: float, width: int, sizes: np.ndarray, k: int, first: bool) -> DataFrame:
+    """(list, query_id, bound, vec): a query in each list that it searches, the nearest ones or the others.
+
+    ``queries`` (id, bound, vec); ``sizes``: ids whose first list this is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,26 +294,29 @@ def ask(queries: DataFrame, index: Index, ratio: float, typical: float, width: i
             q = asking(matrix(batch.column("vec")))
             lists, d = index.search(q, width)
             held = np.concatenate((sizes, [0]))[lists]
-            short = np.flatnonzero(held.sum(axis=1) <= k)  # too few ids in all of them: such queries search every list
+            short = np.flatnonzero(held.sum(axis=1) <= k)  # too few ids in all of them: such queries search every list at first
             before = np.cumsum(held, axis=1) - held
-            take = (d <= ratio * np.maximum(d[:, :1], typical)) | (before <= k)
+            near = np.arange(lists.shape[1])[None] < FIRST
+            near = near | (before <= k)
+            take = near if first else ~near & (d <= ratio * np.maximum(d[:, :1], typical))
             take &= lists < len(index.centroids)
             take[short] = False
             row, rank = np.nonzero(take)
+            short = short if first else short[:0]
             row, lists = np.concatenate((row, np.repeat(short, len(sizes)))), np.concatenate((lists[row, rank], np.tile(np.arange(len(sizes)), len(short))))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column("id").take(pa.array(row)), batch.column("vec").take(pa.array(row))], names=["list", "query_id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(batch.column(c).take(pa.array(row)) for c in ("id", "bound", "vec"))], names=["list", "query_id", "bound", "vec"])
 
-    return lean(queries).mapInArrow(run, f"list int, query_id long, vec {dict(queries.dtypes)['vec']}")
+    return lean(queries).mapInArrow(run, f"list int, query_id long, bound double, vec {dict(queries.dtypes)['vec']}")
 
 
 def search_lists(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` best of each list for each query that searches it."""
+    """(query_id, vec_id, score): of each list, for each query that searches it, the ``k`` best that reach the query's bound."""
     cells = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
     dealt = stage(cells(posted, "here").join(cells(asked, "there"), "list"), "neighbours-cells")  # a row a list: bounded by the sample
     entries = posted.join(F.broadcast(dealt), "list").withColumn("slot", F.pmod(F.xxhash64(F.col("ids")[0]), "here"))
     entries = entries.select("list", "slot", F.explode(F.sequence(F.lit(0), F.col("there") - 1)).alias("turn"), "ids", "vec")
     asked = asked.join(F.broadcast(dealt), "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), "there").cast("int"))
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here").cast("long") - 1)).alias("slot"), "turn", "query_id", "vec")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here").cast("long") - 1)).alias("slot"), "turn", "query_id", "bound", "vec")
     key = ["list", "slot", "turn"]
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
@@ -314,13 +325,13 @@ def search_lists(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             ids = members["ids"].combine_chunks()
             counts, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
             starts = np.cumsum(counts) - counts
-            asks = queries["query_id"].to_numpy()
-            i, j, score = best_of(matrix(queries["vec"]), matrix(members["vec"]), flat[starts], k + 1)
+            asks, bound = queries["query_id"].to_numpy(), queries["bound"].to_numpy()
+            i, j, score = best_of(matrix(queries["vec"]), matrix(members["vec"]), flat[starts], k + 1, bound)
             n = counts[j]
             vec_id = flat[np.repeat(starts[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             i, score = np.repeat(i, n), np.repeat(score, n)
-            other = vec_id != asks[i]
-            i, vec_id, score = i[other], vec_id[other], score[other]
+            keep = (vec_id != asks[i]) & (score >= bound[i])
+            i, vec_id, score = i[keep], vec_id[keep], score[keep]
             order = np.lexsort((vec_id, -score, i))
             i, vec_id, score = i[order], vec_id[order], score[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -330,6 +341,12 @@ def search_lists(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
+def top(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` best, each id once."""
+    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", replicas: int = 4, closure: float = 1.2, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` (over ``id``) the ``k`` rows found with the largest inner product.
 
@@ -364,10 +381,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sizes = np.zeros(len(index.centroids), dtype=np.int64)
     for name, size in posted.filter("first").groupBy("list").agg(F.sum(F.size("ids"))).collect():  # a row a list
         sizes[name] = size
-    asked = stage(ask(queries, index, ratio, typical, width, sizes, k), "neighbours-asked")
-    found = search_lists(posted, asked, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    unbounded = float("-inf")
+    how = (index, ratio, typical, width, sizes, k)
+    asked = stage(ask(queries.select("id", F.lit(unbounded).alias("bound"), "vec"), *how, first=True), "neighbours-asked")
+    near = stage(top(search_lists(posted, asked, k), k), "neighbours-near")
+    bounds = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    bounded = queries.join(bounds, "id", "left").select("id", F.coalesce("bound", F.lit(unbounded)).alias("bound"), "vec")
+    rest = stage(ask(bounded, *how, first=False), "neighbours-rest")
+    return top(near.drop("rank").unionByName(search_lists(posted, rest, k)), k)
 
 
 def op12_neighbours(spark, sf_dir: str) -> DataFrame:
