@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.automaton import Automaton
 from textloom.operators.store import TRANSLATED
+from textloom.operators.words import chinese_words
 
 #: Characters of the terms of one automaton, at most; about 20 bytes each in every task.
 AUTOMATON_CHARS = 2_000_000
@@ -118,11 +119,17 @@ def merge_induced(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("src").agg(F.slice(F.array_distinct(cands), 1, 3).alias("cands"), F.coalesce(note, F.lit("")).alias("note"))
 
 
-def candidate_words(docs: DataFrame, lang: str = "en", top: int = 300, least: int = 2, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """(word, n, first) of the ``top`` most frequent words that occur ``least`` times; ties by first occurrence."""
-    c = F.regexp_replace(F.col(text), T.RUBY_SLOT, "")
-    words = F.concat(T.katakana_runs(c), T.han_bigrams(c)) if lang.startswith("ja") else T.han_bigrams(c) if lang.startswith("zh") else T.latin_words(c)
-    rows = docs.select(F.col(order).alias("__d"), F.posexplode(words).alias("__p", "word"))
+def candidate_words(docs: DataFrame, lang: str = "en", top: int = 300, least: int = 2, text: str = "text", order: str = "doc_id", dictionary: DataFrame | None = None) -> DataFrame:
+    """(word, n, first) of the ``top`` most frequent words that occur ``least`` times; ties by first occurrence.
+
+    Chinese texts are cut into words with ``dictionary`` (``words.learn_words``), else into pairs of characters.
+    """
+    if lang.startswith("zh") and dictionary is not None:
+        rows = chinese_words(docs, dictionary, text, order).select(F.col(order).alias("__d"), F.col("place").alias("__p"), "word")
+    else:
+        c = F.regexp_replace(F.col(text), T.RUBY_SLOT, "")
+        words = F.concat(T.katakana_runs(c), T.han_bigrams(c)) if lang.startswith("ja") else T.han_bigrams(c) if lang.startswith("zh") else T.latin_words(c)
+        rows = docs.select(F.col(order).alias("__d"), F.posexplode(words).alias("__p", "word"))
     agg = rows.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("__d", "__p")).alias("first"))
     return agg.orderBy(F.desc("n"), "first").limit(top).filter(F.col("n") >= least)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import export, review, runs, store, terms
+from textloom.operators import export, review, runs, store, terms, words
 from textloom.plans.base import LINES, SEGMENTS, STRIP, lines, segments, spread, table
 from textloom.sources import formats
 from textloom.sources.packages import new_docx, paragraph
@@ -213,6 +213,48 @@ def han_bridges(spark, sf_dir: str) -> DataFrame:
     return terms.bridging_bigrams(han(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: The dictionary of ``words.learn_words``: counts of grams over the distinct stretches, cohesion and freedom from them.
+DICTIONARY = """
+mapped AS (SELECT doc_id, translate(coalesce(text, ''), '{}', '{}') AS t FROM documents),
+each AS (SELECT unnest(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fff}}]+', 0)) AS run FROM mapped),
+runs AS (SELECT run, count(*) AS times FROM each GROUP BY run),
+sizes AS (SELECT '^' || run || '$' AS b, times, unnest(range(1, 6)) AS k FROM runs),
+spots AS (SELECT b, times, k, unnest(range(1, length(b) - k + 2)) AS i FROM sizes WHERE length(b) >= k),
+grams AS (SELECT substr(b, i, k) AS g, sum(times)::BIGINT AS n FROM spots GROUP BY 1),
+pure AS (SELECT * FROM grams WHERE g[1] <> '^' AND g[-1] <> '$'),
+whole AS (SELECT sum(n)::DOUBLE AS w FROM pure WHERE length(g) = 1),
+words AS (SELECT g AS word, n FROM pure WHERE length(g) BETWEEN 2 AND 4 AND n >= 5),
+held AS (SELECT word, c.n, min(ln(c.n::DOUBLE * w / (a.n::DOUBLE * b.n::DOUBLE))) AS held FROM (SELECT *, unnest(range(1, length(word))) AS i FROM words) c
+  JOIN pure a ON a.g = left(word, i) JOIN pure b ON b.g = substr(word, i + 1), whole GROUP BY ALL),
+after AS (SELECT left(g, length(g) - 1) AS word, ln(sum(n)::DOUBLE) - sum(n * ln(n::DOUBLE)) / sum(n) AS h FROM grams WHERE g[1] <> '^' AND length(g) BETWEEN 3 AND 5 GROUP BY 1),
+before AS (SELECT right(g, length(g) - 1) AS word, ln(sum(n)::DOUBLE) - sum(n * ln(n::DOUBLE)) / sum(n) AS h FROM grams WHERE g[-1] <> '$' AND length(g) BETWEEN 3 AND 5 GROUP BY 1),
+known AS (SELECT word, n FROM held JOIN after USING (word) JOIN before USING (word) WHERE held >= 1 AND least(after.h, before.h) >= 0.5 UNION ALL SELECT g, n FROM pure WHERE length(g) = 1),
+dictionary AS (SELECT word, n, floor(1000000 * ln(n::DOUBLE / w))::BIGINT AS score FROM known, whole)""".format(LATIN, CHARS)
+
+#: The best path to each place of a stretch: the scores and words of the last four places are carried along.
+PATHS = """
+path AS (
+  SELECT run, times, 0 AS t, [0::BIGINT] AS b, [[]::VARCHAR[]] AS w FROM runs
+  UNION ALL
+  SELECT run, times, t + 1, list_prepend(x.s, b)[1:4], list_prepend(list_append(w[x.l], substr(run, t + 2 - x.l, x.l)), w)[1:4]
+  FROM (SELECT p.*, list_max(list_filter([{'s': b[1] + d1.score, 'l': 1}, {'s': b[2] + d2.score, 'l': 2}, {'s': b[3] + d3.score, 'l': 3}, {'s': b[4] + d4.score, 'l': 4}], lambda c: c.s IS NOT NULL)) AS x
+    FROM path p LEFT JOIN dictionary d1 ON d1.word = substr(run, t + 1, 1) LEFT JOIN dictionary d2 ON t >= 1 AND d2.word = substr(run, t, 2)
+      LEFT JOIN dictionary d3 ON t >= 2 AND d3.word = substr(run, t - 1, 3) LEFT JOIN dictionary d4 ON t >= 3 AND d4.word = substr(run, t - 2, 4)
+    WHERE t < length(run)))"""
+
+
+@query(f"WITH {DICTIONARY} SELECT word, n, score FROM dictionary")
+def han_dictionary(spark, sf_dir: str) -> DataFrame:
+    """Words learnt from all texts by frequency, cohesion and freedom."""
+    return words.learn_words(han(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {DICTIONARY}, {PATHS} SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, unnest(w[1]) AS word FROM path WHERE t = length(run)) WHERE length(word) >= 2 GROUP BY word")
+def han_words(spark, sf_dir: str) -> DataFrame:
+    """How often each word of two characters or more stands on the best paths of all texts."""
+    return words.chinese_words(han(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
+
+
 # ---- order and numbers over many rows ----
 
 
