@@ -412,6 +412,27 @@ def test_substring_random(spark, seed):
     assert check_factors(rows, out, 12) > 50
 
 
+def test_substring_spans_come_from_factors(spark, monkeypatch):
+    """Without factors nothing is removed; a factor's end alone leaves windows that only the boundary check finds."""
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[20:] + b)), (3, " ".join(a + b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    key = lambda: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df, 12, 4).collect())
+    assert key() == substring_brute(rows, 12)
+    at = np.array([0, 1, 2, 3, 8, 9])
+    factors = substring.parse(at, np.zeros(6, int), np.array([1, 1, 1, 1, 2, 2]), np.array([0, 1, 2, 3, 0, 1]), 12)
+    assert [f[1:3] for f in factors] == [(0, 15)] and substring.at_boundaries(at, factors, 12).tolist() == [8, 9]
+    data = np.frombuffer(rows[2][1].encode(), np.uint8)
+    monkeypatch.setattr(substring, "parse", lambda *_: [])
+    import pyarrow as pa
+
+    none = pa.array([None], pa.list_(pa.struct([(c, pa.int64()) for c in ("anchor", "key", "holder", "from")])))
+    again = np.concatenate((data, np.frombuffer(b" ", np.uint8), data))
+    s = substring.Slice(again, np.array([0, len(again)]), 12, 4)
+    out = substring._spans(pa.RecordBatch.from_arrays([pa.array([3]), none, none], names=["doc", "blocks", "windows"]), s)
+    assert out.column("n_removed").to_pylist() == [0]
+
+
 def test_substring_parse_is_greedy():
     """Two runs that overlap: the first goes on to its end, the second begins there; a rest shorter than a window is no factor."""
     at = np.array([3, 4, 5, 6, 7, 8, 20])

@@ -93,6 +93,8 @@ def op7_chat_format(spark, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("bad_turn").cast("long").alias("bad_turn"),
     )
 
 
@@ -101,11 +103,17 @@ OP7_SQL = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+moves AS (
+  SELECT *, row_number() OVER w - 1 AS i, lag(role, 1, '') OVER w AS before
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (
+  SELECT *, (before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS ok FROM moves)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length({_SQL_ESCAPE.format('role')}) + length({_SQL_ESCAPE.format('text')}) + 22) AS BIGINT) AS formatted_chars
-FROM rows GROUP BY conv_id
+  CAST(sum(length({_SQL_ESCAPE.format('role')}) + length({_SQL_ESCAPE.format('text')}) + 22) AS BIGINT) AS formatted_chars,
+  bool_and(ok) AND arg_max(role, i) = 'assistant' AS valid, min(i) FILTER (NOT ok) AS bad_turn
+FROM judged GROUP BY conv_id
 """

@@ -49,26 +49,36 @@ SHARE = 1000
 SPANS = "array<struct<start:long,ord:int,kind:string,end:long,rule:string>>"
 
 
+def running_sums(numbers: Column) -> Column:
+    """Prefix sums of an array of longs by doubling: in each step, every place adds what stands 1, 2, 4, ... places before it."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + 1.0)).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+
+    def add(sums: Column, by: Column) -> Column:
+        moved = F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), by), sums), F.lit(1), F.size(sums))
+        return F.zip_with(sums, moved, lambda a, b: a + b)
+
+    return F.aggregate(steps, numbers, add)
+
+
 def find_spans(text: Column, rule: Rule, order: int) -> Column:
     """All leftmost non-overlapping matches in code points, as an array of (start, ord, kind, end, rule).
 
-    The text between matches and the matches themselves alternate, so positions are running sums of their lengths.
+    The text between matches and the matches themselves alternate, so matches end at the running sums of their lengths.
     """
     pattern = F.lit(rule.pattern)
     gaps, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), checked.alias("checked"))
+    sizes = lambda x: F.transform(x, lambda s: F.length(s).cast("long"))
+    found = F.struct(sizes(gaps).alias("gap"), sizes(whole).alias("whole"), sizes(checked).alias("checked"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["0"])
-        end = start + F.length(p["1"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.name).alias("rule"))
-        return F.struct(end.alias("at"), F.when(F.length(p["2"]) >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def placed(x: Column) -> Column:
+        n = F.size(x["whole"])
+        ends = running_sums(F.zip_with(F.slice(x["gap"], F.lit(1), n), x["whole"], lambda a, b: a + b))
+        each = F.filter(F.arrays_zip(ends.alias("end"), x["whole"].alias("size"), x["checked"].alias("checked")), lambda p: p["checked"] >= rule.least)
+        return F.transform(each, lambda p: F.struct((p["end"] - p["size"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), p["end"].alias("end"), F.lit(rule.name).alias("rule")))
 
-    parts = F.transform(parts, lambda p: F.struct(p["gap"].alias("0"), p["whole"].alias("1"), p["checked"].alias("2")))
-    none = F.array().cast(SPANS)
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step)["found"]
-    return F.when(F.rlike(text, pattern), found).otherwise(none)
+    once = F.element_at(F.transform(F.array(found), placed), 1)  # an array of one binds what was found, so that no pattern is run again
+    return F.when(F.rlike(text, pattern), once).otherwise(F.array().cast(SPANS))
 
 
 def scan(paths: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,9 @@ position there. Where two blocks have the same anchor and differ, the index hold
 
 A document is parsed greedily from left to right against the whole index (``parse``): a factor begins at the first window that the index (or the document itself,
 further left) holds and goes on as long as the next window continues the same source, so it is the longest copy of what that source says,
-(start, length, source document, source start), and at least ``length`` words long; the next factor begins where it ends or later. At the boundaries, the windows that reach
-over the end of a factor or into its beginning are looked up on their own. Factors and such windows make up the duplicate spans.
+(start, length, source document, source start), and at least ``length`` words long; the next factor begins where it ends or later. Factors become the
+duplicate spans; at their boundaries, the windows that begin in a factor, reach over its end and are held by the index are covered too (``at_boundaries``). Nothing
+else is covered: a window that no factor holds begins in one, as the next factor would otherwise begin with it.
 
 The index is distributed and only hashes travel. Three passes read the texts where they are: (1) anchors, to
 find those that several documents hold; (2) blocks at such anchors; (3) windows of the first holder of
@@ -227,6 +228,16 @@ def parse(at: np.ndarray, text: np.ndarray, doc: np.ndarray, source: np.ndarray,
     return out
 
 
+def at_boundaries(at: np.ndarray, factors: list[tuple[int, int, int, int, int]], length: int) -> np.ndarray:
+    """The windows that the index holds and that begin in a factor and reach over its end. All others lie within factors."""
+    if not factors:
+        return at[:0]
+    begin = np.array([f[1] for f in factors])
+    end = begin + np.array([f[2] for f in factors])
+    of = np.maximum(np.searchsorted(begin, at, side="right") - 1, 0)
+    return at[(at >= begin[of]) & (at < end[of]) & (at + length > end[of])]
+
+
 def _repeats(s: Slice, here: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which windows also start further left in their text, the place of the first one); compared word by word, not by hash alone."""
     _, first, where = np.unique(pair(here, text.astype(U)), return_index=True, return_inverse=True)
@@ -242,7 +253,7 @@ def _repeats(s: Slice, here: np.ndarray, text: np.ndarray) -> tuple[np.ndarray,
 
 
 def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
-    """The result rows of a slice: its texts are parsed, and all windows that the index holds are covered."""
+    """The result rows of a slice: its texts are parsed; factors, and windows over their ends, are covered."""
     count, total = len(s.n_words), len(s.starts)
     change = np.zeros(total + 1, dtype=np.int64)
     factors: list[tuple[int, int, int, int, int]] = []
@@ -260,8 +271,11 @@ def _spans(rows: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         found, doc, source = found | use, np.where(use, own[text], doc), np.where(use, first - s.word_at[text], source)
         at = s.windows[found]
         factors = parse(at, text[found], doc[found], source[found], s.length)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + s.length, -1)
+        np.add.at(change, [f[1] for f in factors], 1)
+        np.add.at(change, [f[1] + f[2] for f in factors], -1)
+        over = at_boundaries(at, factors, s.length)
+        np.add.at(change, over, 1)
+        np.add.at(change, over + s.length, -1)
     covered = np.cumsum(change)[:total] > 0
     bounds = np.zeros(total + 1, dtype=bool)
     bounds[s.word_at] = True
