@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import export, memory, review, runs, segments, store, terms, translate
+from textloom.operators import export, memory, review, runs, segments, skew, store, terms, translate
 from textloom.operators.keep import keeper
 from textloom.sources.formats import parse_files, tags_of
 
@@ -43,6 +45,62 @@ def test_deduplicate_and_batches(spark):
     assert sorted(r.batch for r in memory.batches(long).collect()) == [0, 0, 1, 1, 2]
 
 
+def greedy(lengths, max_segments, max_chars):
+    out, batch, count, chars = [], 0, 0, 0
+    for n in lengths:
+        if count >= max_segments or chars >= max_chars:
+            batch, count, chars = batch + 1, 0, 0
+        out.append(batch)
+        count, chars = count + 1, chars + n
+    return out
+
+
+@pytest.mark.parametrize(("max_segments", "max_chars", "parts"), [(10, 40, 7), (3, 1000, 13), (1, 5, 3), (50, 9, 31), (4, 4, 200)])
+def test_batches_of_documents_over_many_blocks(spark, max_segments, max_chars, parts):
+    rng = random.Random(parts)
+    rows = [(d * 10_000 + k, d, k, "x" * rng.choice([0, 1, 3, 9, 30])) for d, n in enumerate([400, 1, 0, 7, 90, 2, 33]) for k in range(n)]
+    df = spark.createDataFrame(rows, "id long, doc_id long, seq long, src_text string").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.batch for r in memory.batches(df, max_segments, max_chars).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for d in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == d]
+        want |= dict(zip([r[0] for r in mine], greedy([len(r[3]) for r in mine], max_segments, max_chars)))
+    assert got == want
+
+
+def test_a_hash_in_most_rows(spark, monkeypatch):
+    """Nine tenths of the rows have one hash: they are dealt out, and the rows are those of a plain join."""
+    monkeypatch.setattr(skew, "SHARE", 50)
+    rows = [(i, i % 50, i // 50, "hot" if i % 10 else f"h{i % 70}", True) for i in range(3000)]
+    new = spark.createDataFrame([*rows, (9000, 1, 999, None, True), (9001, 1, 1000, "hot", False)], "id long, doc_id long, seq long, src_hash string, translatable boolean")
+    new = new.select("*", F.lit(None).cast("string").alias("tgt_text"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("boolean").alias("review_flag"), F.lit(None).cast("string").alias("cfg_hash"))
+    stored = spark.createDataFrame([(10_000 + i, i % 45, h, "c", f"t{i}", ["confirmed", "machine_translated"][i % 2], False) for i, h in enumerate(["hot", "h0", "h10", "hot", "h0"] * 30)], "id long, doc_id long, src_hash string, cfg_hash string, tgt_text string, status string, review_flag boolean")
+    assert skew.crowded(new, "src_hash").collect()[0].asDict() == {"__key": "hot", "__shares": 55}
+
+    best = {}
+    for r in stored.collect():
+        key = ({"confirmed": 0, "machine_translated": 2}[r.status], r.id)
+        best.setdefault(r.src_hash, {}).setdefault(r.doc_id, []).append((key, r.tgt_text, r.id))
+    def other(h, doc):
+        some = [min(v) for d, v in best.get(h, {}).items() if d != doc]
+        return min(some)[1:] if some else (None, None)
+
+    looked = memory.look_up(new.filter("translatable"), stored, "c")
+    assert {r.id: (r.tm_text, r.tm_id) for r in looked.collect()} == {r[0]: other(r[3], r[1]) for r in [*rows, (9000, 1, 999, None, True)]}
+    filled = {r.id: r.tgt_text for r in memory.backfill(new, stored, "c").collect()}
+    assert filled == {r[0]: (min(best[r[3]][r[1]])[1] if r[1] in best.get(r[3], {}) else other(r[3], r[1])[0]) for r in rows} | {9000: None, 9001: None}
+    led = {r.id: (r.lead.id, r.copies) for r in memory.deduplicate(new.filter("translatable"), ["doc_id", "seq"]).collect()}
+    first = {h: min((r[1], r[2], r[0]) for r in rows if r[3] == h)[2] for h in {r[3] for r in rows}}
+    assert led == {r[0]: (first[r[3]], sum(x[3] == r[3] for x in rows)) for r in rows}
+
+
 def test_context(spark):
     rows = segs(spark, [(i, 1, i, f"S{i}", f"T{i}" if i in (0, 2, 3) else None, "confirmed" if i in (0, 2, 3) else "pending", "A") for i in range(6)])
     got = {r.id: (r.before, r.after) for r in memory.context(rows, 2).collect()}
