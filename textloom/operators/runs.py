@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.store import RUNS, numbered, update
 
 #: Language codes and their Chinese names.
 LANGUAGES = {
@@ -49,6 +50,29 @@ def run_totals(items: DataFrame, price_in: float = 0.0, price_out: float = 0.0)
     return out.withColumn("cost", T.run_cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))
 
 
+def create_run(runs: DataFrame, kind: str, total: int, now: float) -> tuple[DataFrame, int]:
+    """(runs with one more, its id): it is running, with nothing done; ids go on from the largest."""
+    number = runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    row = [(number, kind, "running", total, 0, 0, 0, 0, 0.0, "", now, None)]
+    return runs.unionByName(runs.sparkSession.createDataFrame(row, RUNS)), number
+
+
+def finish_run(runs: DataFrame, number: int, totals: DataFrame, now: float, error: str = "") -> DataFrame:
+    """The run with what it came to (``totals``: status, done, failed, tokens_in, tokens_out, cost); one that is to go on isn't finished."""
+    change = totals.select(
+        F.lit(number).cast("long").alias("id"), "status", "done", "failed", F.col("tokens_in").cast("long").alias("tokens_in"), F.col("tokens_out").cast("long").alias("tokens_out"), "cost",
+        F.lit(error).alias("error"), F.when(F.col("status") == "completed", F.lit(now)).alias("finished_at"),
+    )
+    return update(runs, change, "id")
+
+
+def run_items(results: DataFrame, number: int, first_id: int = 1) -> DataFrame:
+    """(id, run_id, segment_id, status, retries, error): what became of each segment of a run; what has no answer yet is pending."""
+    state = F.when(F.col("status") == "failed", "failed").when(F.col("status") == "pending", "pending").otherwise("done")
+    items = results.select(F.lit(number).cast("long").alias("run_id"), F.col("id").alias("segment_id"), state.alias("status"), (F.coalesce("retries", F.lit(0)) if "retries" in results.columns else F.lit(0)).cast("long").alias("retries"), F.when(F.col("status") == "failed", F.col("cause")).otherwise("").alias("error"))
+    return numbered(items, ["segment_id"], "__n").select((F.col("__n") + first_id - 1).alias("id"), "run_id", "segment_id", "status", "retries", "error")
+
+
 def latest(df: DataFrame, n: int = 1, key: str = "id") -> DataFrame:
     return df.orderBy(F.desc(key)).limit(n)
 

@@ -193,3 +193,64 @@ def translation_run(spark, sf_dir: str) -> DataFrame:
     terms = glossary(spark).withColumn("occurrences", F.lit(1))
     results, _ = translate.run_translation(s, terms, translate.MockModel(), translate.RunConfig("en-US", "de-DE", NOW), keeper(spark))
     return results.select("id", "status", F.sha2(F.col("tgt_text").cast("binary"), 256).alias("text_hash"))
+
+
+@query(f"""WITH {RANKED}, best AS (SELECT src_hash, doc_id, min((rk, id)) AS b FROM stored GROUP BY ALL),
+hit AS (SELECT t.id, t.src_hash, struct_extract(min(b.b), 2) AS tm_id FROM todo t LEFT JOIN best b ON b.src_hash = t.src_hash AND b.doc_id <> t.doc_id GROUP BY t.id, t.src_hash),
+lead AS (SELECT t.src_hash, arg_min(t.src_text, (t.doc_id, t.seq)) AS src, arg_min(t.id, (t.doc_id, t.seq)) AS lead_id FROM todo t JOIN hit USING (id) WHERE tm_id IS NULL GROUP BY t.src_hash),
+told AS (SELECT h.id, h.tm_id, s.status, s.tgt_text, 'T:' || l.src AS answer, l.lead_id % 97 = 0 AS refused, l.lead_id % 89 = 0 AS omitted FROM hit h LEFT JOIN seg s ON s.id = h.tm_id LEFT JOIN lead l ON l.src_hash = h.src_hash)
+SELECT id, CASE WHEN tm_id IS NOT NULL THEN status WHEN refused OR omitted THEN 'failed' ELSE 'machine_translated' END AS status,
+  CASE WHEN tm_id IS NOT NULL THEN sha256(tgt_text) WHEN NOT (refused OR omitted) THEN sha256(answer) END AS text_hash,
+  0 AS asked_twice FROM told""")
+def translation_run_resumed(spark, sf_dir: str) -> DataFrame:
+    """A run with a model that fails at first, refuses, omits and garbles by rule; it is stopped after one micro-batch and taken up again.
+
+    ``asked_twice``: requests that the ledger has more than one entry of.
+    """
+    from itertools import count
+
+    from textloom.operators.keep import keeper
+    from textloom.operators.ledger import Ledger
+    from textloom.plans.base import glossary
+
+    s = segments(spark, sf_dir).withColumn("ruby_src", F.array().cast("array<struct<token:string,base:string,rt:string,style:string>>"))
+    terms = glossary(spark).withColumn("occurrences", F.lit(1))
+    model = translate.UnreliableModel(refuse_every=97, omit_every=89, late_every=7, garble_every=83, fails_first=True)
+    home = keeper(spark)(spark.range(1), "ledger-of")
+    ledger = Ledger(home.inputFiles()[0].rpartition("/")[0] + "-entries", size=200)
+    cfg = translate.RunConfig("en-US", "de-DE", NOW, pause=0.0)
+    turns = count()
+    translate.run_translation(s, terms, model, cfg, keeper(spark), ledger=ledger, stop=lambda: next(turns) > 0)
+    results, _ = translate.run_translation(s, terms, model, cfg, keeper(spark), ledger=ledger)
+    again = ledger.entries(spark).groupBy("stage", "req", "key").count().filter("count > 1").count()
+    return results.select("id", "status", F.sha2(F.col("tgt_text").cast("binary"), 256).alias("text_hash"), F.lit(again).alias("asked_twice"))
+
+
+#: Three replacements one after the other; each counts where it changes something.
+EDITS = [("the", "<the>"), ("e", "E"), ("T:", "X:e")]
+
+
+def _edits_sql() -> str:
+    steps = ["e0 AS (SELECT id, tgt_text AS t0, status AS s0 FROM seg WHERE tgt_text <> '')"]
+    for k, (old, new) in enumerate(EDITS):
+        steps.append(f"e{k + 1} AS (SELECT *, replace(t{k}, '{old}', '{new}') AS t{k + 1}, CASE WHEN contains(t{k}, '{old}') THEN 'human_edited' ELSE s{k} END AS s{k + 1} FROM e{k})")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {SEGMENTS}, {_edits_sql()} SELECT id, sha256(t3) AS h3, s3, sha256(t2) AS h2, s2, sha256(t1) AS h1, s1, sha256(t0) AS h0, s0,
+  contains(t0, 'the')::INT + contains(t1, 'e')::INT + contains(t2, 'T:')::INT AS changes FROM e3""")
+def undo_history(spark, sf_dir: str) -> DataFrame:
+    """Three overlapping replacements, undone one by one: texts and states after each of them and after each step back."""
+    from textloom.operators import history
+
+    now, log = segments(spark, sf_dir).filter("tgt_text <> ''"), history.empty(spark)
+    for old, new in EDITS:
+        now, changes = review.apply_preview(now, review.search_replace(now, old, new, case_sensitive=True))
+        log = history.push(log, changes, f"{old} -> {new}")
+    state = lambda df, k: df.select("id", F.sha2(F.col("tgt_text").cast("binary"), 256).alias(f"h{k}"), F.col("status").alias(f"s{k}"))
+    out, left = state(now, len(EDITS)), log
+    for k in reversed(range(len(EDITS))):
+        now, left = history.undo_last(now, left)
+        out = out.join(state(now, k), "id")
+    n = log.groupBy(F.col("seg_id").alias("id")).agg(F.count("*").cast("int").alias("changes"))
+    return out.join(n, "id", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
