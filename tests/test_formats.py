@@ -81,6 +81,16 @@ def test_srt_round_trip(text):
     assert render_srt(text.encode(), parse_srt(text.encode()), {}) == text.encode()
 
 
+def test_srt_heads():
+    text = "stray\n\n5\n6\n00:00:01,0 --> 00:00:02,0 X1:1\na\n7\n 0:00:03.5-->0:00:04.5\nb\n9\n\nlost\n00:00:05,000 --> 00:00:06,000\n\n{\\an8}\n8\n00:00:07,000 --> 00:00:08,000"
+    got = [(b.kind, b.text, b.translatable, b.extra.get("index"), b.extra.get("timing")) for b in parse_srt(text.encode())]
+    assert got == [
+        ("gap", "stray", False, None, None), ("gap", "", False, None, None), ("gap", "5", False, None, None), ("cue", "a", True, "6", "00:00:01,0 --> 00:00:02,0 X1:1"), ("cue", "b\n9", True, "7", " 0:00:03.5-->0:00:04.5"),
+        ("gap", "", False, None, None), ("gap", "lost", False, None, None), ("cue", "", False, "", "00:00:05,000 --> 00:00:06,000"), ("gap", "", False, None, None), ("gap", "{\\an8}", False, None, None), ("cue", "", False, "8", "00:00:07,000 --> 00:00:08,000"),
+    ]
+    assert render_srt(text.encode(), parse_srt(text.encode()), {}) == text.encode()
+
+
 def test_srt_modes():
     blocks = parse_srt(SRT.encode())
     assert [b.kind for b in blocks if b.translatable] == ["cue", "cue"] and blocks[0].text == "{0}Hi{1}\nthere"

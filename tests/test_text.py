@@ -97,6 +97,38 @@ def test_ruby(spark):
     assert P.ruby_enabled("ja-JP") and not P.ruby_enabled("zh-CN") and not P.ruby_enabled(None)
 
 
+def test_markup_of_readings_goes(spark):
+    texts = ["<ruby>基<rp>(</rp><rt lang='x'>もと</rt><RP>)</rp></ruby> a", "<rt>open", "x</rt>y<rb>z", "<ruby>a<rt>b<rt>c</rt>d</ruby>", "<rp><rt>x</rp>y</rt>z", "a < b <rtx>", "<ruby>基<rt>x\ny</rt></ruby>{r0} 。"]
+    want = ["基 a", "open", "xyz", "ad", "yz", "a < b <rtx>", "基。"]
+    assert [P.strip_ruby(t) for t in texts] == want == values(spark, texts, T.strip_ruby_markup(F.col("t")))
+
+
+def test_slot_functions_take_linear_time(spark):
+    """Twice the text, about twice the time: nothing is worked out again for each match."""
+    import time
+
+    def took(n, make, column):
+        df = spark.createDataFrame([(make * n,)], "t string").cache()
+        df.count()
+        best = 9e9
+        for _ in range(2):
+            began = time.monotonic()
+            df.select(F.length(F.to_json(F.struct(column.alias("x"))))).collect()
+            best = min(best, time.monotonic() - began)
+        return best
+
+    c = F.col("t")
+    for make, column in (("天地", T.han_bigrams(c)), ("a `x` ", T.bind(T.protect(c, [r"`[^`\n]+`"]), lambda p: T.restore(p["text"], p["slots"]))), ("漢《かん》だ", T.bind(T.rubyize_aozora(c), lambda p: T.restore_ruby(p["text"], p["entries"])))):
+        assert took(32_000, make, column) < 6 * max(took(8_000, make, column), 0.4)
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a" + "9" * 41, "a1" + "0" * 41, "a007", "a7", "a10", "a0", "7", "é2"]
+    keys = dict(zip(names, values(spark, names, T.natural_key(F.col("t")))))
+    assert sorted(["a10", "a" + "9" * 41, "a1" + "0" * 41, "a7", "a0"], key=keys.get) == ["a0", "a7", "a10", "a" + "9" * 41, "a1" + "0" * 41]
+    assert keys["a007"] == keys["a7"]
+
+
 def test_terms(spark):
     assert values(spark, ["Spirit Stone", "box", "x1", " "], T.variants(F.col("t"))) == [["spirit stone", "spirit stones"], ["box", "boxs", "boxes"], ["x1"], []]
     assert values(spark, ["Spirit Stones and spirit stone"], T.count_any(F.col("t"), T.variants(F.lit("spirit stone")))) == [2]
