@@ -140,7 +140,6 @@ def test_terms(spark):
 
 def test_search(spark):
     assert values(spark, ["ABC", "a\\c", "Äbc", None], T.like(F.col("t"), "%b_"), T.like(F.col("t"), "\\")) == [(True, False), (False, True), (True, False), (False, False)]
-    assert T.java_replacement(r"\1-$\n") == "$1-\\$\n"
     assert values(spark, ["x needle y"], T.snippet(F.col("t"), F.lit("needle"), 2), T.snippet(F.col("t"), F.lit("zz"), 2, 3)) == [("x needle y", "x n")]
 
 

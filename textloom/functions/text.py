@@ -273,25 +273,9 @@ def like(c: Column, search: str) -> Column:
     return F.coalesce(c, F.lit("")).rlike("(?is)" + re.sub(r"[%_]|[^%_]+", part, search.strip("%") if set(search) != {"%"} else ""))
 
 
-def java_replacement(template: str) -> str:
-    r"""A template with \1 or \g<1> groups and escapes, in Java's $1 notation."""
-    import re
-
-    def part(m) -> str:
-        if m["group"]:
-            return "$" + m["group"]
-        if m["named"]:
-            return "$" + m["named"] if m["named"].isdigit() else "${" + m["named"] + "}"
-        if m["escape"]:
-            return {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b", "\\": "\\\\"}.get(m["escape"], "\\\\" + m["escape"])
-        return "\\" + m["plain"]
-
-    return re.sub(r"\\g<(?P<named>\w+)>|\\(?P<group>[1-9]\d?)|\\(?P<escape>.)|(?P<plain>[$\\])", part, template)
-
-
-def find_pattern(find: str, regex: bool = False, case_sensitive: bool = False) -> str:
-    body = find if regex else "\\Q" + find.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return body if case_sensitive else "(?iu)" + body
+def quoted(find: str, case_sensitive: bool = False) -> str:
+    """A pattern for Java that matches the text itself."""
+    return ("" if case_sensitive else "(?iu)") + "\\Q" + find.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def snippet(text: Column, needle: Column, around: int = 20, head: int = 60) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.patterns import java_pattern, java_template
 from textloom.operators.segments import confirmable, stale
 
 
@@ -35,12 +38,17 @@ def mark_stale(segments: DataFrame, cfg_hash: str) -> DataFrame:
 
 
 def search_replace(segments: DataFrame, find: str, replacement: str, doc_id: int | None = None, case_sensitive: bool = False, regex: bool = False) -> DataFrame:
-    r"""Preview (id, doc_id, before, after, n) of the targets that have a match; the replacement is a template (\1, \n) in both modes."""
-    pattern = F.lit(T.find_pattern(find, regex, case_sensitive))
+    r"""Preview (id, doc_id, before, after, n) of the targets that have a match; the replacement is a template (\1, \g<name>, \n) in both modes.
+
+    ``find`` is a text or, with ``regex``, a pattern as Python's ``re`` reads it; one that is wrong or has no counterpart in Java is a ``PatternError``.
+    """
+    flags = 0 if case_sensitive else re.IGNORECASE
+    found = java_pattern(find, flags) if regex else T.quoted(find, case_sensitive)
+    pattern, template = F.lit(found), java_template(replacement, find if regex else re.escape(find), flags)
     rows = segments.filter("tgt_text <> ''")
     rows = rows if doc_id is None else rows.filter(F.col("doc_id") == doc_id)
     n = F.regexp_count("tgt_text", pattern)
-    return rows.filter(n > 0).select("id", "doc_id", F.col("tgt_text").alias("before"), F.regexp_replace("tgt_text", pattern, F.lit(T.java_replacement(replacement))).alias("after"), n.alias("n"))
+    return rows.filter(n > 0).select("id", "doc_id", F.col("tgt_text").alias("before"), F.regexp_replace("tgt_text", pattern, F.lit(template)).alias("after"), n.alias("n"))
 
 
 def apply_preview(segments: DataFrame, preview: DataFrame) -> tuple[DataFrame, DataFrame]:

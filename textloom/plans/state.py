@@ -129,6 +129,13 @@ def search_replace_regex(spark, sf_dir: str) -> DataFrame:
     return out.select("id", F.sha2(F.col("after").cast("binary"), 256).alias("after_hash"))
 
 
+@query(f"WITH {SEGMENTS}, m AS (SELECT id, tgt_text AS t, '([A-Za-z]+) ([a-z]+)([,.])?' AS p FROM seg WHERE tgt_text <> '') SELECT id, sha256(regexp_replace(t, p, '\\2 \\1\\3', 'g')) AS after_hash, len(regexp_extract_all(t, p, 0)) AS n FROM m WHERE regexp_matches(t, p)")
+def search_replace_named(spark, sf_dir: str) -> DataFrame:
+    """Named groups, one of which may be absent, in a pattern and a template as Python writes them."""
+    out = review.search_replace(segments(spark, sf_dir), r"(?P<one>[A-Za-z]+) (?P<two>[a-z]+)(?P<end>[,.])?", r"\g<two> \g<one>\3", case_sensitive=True, regex=True)
+    return out.select("id", F.sha2(F.col("after").cast("binary"), 256).alias("after_hash"), F.col("n").cast("long").alias("n"))
+
+
 @query(f"WITH {SEGMENTS} SELECT CASE WHEN status = 'machine_translated' AND translatable AND cfg_hash IS DISTINCT FROM '{NOW}' THEN 'pending' ELSE status END AS status, count(*) AS n FROM seg GROUP BY 1")
 def stale_to_pending(spark, sf_dir: str) -> DataFrame:
     return review.mark_stale(segments(spark, sf_dir), NOW).groupBy("status").agg(F.count("*").alias("n"))
