@@ -42,9 +42,26 @@ def segment_lines(spark, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "seq", (~T.effectively_empty(c)).alias("translatable"), T.src_hash(c).alias("src_hash"), F.length(c).cast("long").alias("chars"))
 
 
-@query()
+def _long_lines_sql() -> str:
+    """Long lines: a mark after each end of a sentence, then sentences are gathered one by one; the others are one part."""
+    closers = T.CLOSERS.replace("'", "''")
+    return f"""
+marked AS (SELECT doc_id, seq, src_text, regexp_replace(regexp_replace(src_text, '([{T.ENDERS}][{closers}]*)', '\\1' || chr(1), 'g'), '(\\.[{closers}]*)([ \\t\\r]|$)', '\\1' || chr(1) || '\\2', 'g') AS m FROM line WHERE length(src_text) > 1500),
+told AS (SELECT doc_id, seq, list_filter(string_split(m, chr(1)), lambda x: x <> '') AS ss FROM marked),
+gather AS (
+  SELECT doc_id, seq, ss, 0 AS k, '' AS buf, []::VARCHAR[] AS parts FROM told
+  UNION ALL
+  SELECT doc_id, seq, ss, k + 1, CASE WHEN length(buf || ss[k + 1]) >= 1500 THEN '' ELSE buf || ss[k + 1] END,
+    CASE WHEN length(buf || ss[k + 1]) >= 1500 THEN list_concat(parts, list_transform(range((length(buf || ss[k + 1]) + 1499) // 1500), lambda i: substr(buf || ss[k + 1], 1500 * i + 1, 1500))) ELSE parts END
+  FROM gather WHERE k < len(ss)),
+whole AS (SELECT doc_id, seq AS line, CASE WHEN buf <> '' THEN list_append(parts, buf) ELSE parts END AS parts FROM gather WHERE k = len(ss)
+  UNION ALL SELECT doc_id, seq, [src_text] FROM line WHERE length(src_text) <= 1500),
+part AS (SELECT doc_id, line, unnest(parts) AS src_text, unnest(range(len(parts))) AS part FROM whole)"""
+
+
+@query(f"""WITH RECURSIVE {LINES}, {_long_lines_sql()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) - 1 AS seq, line, part, src_text, NOT ({EMPTY.format('src_text')}) AS translatable, sha256({STRIP.format('src_text')}) AS src_hash FROM part""")
 def split_long_parts(spark, sf_dir: str) -> DataFrame:
-    """Segments as an import makes them, long lines cut; SQL has no look-ahead for the sentence rule."""
+    """Segments as an import makes them, long lines cut."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return formats.sequenced(formats.line_segments(docs))
 

@@ -104,25 +104,24 @@ def tags_of(c: Column) -> Column:
 def line_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of plain-text documents without readings, all in the JVM.
 
-    (doc_id, seq, para, part, src_text, translatable, src_hash): a line is a paragraph, empty lines are fillers that
-    take a seq, long lines are cut. Null texts have no lines. Each document stays in its row until the
-    explode, so nothing is shuffled.
+    (doc_id, seq, line, part, src_text, blank): a line is a paragraph, empty lines are fillers that
+    take a seq, long lines are cut. Null texts have no lines. A document stays in its row until all its parts are
+    numbered, so nothing is shuffled.
     """
-    text = T.normalize_eol(F.col(text_col))
-    lines = F.split(T.without_last_newline(text), "\n", -1)
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("line", "line_text"))
-    blank = T.effectively_empty(F.col("line_text"))
-    rows = rows.withColumn("blank", blank).withColumn("parts", F.when(F.col("blank"), F.array("line_text")).otherwise(T.split_long(F.col("line_text"))))
-    return rows.select("doc_id", "line", "blank", F.posexplode("parts").alias("part", "src_text"))
 
+    def cut(line: Column, number: Column) -> Column:
+        blank = T.effectively_empty(line)
+        parts = F.when(blank, F.array(line)).otherwise(T.split_long(line))
+        return F.transform(parts, lambda p, k: F.struct(number.alias("line"), k.alias("part"), p.alias("src_text"), blank.alias("blank")))
+
+    lines = F.split(T.without_last_newline(T.normalize_eol(F.col(text_col))), "\n", -1)
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(F.transform(lines, cut))).alias("seq", "x"))
+    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), "x.line", "x.part", "x.src_text", "x.blank")
 
-def sequenced(lines: DataFrame) -> DataFrame:
-    """Adds seq, the running number within the document, and the hash."""
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id").orderBy("line", "part")
-    out = lines.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
-    return out.select("doc_id", "seq", F.col("line").cast("long").alias("line"), F.col("part").cast("long").alias("part"), "src_text", (~F.col("blank")).alias("translatable"), T.src_hash(F.col("src_text")).alias("src_hash"))
+def sequenced(lines: DataFrame) -> DataFrame:
+    """Adds the hash."""
+    return lines.select("doc_id", "seq", F.col("line").cast("long").alias("line"), F.col("part").cast("long").alias("part"), "src_text", (~F.col("blank")).alias("translatable"), T.src_hash(F.col("src_text")).alias("src_hash"))
 
 
 def load_glossary(spark: SparkSession, path: str) -> DataFrame:
