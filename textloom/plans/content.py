@@ -132,11 +132,24 @@ _OLD, _NEW = glossary_sql("o", FORMER), glossary_sql("g", GLOSSARY)
 DIFF = f"{_OLD}, {_NEW}, diff AS (SELECT coalesce(o.src, g.src) AS src, o.cands AS oc, g.cands AS nc FROM o FULL JOIN g ON o.src = g.src WHERE o.cands IS DISTINCT FROM g.cands)"
 
 
-@query(f"WITH {DIFF} SELECT src, coalesce(array_to_string(oc, '|'), '') AS old_cands, coalesce(array_to_string(nc, '|'), '') AS new_cands FROM diff")
+def learnt(spark, sf_dir: str) -> DataFrame:
+    """A glossary of the frequent words of the texts: (ord, src, cands, note, n); 300 at most."""
+    words = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    number = (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("int").alias("ord")
+    return words.select(number, F.col("word").alias("src"), F.array(F.upper("word"), F.concat(F.lit("n"), F.col("n"))).alias("cands"), F.lit("").alias("note"), "n")
+
+
+LEARNT = f"{WORDS}, terms AS (SELECT row_number() OVER (ORDER BY n DESC, first) - 1 AS ord, word AS src, [upper(word), 'n' || n] AS cands, n FROM top WHERE n >= 2)"
+
+
+@query(f"""WITH {LEARNT}, o AS (SELECT src, CASE WHEN n % 3 = 0 THEN [lower(src)] ELSE cands END AS oc FROM terms WHERE n % 5 <> 0), g AS (SELECT src, cands AS nc FROM terms WHERE n % 7 <> 0)
+SELECT src, coalesce(array_to_string(oc, '|'), '') AS old_cands, coalesce(array_to_string(nc, '|'), '') AS new_cands FROM o FULL JOIN g USING (src) WHERE oc IS DISTINCT FROM nc""")
 def term_snapshot_diff(spark, sf_dir: str) -> DataFrame:
-    d = terms.snapshot_diff(glossary(spark, FORMER), glossary(spark))
+    """Terms learnt from the texts, some of them added, removed or given other candidates."""
+    now = learnt(spark, sf_dir)
+    old = now.filter("n % 5 <> 0").withColumn("cands", F.when(F.col("n") % 3 == 0, F.array(F.lower("src"))).otherwise(F.col("cands")))
     joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
-    return d.select("src", joined("old_cands"), joined("new_cands"))
+    return terms.snapshot_diff(old, now.filter("n % 7 <> 0")).select("src", joined("old_cands"), joined("new_cands"))
 
 
 IMPACT = f"""{SEGMENTS}, {DIFF},
@@ -191,14 +204,19 @@ def segment_term_issues(spark, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["kind"], i["term"], i["old"])), " ").alias("issues"))
 
 
-@query(f"WITH {_NEW} SELECT sha256(string_agg(src || chr(31) || array_to_string(cands, '|'), chr(10) ORDER BY src || chr(31) || array_to_string(cands, '|'))) AS terms_hash FROM g")
+@query(f"WITH {LEARNT} SELECT sha256(string_agg(src || chr(31) || array_to_string(cands, '|'), chr(10) ORDER BY src || chr(31) || array_to_string(cands, '|'))) AS terms_hash FROM terms")
 def glossary_hash(spark, sf_dir: str) -> DataFrame:
-    return terms.effective_hash(glossary(spark))
+    return terms.effective_hash(learnt(spark, sf_dir))
 
 
-@query(f"WITH {_OLD}, {_NEW} SELECT src, array_to_string(cands, '|') AS cands, note FROM g UNION ALL SELECT src, array_to_string(cands, '|'), note FROM o WHERE src NOT IN (SELECT src FROM g)")
+@query(f"""WITH {LEARNT}, kept AS (SELECT src, cands FROM terms WHERE n % 2 = 0), other AS (SELECT src, [lower(src)] AS cands FROM terms WHERE n % 3 <> 0)
+SELECT src, array_to_string(cands, '|') AS cands, '' AS note FROM kept UNION ALL SELECT src, array_to_string(cands, '|'), '' FROM other WHERE src NOT IN (SELECT src FROM kept)""")
 def glossary_merge(spark, sf_dir: str) -> DataFrame:
-    return terms.merge_glossary(glossary(spark), glossary(spark, FORMER)).select("src", F.array_join("cands", "|").alias("cands"), "note")
+    """A glossary learnt from the texts takes in another one: known terms stay as they are."""
+    all_terms = learnt(spark, sf_dir).drop("n")
+    n = F.substring(F.col("cands")[1], 2, 20).cast("long")
+    other = all_terms.filter(n % 3 != 0).withColumn("cands", F.array(F.lower("src")))
+    return terms.merge_glossary(all_terms.filter(n % 2 == 0), other).select("src", F.array_join("cands", "|").alias("cands"), "note")
 
 
 @query(f"""WITH {WORDS}, p AS (SELECT left(word, 4) AS src, (row_number() OVER (ORDER BY n DESC, first) - 1) // 40 AS batch, (row_number() OVER (ORDER BY n DESC, first) - 1) % 40 AS pos, upper(word) AS cand FROM top WHERE n >= 2),
