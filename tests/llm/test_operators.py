@@ -262,6 +262,16 @@ def test_components_of_paths_and_stars(spark):
     assert solve(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_star_is_dealt_over_tasks(spark, monkeypatch):
+    """The centre has all edges and the smallest number: its rows are shared out, and the labels are the same."""
+    from textloom.llm import components as module
+
+    monkeypatch.setattr(module, "SHARE", 50)
+    edges = spark.range(1, 3001).selectExpr("0 as a", "id as b").unionByName(spark.createDataFrame([(5000, 5001), (3000, 5001)], "a long, b long"))
+    got = {r.node: r.label for r in module.components(edges).collect()}
+    assert got == dict.fromkeys([*range(3001), 5000, 5001], 0)
+
+
 def test_similar_documents(spark, empty):
     rng = random.Random(5)
     base = [[f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(300)] for _ in range(40)]

@@ -12,23 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import attach, discard, stage
+from textloom.operators.skew import crowded, join_back
+
+#: Edges of one node that a task may get.
+SHARE = 100_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: long, undirected, repeats and loops allowed); label is the component's smallest node.
 
-    The graph should have bounded degree: give a star or chain for a group, not all of its pairs.
+    Give a star or chain for a group, not all of its pairs; the edges of a star's centre are dealt over many tasks.
     No edges give no rows. Raises if ``rounds`` rounds don't suffice, rather than return too fine a partition.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = stage(both, "cc-edges")
+    heavy = stage(crowded(both, "b", SHARE), "cc-crowded")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "cc-labels")
     for k in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = join_back(both, labels.withColumnRenamed("node", "b"), "b", spread=F.col("a"), share=SHARE, heavy=heavy)
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hook = labels.join(near, "node").groupBy("label").agg(F.min("near").alias("near"), F.count("*").alias("n"))
         hook = stage(hook.select("label", F.least("label", "near").alias("next"), "n"), f"cc-hook{k}")
         if hook.filter("next < label").isEmpty():
-            discard(both, hook)
+            discard(both, hook, heavy)
             return labels
         # two look-ups shorten chains of hooks: label -> next -> next
         for _ in range(2):

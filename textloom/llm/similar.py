@@ -35,6 +35,7 @@ from textloom.llm.common import attach, bitmap_log2, bits_of, has_bit, lean, sta
 from textloom.llm.components import components
 from textloom.llm.pigeonhole import PROBE_COST, agreement, group_bits, masks
 from textloom.llm.words import P, Q, Ranges, bounds, mix, slices, word_hashes
+from textloom.operators.skew import join_back
 
 #: Least chance that a pair of exactly the wanted similarity is verified, whatever the size of the corpus.
 RECALL = 0.99
@@ -50,6 +51,8 @@ SHORT = 32
 MOST = 3000
 #: Nodes that are verified with a hub in one list.
 CHUNK = 128
+#: Lists of one node that a task may get, each with the node's set.
+SHARE = 1000
 #: Shingles of a group that is verified in one task.
 ROOM = 1 << 21
 #: Fingerprints under a key up to which pairs are compared in bulk.
@@ -450,8 +453,10 @@ def verified(rows: DataFrame, unique: DataFrame, lists: DataFrame, similarity: f
                 yield pa.RecordBatch.from_pydict({"digest": pa.array(map(digest, sets), pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     taken = lean(some).mapInArrow(take, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    taken = taken.join(wanted_.select("digest", F.col("node").alias("__node")), "digest")
-    groups = lists.join(taken, F.col("node") == F.col("__node")).groupBy("list").agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
+    taken = taken.join(wanted_.select("digest", "node"), "digest").select("node", "shingles")
+    # a hub is in a list for every ``CHUNK`` of its members: its set is entered once for each ``SHARE`` of them
+    listed = join_back(lists, taken, "node", spread=F.col("list"), share=SHARE).filter("shingles is not null")
+    groups = listed.groupBy("list").agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
