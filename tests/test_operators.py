@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,10 +304,39 @@ def test_export_files(spark, tmp_path):
     assert go(on_conflict="keep_both")[1].out_path.endswith("a.en(2).txt") and not go(on_conflict="skip")[1].ok
     html = go(output="html")[2]
     assert open(html.out_path).read() == "<html><body><h1>T:Kopf</h1><p>T:text `c`</p></body></html>"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.en(2).txt", "a.en.html", "a.en.txt", "b.en(2).md", "b.en.html", "b.en.md"]
+    uri = {r.doc_id: r for r in export.export_files(files, docs, table, f"file://{tmp_path}/other", "en-US").collect()}
+    assert uri[1].ok and (tmp_path / "other" / "a.en.txt").read_text() == "T:eins\nT:zwei\n"
     changed = {r.doc_id: r for r in export.export_files(files, docs.withColumn("content_hash", F.lit("x")), table, out, "en-US").collect()}
     assert not changed[1].ok and "changed" in changed[1].warnings[-1]
 
 
+@pytest.mark.parametrize("rule", ["overwrite", "skip", "keep_both"])
+def test_names_are_dealt_before_writing(spark, rule):
+    """Against documents one after the other; for keep_both, wanted names count as taken from the begin."""
+    wanted = [(i, n) for i, n in enumerate(["a.txt", "b.md", "a.txt", "a(2).txt", "a.txt", "c", "c", "(2)", "a.txt", "b.md", "x(3).y.md", "x.y.md", "x.y.md"])]
+    there = ["a.txt", "a(3).txt", "a(4).txt", "c(2)", "x.y.md", "a(02).txt", "z"]
+    got = {r.doc_id: r.name for r in export.deal_names(spark.createDataFrame(wanted, "doc_id long, name string").repartition(4), spark.createDataFrame([(t,) for t in there], "name string"), rule).collect()}
+    taken, want = set(there), {}
+    for i, n in wanted:
+        last = max(k for k, m in wanted if m == n)
+        if rule == "overwrite":
+            want[i] = n if i == last else None
+        elif rule == "skip":
+            want[i] = None if n in taken else n
+            taken.add(n)
+        else:
+            name, k = n, 1
+            stem, ext = re.fullmatch(r"(.+?)((?:\.[^.]*)?)", n).groups()
+            free = lambda x, n=n: x not in taken and (x == n or x not in {m for _, m in wanted})  # noqa: E731, B023
+            while not free(name):
+                k += 1
+                name = f"{stem}({k}){ext}"
+            want[i] = name
+            taken.add(name)
+    assert got == want
+
+
 def test_progress_stream(spark, tmp_path):
     from textloom.streaming.progress import progress_totals
 

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.plain import FormatError, restore, restore_ruby, strip_ruby
+from textloom.operators.keep import keeper
+from textloom.operators.skew import join_back
+from textloom.operators.store import numbered
 from textloom.sources.formats import PARSERS, RENDERERS
 from textloom.sources.packages import new_docx, paragraph
+from textloom.sources.sink import listed, write_files
 
 
 def target_name(path: Column, fmt: Column, tgt_lang: str, output: str | None = None) -> Column:
@@ -97,12 +101,50 @@ def cross_format(blocks: list, done: dict[int, str], fmt: str) -> bytes:
     raise FormatError(f"no export to {fmt}")
 
 
+def deal_names(wanted: DataFrame, existing: DataFrame, on_conflict: str = "overwrite") -> DataFrame:
+    """(doc_id, name, note): under which name each document of ``wanted`` (doc_id, name) is written, null if it isn't, for names that exist or that several documents want.
+
+    overwrite: the document with the largest id writes. skip: the one with the smallest, unless the name exists. keep_both: all write, the later ones as name(2), name(3), ...;
+    numbers go on past files that exist and names that are wanted. Everything is settled before anything is written, so it doesn't depend on which task is
+    faster. Places among equal names come from a range sort; documents of one name needn't meet in a task. ``existing``: (name).
+    """
+    if on_conflict not in ("overwrite", "skip", "keep_both"):
+        raise ValueError(f"no rule {on_conflict} for names that exist")
+    number = numbered(wanted.select("doc_id", "name"), ["name", "doc_id"], "__n")
+    groups = number.groupBy("name").agg(F.min("__n").alias("__first"), F.max("__n").alias("__last"))
+    known = existing.select("name").distinct().withColumn("__there", F.lit(True))
+    groups = groups.join(known, "name", "left").withColumn("__there", F.coalesce("__there", F.lit(False)))
+    if on_conflict == "keep_both":
+        names = existing.select("name").unionByName(wanted.select("name")).distinct()
+        taken = names.select(F.regexp_extract("name", _NUMBERED, 1).alias("a"), F.regexp_extract("name", _NUMBERED, 2).alias("k"), F.regexp_extract("name", _NUMBERED, 3).alias("z")).filter("k <> ''")
+        taken = taken.groupBy(F.concat("a", "z").alias("name")).agg(F.array_sort(F.collect_set(F.try_to_number("k", F.lit("9" * 18)).cast("long"))).alias("__taken"))
+        groups = groups.join(taken, "name", "left")
+    out = join_back(number, groups, "name", spread=F.col("doc_id"))
+    place, there = F.col("__n") - F.col("__first"), F.col("__there")
+    if on_conflict == "overwrite":
+        last = F.col("__n") == F.col("__last")
+        return out.select("doc_id", F.when(last, F.col("name")).alias("name"), F.when(~last, F.lit("overwritten by a later document of this name")).alias("note"))
+    if on_conflict == "skip":
+        goes = ~there & (place == 0)
+        return out.select("doc_id", F.when(goes, F.col("name")).alias("name"), F.when(~goes, F.lit("skipped: the file exists")).alias("note"))
+    # the first free number for the first one that has to move, the next for the next: each taken number below shifts it by one
+    rank = place + F.when(there, 2).otherwise(1)
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), rank.cast("long"), lambda n, t: n + F.when(t.between(2, n), 1).otherwise(0))
+    moved = F.concat(F.regexp_extract("name", _PARTS, 1), F.lit("("), free.cast("string"), F.lit(")"), F.regexp_extract("name", _PARTS, 2))
+    stays = ~there & (place == 0)
+    return out.select("doc_id", F.when(stays, F.col("name")).otherwise(moved).alias("name"), F.when(~stays, F.lit("the file exists; written under another name")).alias("note"))
+
+
+#: A name with a number, and a name's stem and extension.
+_NUMBERED, _PARTS = r"(?s)^(.*)\(([1-9][0-9]{0,17})\)((?:\.[^.]*)?)$", r"(?s)^(.+?)((?:\.[^.]*)?)$"
+
+
 def export_files(files: DataFrame, docs: DataFrame, segments: DataFrame, out_dir: str, tgt_lang: str, lang: str = "", loose: bool = False, mode: str = "target", output: str | None = None, on_conflict: str = "overwrite", policy: str = "keep", force: bool = False, backend=None) -> DataFrame:
     """Write a translated file per document; returns (doc_id, ok, out_path, warnings).
 
     ``files`` (path, content) are parsed again with the options of the import and aligned by seq. A document whose bytes have changed is
-    refused unless ``force``; open segments are a warning; a failing document doesn't stop the others. Each task writes its own
-    documents under their final names, through a temporary name.
+    refused unless ``force``; open segments are a warning; a failing document doesn't stop the others. Names are dealt out first (``deal_names``) to the documents
+    that could be rendered, against a listing of ``out_dir``, which is any folder that Spark and pyarrow reach; then the files are written by tasks and moved to their names (``sink``).
     """
     t = segments.filter("translatable").groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("tgt_text") != "", F.struct("seq", "tgt_text", "ruby_map"))).alias("done"), F.count_if(F.col("status").isin("pending", "failed")).alias("open")
@@ -127,17 +169,16 @@ def export_files(files: DataFrame, docs: DataFrame, segments: DataFrame, out_dir
                     done = {int(x["seq"]): strip_ruby(x["tgt_text"]) if own == "drop" else x["tgt_text"] for x in (r.done if r.done is not None else [])}
                     readings = {int(x["seq"]): dict(x["ruby_map"]) for x in (r.done if r.done is not None else []) if x["ruby_map"] is not None and own == "translate"}
                     data = cross_format(blocks, done, output) if output and output != r.format else RENDERERS[r.format](raw, blocks, done, mode=mode, readings=readings, lang=lang)
-                    where = resolve(os.path.join(out_dir, r.name), on_conflict)
-                    if where is None:
-                        made.append((r.doc_id, False, None, [*notes, "skipped: the file exists"]))
-                        continue
-                    os.makedirs(out_dir, exist_ok=True)
-                    with open(where + ".tmp", "wb") as f:
-                        f.write(data)
-                    os.replace(where + ".tmp", where)
-                    made.append((r.doc_id, True, where, notes))
+                    made.append((r.doc_id, r.name, data, notes))
                 except Exception as e:
-                    made.append((r.doc_id, False, None, [*notes, str(e)]))
-            yield pd.DataFrame(made, columns=["doc_id", "ok", "out_path", "warnings"])
-
-    return rows.mapInPandas(run, "doc_id long, ok boolean, out_path string, warnings array<string>")
+                    made.append((r.doc_id, None, None, [*notes, str(e)]))
+            yield pd.DataFrame(made, columns=["doc_id", "wanted", "content", "warnings"])
+
+    keep = keeper(rows.sparkSession)
+    made = keep(rows.mapInPandas(run, "doc_id long, wanted string, content binary, warnings array<string>"), "rendered")
+    names = deal_names(made.filter("content is not null").select("doc_id", F.col("wanted").alias("name")), listed(rows.sparkSession, out_dir), on_conflict)
+    names = keep(names, "names")
+    write_files(made.select("doc_id", "content").join(names.filter("name is not null"), "doc_id"), out_dir)
+    out = made.drop("content", "wanted").join(names, "doc_id", "left")
+    notes = F.when(F.col("note").isNull(), F.col("warnings")).otherwise(F.array_append("warnings", F.col("note")))
+    return out.select("doc_id", F.col("name").isNotNull().alias("ok"), F.concat(F.lit(out_dir.rstrip("/") + "/"), F.col("name")).alias("out_path"), notes.alias("warnings"))
