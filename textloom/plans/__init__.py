@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.plans import content, files, state
+from textloom.plans import content, files, more, state
 
 
 def queries() -> dict:
-    return {**content.QUERIES, **state.QUERIES, **files.QUERIES}
+    return {**content.QUERIES, **state.QUERIES, **files.QUERIES, **more.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**content.SQL, **state.SQL, **files.SQL}
+    return {**content.SQL, **state.SQL, **files.SQL, **more.SQL}

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from textloom.operators.runs import run_totals
 
 
 def progress_totals(events: DataFrame) -> DataFrame:
     """(run_id, total, done, failed, tokens_in, tokens_out); for outputMode complete or update. State is one row per run."""
-    return events.groupBy("run_id").agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
-    )
+    return run_totals(events).drop("cost")
