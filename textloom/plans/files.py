@@ -86,9 +86,9 @@ def rewritten(files: DataFrame, mode: str) -> DataFrame:
     return files.mapInArrow(run, "path string, content binary")
 
 
-def blocks_of(files: DataFrame) -> DataFrame:
+def blocks_of(files: DataFrame, lang: str = "") -> DataFrame:
     """The translatable blocks of each file with their place among them."""
-    out = formats.parse_files(files).filter("translatable")
+    out = formats.parse_files(files, lang=lang).filter("translatable")
     number = F.split("path", r"\.")[0].cast("long").alias("doc_id")
     listed = out.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("seq", "src_hash", "is_heading"))).alias("bs"))
     return listed.select("doc_id", F.posexplode("bs").alias("at", "b")).select("doc_id", (F.col("at") + 1).cast("long").alias("place"), F.col("b.src_hash").alias("src_hash"), F.col("b.is_heading").alias("is_heading"))
@@ -118,6 +118,48 @@ def md_render(spark, sf_dir: str) -> DataFrame:
     return digest(rewritten(markdown(made(spark, sf_dir)), "target"))
 
 
+def _in_place(source: str) -> str:
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS place, sha256({STRIP.format('x')}) AS src_hash, false AS is_heading FROM {source}"
+
+
+_MD_BLOCKS = """each AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS p FROM (SELECT doc_id, list_transform(ps, lambda x, i: CASE i % 4 WHEN 0 THEN x || ' {0} and [link]({2}) {1}' WHEN 1 THEN '- ' || x
+  WHEN 2 THEN '> ' || x ELSE '| ' || x || ' | two {0} |' || chr(10) || '|---|---|' || chr(10) || '| a | b |' END) AS xs FROM paras))"""
+
+
+@query(f"WITH {PARAS}, {_MD_BLOCKS}, {pieces_sql('cut', 'each', 'x')} {_in_place('cut')}")
+def md_marks(spark, sf_dir: str) -> DataFrame:
+    """Markdown with front matter, fences, code, formulas and links in paragraphs, lists, quotations and tables."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def block(x: Column, i: Column) -> Column:
+        kind = (i + 1) % 4
+        link = text(x, " `co de` and [link](http://u.v/", i.cast("string"), ") $x + y$")
+        return F.when(kind == 0, link).when(kind == 1, text("- ", x)).when(kind == 2, text("> ", x)).otherwise(text("| ", x, " | two `z` |\n|---|---|\n| a | b |"))
+
+    body = F.array_join(F.concat(F.array(text("---\ntitle: ", F.col("title"), "\n---")), F.transform("paras", block), F.array(F.lit("```\nno text\n```"))), "\n\n")
+    return blocks_of(plain_file(made(spark, sf_dir), "md", F.concat(body, F.lit("\n"))))
+
+
+_HTML_BLOCKS = """each AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS p FROM (SELECT doc_id, list_concat(
+  flatten(list_transform(ps, lambda x, i: CASE i % 3 WHEN 0 THEN [x || ' <b>bold</b>{0}x'] WHEN 1 THEN [x, 'cell'] ELSE [x || ' {0}'] END)),
+  list_filter(list_transform(ps, lambda x, i: CASE i % 3 WHEN 0 THEN 'tip ' || i WHEN 2 THEN 'pic ' || i END), lambda x: x IS NOT NULL)) AS xs FROM paras))"""
+
+
+@query(f"WITH {PARAS}, {_HTML_BLOCKS}, {pieces_sql('cut', 'each', 'x')} {_in_place('cut')}")
+def html_marks(spark, sf_dir: str) -> DataFrame:
+    """HTML with marks, breaks, code, tables and lists, and texts in attributes, which follow all others."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def block(x: Column, i: Column) -> Column:
+        number, kind = (i + 1).cast("string"), (i + 1) % 3
+        tip = text('<p title="tip ', number, '">', x, " <b>bold</b><br>x</p>")
+        pic = text("<ul><li>", x, ' <code>c</code></li></ul><img alt="pic ', number, '" src="s">')
+        return F.when(kind == 0, tip).when(kind == 1, text("<table><tr><td>", x, "</td><td>cell</td></tr></table>")).otherwise(pic)
+
+    body = F.array_join(F.transform("paras", block), "")
+    return blocks_of(plain_file(made(spark, sf_dir), "html", text("<html><head></head><body>", body, "</body></html>")))
+
+
 def _srt(rows: DataFrame) -> DataFrame:
     cues = F.transform("paras", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), x))
     return plain_file(rows, "srt", F.concat(F.array_join(cues, "\n\n"), F.lit("\n")))
@@ -134,6 +176,24 @@ def srt_round_trip(spark, sf_dir: str) -> DataFrame:
     return digest(rewritten(_srt(made(spark, sf_dir)), "bi_inter"))
 
 
+_CUES = """cue AS (SELECT doc_id, list_transform(ps, lambda x, i: CASE WHEN i % 3 = 0 THEN '' ELSE i || chr(13) || chr(10) END || '00:00:01,000 --> 00:00:02,000' || chr(13) || chr(10)) AS heads, list_transform(ps, lambda x: '{\\an8}<i>' || x || '</i>') AS xs FROM paras)"""
+
+
+@query(f"""WITH {PARAS}, {_CUES} SELECT doc_id, sha256(array_to_string(list_transform(xs, lambda x, i: heads[i] || x || chr(13) || chr(10) || 'T:' || x), repeat(chr(13) || chr(10), 3)) || chr(13) || chr(10)) AS content_hash FROM cue""")
+def srt_marks(spark, sf_dir: str) -> DataFrame:
+    """Subtitles with marks that stay whole, some cues without a number, blank lines between and CRLF, written with both languages in each cue."""
+    head = lambda i: F.concat(F.when((i + 1) % 3 == 0, "").otherwise(F.concat((i + 1).cast("string"), F.lit("\r\n"))), F.lit("00:00:01,000 --> 00:00:02,000\r\n"))
+    cues = F.transform("paras", lambda x, i: F.concat(head(i), F.lit("{\\an8}<i>"), x, F.lit("</i>")))
+    return digest(rewritten(plain_file(made(spark, sf_dir), "srt", F.concat(F.array_join(cues, "\r\n\r\n\r\n"), F.lit("\r\n"))), "bi_inter"))
+
+
+@query(f"WITH {PARAS}, each AS (SELECT doc_id, unnest(list_transform(ps, lambda x: x || '漢{{r0}}だ 字{{r1}}')) AS x, unnest(range(len(ps))) AS p FROM paras), {pieces_sql('cut', 'each', 'x')} {_in_place('cut')}")
+def txt_readings(spark, sf_dir: str) -> DataFrame:
+    """Japanese text files: readings become slots, empty lines are no blocks."""
+    body = F.array_join(F.transform("paras", lambda x: F.concat(x, F.lit("漢《かん》だ 字《じ》"))), "\n\n")
+    return blocks_of(plain_file(made(spark, sf_dir), "txt", body), lang="ja-JP")
+
+
 def _html(rows: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("paras", lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
     return plain_file(rows, "html", F.concat(F.lit("<html><head></head><body><h1>"), F.col("title"), F.lit("</h1>"), body, F.lit("</body></html>")))
