@@ -51,9 +51,10 @@ class Ledger:
             if stop():
                 break
             part = todo.filter(F.pmod(F.xxhash64("req"), F.lit(chunks)) == i)
-            done = ask(part).join(part.select("req", "key"), "req")
-            done.select(F.lit(stage).alias("stage"), "req", "key", "answers", "tokens_in", "tokens_out", "attempts", "error").write.mode("append").parquet(self.path)
-            if final and not self.entries(spark).filter((F.col("stage") == stage) & F.col("error").isin(final)).join(part.select("req"), "req", "left_semi").isEmpty():
+            done = ask(part).join(part.select("req", "key"), "req").select(F.lit(stage).alias("stage"), "req", "key", "answers", "tokens_in", "tokens_out", "attempts", "error")
+            answers = keeper(spark)(done, "micro-batch")
+            answers.write.mode("append").parquet(self.path)
+            if not answers.filter(F.col("error").isin(final)).isEmpty():
                 break
         asked = self.entries(spark).filter(F.col("stage") == stage)
         newest = asked.groupBy("req", "key").agg(F.max_by(F.struct("answers", "error"), F.when(F.coalesce(F.col("error").isin(final), F.lit(False)), 0).otherwise(1)).alias("a"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
