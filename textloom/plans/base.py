@@ -20,11 +20,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, seq, src_text): the lines of each document; a last line end begins no line."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").filter("text is not null"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").filter("text is not null"))
+
+
+def exploded(docs: DataFrame) -> DataFrame:
+    """(seq, src_text) for each line of each document, with its other columns; a last line end begins no line."""
     text = T.without_last_newline(T.normalize_eol(F.col("text")))
-    return docs.select("doc_id", "lang", F.posexplode(F.split(text, "\n", -1)).alias("seq", "src_text")).withColumn("seq", F.col("seq").cast("long"))
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, F.posexplode(F.split(text, "\n", -1)).alias("seq", "src_text")).withColumn("seq", F.col("seq").cast("long"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, seq, src_text): the lines of each document."""
+    return exploded(documents(spark, sf_dir))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +42,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     A translated line reads T:<source>; settings differ by document, so that some translations are stale.
     """
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = lines(spark, sf_dir).join(labels, "doc_id", "left")
+    rows = exploded(documents(spark, sf_dir).join(labels, "doc_id", "left"))  # a row a document is joined, not a row a line
     status = F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "machine_translated").otherwise("pending")
     rows = rows.withColumn("translatable", ~T.effectively_empty(F.col("src_text")))
     src, translatable = F.col("src_text"), F.col("translatable")
