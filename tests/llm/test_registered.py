@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, secrets
+from textloom.llm import chat, packing, quality, secrets, simhash, token_files
+from textloom.llm.tokens import WordEncoder, tokenizer_path
+
+from .test_operators import check_pieces, components, counts_brute, fingerprint
 
 FOLLOWS = {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
 CONTROL = re.compile(r"(<)(?=/?s>)|(\[)(?=/?INST\])")
@@ -91,3 +96,57 @@ def test_running_sums(spark):
     df = spark.createDataFrame([([],), ([5],), (list(range(77)),)], "a array<bigint>")
     got = [r.s for r in df.select(secrets.running_sums(F.col("a")).alias("s")).collect()]
     assert got == [[], [5], [k * (k + 1) // 2 for k in range(77)]]
+
+
+def documents(spark, sf_dir):
+    return [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+
+def test_op1_pieces(spark, sf_dir):
+    out = packing.op1_packing(spark, sf_dir)
+    assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert check_pieces([r[:2] for r in documents(spark, sf_dir)], out.collect(), 2048) < 0.1
+
+
+def test_op2_components(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    prints = {i: fingerprint(t, 3) for i, t, _ in rows}
+    family = components(set(prints.values()), 2)
+    least: dict = {}
+    for i in sorted(prints):
+        least.setdefault(family[prints[i]], i)
+    got = sorted(tuple(r) for r in simhash.op2_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect())
+    assert got == sorted((i, f"{p:016x}", least[family[p]]) for i, p in prints.items())
+
+
+def test_op4_ids(spark, sf_dir):
+    tok, at, want = WordEncoder(tokenizer_path("word_bpe_49k.json")).tok, 0, []
+    for i, t, _ in sorted(documents(spark, sf_dir)):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    got = token_files.op4_token_files(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_op5_verdicts(spark, sf_dir):
+    """Counts and the base rule against brute force; ``kept`` against the cutoffs, applied row by row."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    cuts = quality.calibrate(quality.features(quality.labelled(docs, labels), keyed=True), labels)
+    want = []
+    for i, t, lang in documents(spark, sf_dir):
+        c = dict(zip(quality.COUNTS, counts_brute(t)))
+        failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        limits = cuts.get(lang or "", cuts.get(quality.REST, [quality.OFF] * len(quality.RULES)))
+        over = any(c[r.over] / max(c[r.under], 1) > x for r, x in zip(quality.RULES, limits))
+        want.append((i, *c.values(), failed, not failed and not over))
+    assert sorted(tuple(r) for r in quality.op5_quality_rules(spark, sf_dir).collect()) == sorted(want)
+
+
+def test_quality_counts_a_text_once(spark):
+    """Copies of a text are one trial: a thousand copies of a good text certify nothing."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text + " ###" * 9, "en") for i in range(1000)] + [(2000 + i, " ".join(f"x{i}y{k}" for k in range(40)), "en") for i in range(3)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    rows, _ = quality._holdout(quality.features(quality.labelled(docs, labels), keyed=True), labels, 5)
+    assert rows.count() == 4 and quality.calibrate(quality.features(quality.labelled(docs, labels), keyed=True), labels) == {}

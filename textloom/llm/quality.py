@@ -160,10 +160,12 @@ def upper_bound(k: int, n: int, level: float) -> float:
 def _holdout(counts: DataFrame, labels: DataFrame, strata: int) -> tuple[DataFrame, list[str]]:
     """Labelled texts with ``hold`` and ``s``, their stratum or ``REST``, and the strata with names of their own (at most ``strata``).
 
-    Copies of a text are one trial, not several: each text counts once in a stratum, by the lowest of its labels.
+    Copies of a text, near ones included as far as ``content_key`` tells, are one trial, not several: of those in a stratum, the one with the
+    lowest label and then the smallest id counts.
     """
     rows = counts.join(judged(labels), "doc_id")
-    once = rows.groupBy("content_key", "stratum").agg(F.min("quality").alias("quality"), *[F.first(c).alias(c) for c in COUNTS])
+    one = F.min_by(F.struct("quality", *COUNTS), F.struct("quality", "doc_id")).alias("x")
+    once = rows.groupBy("content_key", "stratum").agg(one).select("content_key", "stratum", "x.*")
     rows = stage(once.withColumn("hold", F.pmod(F.xxhash64("content_key"), F.lit(2)) == 1), "quality-labelled")
     named = [r["stratum"] for r in rows.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(strata).collect()]
     return rows.withColumn("s", F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise(F.lit(REST))), named
