@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.automaton import Automaton
-from textloom.functions.lattice import cut_words
+from textloom.functions.lattice import cut_words, pieces
 from textloom.operators import terms, words
 
 LEXICON = ["灵石", "丹炉", "剑", "功法", "天地玄黄", "宗门", "师兄", "运转", "丹田", "飞"]
@@ -73,3 +73,25 @@ def test_empty_and_long(spark):
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("灵石飞"), 20_000).alias("text"))
     known = spark.createDataFrame([("灵石", -1), ("飞", -1)], "word string, score long")
     assert words.chinese_words(long, known).count() == 20_000
+
+
+def test_cutting_holds_little_beside_its_batch():
+    import tracemalloc
+
+    known = Automaton(["灵石", "丹炉", "功法"])
+    texts = pa.array([t * 12 for _, t in corpus(8000)], pa.string())  # as a batch of a task
+    tracemalloc.start()
+    found = sum(len(w) for p in pieces(texts) for w in [cut_words(p, [(known, np.zeros(3, dtype=np.int64))], -9)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 8000 and peak < 60 << 20
+    assert [len(p) for p in pieces(pa.array(["a" * 9, None, "", "b", "c" * 2], pa.string()), 3)] == [1, 4] and pieces(pa.array([], pa.string())) == []
+
+
+def test_equal_stretches_are_learnt_from_once(spark, monkeypatch):
+    kept = []
+    keep = words.keeper(spark)
+    monkeypatch.setattr(words, "keeper", lambda _: lambda df, name: kept.append(df) or keep(df, name))
+    words.learn_words(spark.createDataFrame([(i, "灵石，丹炉") for i in range(50)], "doc_id long, text string"))
+    plan = kept[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Generate explode") < plan.rindex("Aggregate [s#")  # grams are made of counted stretches

@@ -119,6 +119,6 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, dtype=np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64)
     if data is None or offsets[-1] == offsets[0]:
         return np.empty(0, dtype="<u4"), np.zeros(len(plain) + 1, dtype=np.int64)
-    raw = data.to_pybytes()[offsets[0] : offsets[-1]]
+    raw = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes()
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
     return np.frombuffer(raw.decode().encode("utf-32-le"), dtype="<u4"), lead[offsets - offsets[0]]

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from textloom.functions.automaton import Automaton, characters
 
 HAN = (0x4E00, 0x9FFF)
+#: Bytes of texts that are worked on at a time: what a task holds beside them is some tens of times as much, however long its batches are.
+PIECE = 1 << 20
 LOWEST = np.iinfo(np.int64).min // 4
 
 
@@ -56,20 +59,39 @@ def word_sizes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, automata
     return size
 
 
+def pieces(texts: pa.Array, size: int = PIECE) -> list[pa.Array]:
+    """The texts in pieces of about ``size`` bytes; a longer text is a piece of its own, and no text is divided."""
+    sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts, at = [0], 0
+    while at < len(texts):
+        before = int(sums[at - 1]) if at else 0
+        at = max(at + 1, int(np.searchsorted(sums, before + size, side="right")))
+        cuts.append(at)
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def cut_words(texts: pa.Array, automata: list[tuple[Automaton, np.ndarray]], unknown: int) -> pa.ListArray:
-    """The words of the best paths of each text, in order; other characters than Han are left out."""
+    """The words of the best paths of each text, in order; other characters than Han are left out. Equal stretches are cut once."""
     codes, offsets = characters(texts)
     starts, ends = stretches(codes, offsets)
-    size = word_sizes(codes, starts, ends, automata, unknown)
+    borders = np.concatenate(([0], np.cumsum(ends - starts)))
+    han = codes[(codes >= HAN[0]) & (codes <= HAN[1])].astype("<u2")  # stretch by stretch
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((2 * borders).astype(np.int32)), pa.py_buffer(han)]).dictionary_encode()
+    which, own = runs.indices.to_numpy(zero_copy_only=False), runs.dictionary
+    borders = np.concatenate(([0], np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False)))).astype(np.int64) // 2
+    codes = np.frombuffer(b"".join(own.to_pylist()), dtype="<u2")
+    size = word_sizes(codes, borders[:-1], borders[1:], automata, unknown)
     begins = np.zeros(len(codes) + 1, dtype=bool)
-    at, lane = ends.copy(), starts.copy()
+    at, lane = borders[1:].copy(), borders[:-1].copy()
     while len(at):  # all paths are followed back side by side
         at = at - size[at - 1]
         begins[at] = True
         at, lane = at[at > lane], lane[at > lane]
-    first = np.flatnonzero(begins)
-    whole = codes.astype("<u4").tobytes().decode("utf-32-le")
-    stop = np.append(first[1:], len(codes))
-    stop = np.minimum(stop, ends[np.searchsorted(ends, first, side="right")]) if len(first) else stop[:0]
-    words = [whole[a:b] for a, b in zip(first.tolist(), stop.tolist())]
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets), pa.int32()), pa.array(words, pa.string()))
+    first = np.flatnonzero(begins)  # a word ends where the next one begins
+    raw = codes.tobytes().decode("utf-16-le").encode()  # three bytes a character
+    words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer((3 * np.append(first, len(codes))).astype(np.int32)), pa.py_buffer(raw)])
+    place = np.searchsorted(first, borders)
+    number = np.diff(place)[which]
+    sums = np.concatenate(([0], np.cumsum(number)))
+    rows = np.repeat(place[which] - sums[:-1], number) + np.arange(sums[-1])
+    return pa.ListArray.from_arrays(pa.array(sums[np.searchsorted(starts, offsets)], pa.int32()), words.take(pa.array(rows)))

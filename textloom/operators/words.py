@@ -6,14 +6,17 @@ would make it by chance, wherever it is cut) and if it is free (what stands befo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textloom.functions import text as T
 from textloom.functions.automaton import Automaton
-from textloom.functions.lattice import cut_words
+from textloom.functions.lattice import cut_words, pieces
 from textloom.operators.keep import keeper
 
 #: Characters of the dictionary's words in one automaton, at most; a larger dictionary is split into several, which are walked together.
@@ -46,10 +49,10 @@ def learn_words(docs: DataFrame, text: str = "text", longest: int = 4, least: in
 
     Cohesion is the least logarithm of n(w) N / (n(a) n(b)) over all cuts w = a b, N counting characters; freedom the smaller of the
     entropies of the neighbours before and after, where the border of a stretch is a neighbour. Both come from one table of counts of grams, which
-    are combined before the shuffle. Null and empty texts have no words.
+    are combined before the shuffle; equal stretches are counted first and taken apart once. Null and empty texts have no words.
     """
-    stretch = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{T.HAN}+"), F.lit(0))).alias("s"))
-    counts = stretch.select(F.explode(_grams(F.col("s"), longest)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    stretch = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{T.HAN}+"), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("times"))
+    counts = stretch.select("times", F.explode(_grams(F.col("s"), longest)).alias("gram")).groupBy("gram").agg(F.sum("times").alias("n"))
     counts = keeper(docs.sparkSession)(counts, "grams")
     size = F.length("gram")
     pure = ~F.startswith("gram", F.lit(_BEGIN)) & ~F.endswith("gram", F.lit(_END))
@@ -70,7 +73,7 @@ def learn_words(docs: DataFrame, text: str = "text", longest: int = 4, least: in
 
 
 def cutter(dictionary: DataFrame):
-    """A function of a text column that gives its words (``dictionary``: word, score), which is learnt or given.
+    """A function that gives the words of a column of texts, piece by piece (``dictionary``: word, score, which is learnt or given).
 
     The dictionary goes to all tasks as automata, after a check of its size: more than ``MOST_WORDS`` are an error, since a higher ``least`` is
     the remedy; beyond ``AUTOMATON_CHARS`` characters it is split by a hash. Characters that aren't in it are words of their own, at a score
@@ -86,16 +89,25 @@ def cutter(dictionary: DataFrame):
         automaton = Automaton(list(scores))
         automata.append((automaton, np.array([scores[w] for w in automaton.words], dtype=np.int64)))
 
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return cut_words(texts, automata, lowest - SCALE)
+    def cut(texts: pa.Array) -> Iterator[pa.ListArray]:
+        for piece in pieces(texts):
+            yield cut_words(piece, automata, lowest - SCALE)
 
     return cut
 
 
 def chinese_words(docs: DataFrame, dictionary: DataFrame | None = None, text: str = "text", order: str = "doc_id") -> DataFrame:
     """(order, place, word) of the words of two characters or more that aren't stop words; ``dictionary`` is learnt from ``docs`` if none is given."""
-    known = learn_words(docs, text) if dictionary is None else dictionary
-    bare = F.regexp_replace(F.col(text), T.RUBY_SLOT, "")
-    words = docs.select(order, F.posexplode(cutter(known)(bare)).alias("place", "word"))
+    cut = cutter(keeper(docs.sparkSession)(learn_words(docs, text), "dictionary") if dictionary is None else dictionary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = 0
+            for found in cut(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(found)), found], names=[order, "words"])
+                done += len(found)
+
+    bare = docs.select(order, F.regexp_replace(F.col(text), T.RUBY_SLOT, "").alias("bare"))
+    rows = bare.mapInArrow(run, StructType([bare.schema[order], StructField("words", ArrayType(StringType()))]))
+    words = rows.select(order, F.posexplode("words").alias("place", "word"))
     return words.filter((F.length("word") >= 2) & ~F.col("word").isin(STOP_WORDS))
