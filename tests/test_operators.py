@@ -363,3 +363,24 @@ def test_numbers_are_gapless_at_size(spark):
         a, b = out.alias("a"), out.alias("b")
         assert not a.join(b, F.col("a.n") + 1 == F.col("b.n")).filter("a.k >= b.k").count()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_candidates_level_with_the_last_one(spark):
+    """Counts and first documents alone don't decide which words are among the top; places do, and a document without an id comes first."""
+    rows = [(3, "dddd cccc bbbb aaaa aaaa"), (1, "zzzz yyyy xxxx wwww"), (1, "wwww xxxx yyyy zzzz"), (5, "dddd cccc bbbb"), (None, "yyyy vvvv"), (None, "vvvv uuuu uuuu"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every = {}
+    for d, t in rows:
+        for p, w in enumerate((t or "").split()):
+            every.setdefault(w, []).append(((d is not None, d or 0), p))
+    ranked = sorted((-len(at), min(at), w) for w, at in every.items() if len(at) >= 2)
+    for top in range(1, len(ranked) + 2):
+        got = terms.candidate_words(docs, top=top).collect()
+        assert [(r.word, r.n, r.first[0] or 0, r.first[1]) for r in got] == [(w, -n, d[1], p) for n, (d, p), w in ranked[:top]]
+    steps = []
+    keep = terms.keeper(spark)
+    mp = pytest.MonkeyPatch()
+    mp.setattr(terms, "keeper", lambda _: lambda df, name: steps.append(df) or keep(df, name))
+    terms.candidate_words(docs)
+    mp.undo()
+    assert "SortAggregate" not in steps[0]._jdf.queryExecution().sparkPlan().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.automaton import Automaton
+from textloom.operators.keep import keeper
 from textloom.operators.store import TRANSLATED
 from textloom.operators.words import chinese_words
 
@@ -122,16 +123,27 @@ def merge_induced(parsed: DataFrame) -> DataFrame:
 def candidate_words(docs: DataFrame, lang: str = "en", top: int = 300, least: int = 2, text: str = "text", order: str = "doc_id", dictionary: DataFrame | None = None) -> DataFrame:
     """(word, n, first) of the ``top`` most frequent words that occur ``least`` times; ties by first occurrence.
 
-    Chinese texts are cut into words with ``dictionary`` (``words.learn_words``), else into pairs of characters.
+    Chinese texts are cut into words with ``dictionary`` (``words.learn_words``), else into pairs of characters. Counts and first documents are
+    plain numbers, which combine in a hash table before the shuffle; places are looked for only in the first documents of the words that may be
+    among the top, all that are level with the last one included.
     """
-    if lang.startswith("zh") and dictionary is not None:
-        rows = chinese_words(docs, dictionary, text, order).select(F.col(order).alias("__d"), F.col("place").alias("__p"), "word")
-    else:
+    spark = docs.sparkSession
+    def found(part: DataFrame) -> DataFrame:
+        if lang.startswith("zh") and dictionary is not None:
+            return chinese_words(part, dictionary, text, order).select(F.col(order).alias("__d"), F.col("place").alias("__p"), "word")
         c = F.regexp_replace(F.col(text), T.RUBY_SLOT, "")
         words = F.concat(T.katakana_runs(c), T.han_bigrams(c)) if lang.startswith("ja") else T.han_bigrams(c) if lang.startswith("zh") else T.latin_words(c)
-        rows = docs.select(F.col(order).alias("__d"), F.posexplode(words).alias("__p", "word"))
-    agg = rows.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("__d", "__p")).alias("first"))
-    return agg.orderBy(F.desc("n"), "first").limit(top).filter(F.col("n") >= least)
+        return part.select(F.col(order).alias("__d"), F.posexplode(words).alias("__p", "word"))
+
+    first = F.when(F.min(F.col("__d").isNotNull()), F.min("__d"))  # null is before all others
+    agg = found(docs).groupBy("word").agg(F.count("*").alias("n"), first.alias("__d")).filter(F.col("n") >= least)
+    agg = keeper(spark)(agg.withColumn("place", F.struct((-F.col("n")).alias("n"), "__d")), "words")
+    last = agg.orderBy("place").limit(top).agg(F.max("place").alias("last"))
+    level = agg.join(F.broadcast(last), F.col("place") <= F.col("last")).select(F.col("word").alias("__word"), "n", F.col("__d").alias("__first"))
+    level = keeper(spark)(level, "top")  # at most ``top`` words and those of one document
+    few = docs.join(F.broadcast(level.select("__first").distinct()), F.col(order).eqNullSafe(F.col("__first")), "left_semi")
+    places = found(few).join(F.broadcast(level), (F.col("word") == F.col("__word")) & F.col("__d").eqNullSafe(F.col("__first")))
+    return places.groupBy("word", "n", "__d").agg(F.min("__p").alias("__p")).select("word", "n", F.struct("__d", "__p").alias("first")).orderBy(F.desc("n"), "first").limit(top)
 
 
 def bridging_bigrams(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
