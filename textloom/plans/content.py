@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import export, runs, terms
+from textloom.operators.keep import keeper
 from textloom.plans.base import EMPTY, FORMER, GLOSSARY, LINES, SEGMENTS, STRIP, glossary, glossary_sql, lines, segments, spread, table
 from textloom.sources import formats
 
@@ -122,7 +123,7 @@ SELECT doc_id, count(*) AS n_terms, string_agg(src, ' ' ORDER BY k) AS terms FRO
 def filter_terms_top60(spark, sf_dir: str) -> DataFrame:
     """Terms that occur in a text, the 60 most frequent of them (the limit is the operator's own)."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    t = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select(F.col("word").alias("src"), "n")
+    t = keeper(spark)(terms.candidate_words(docs).select(F.col("word").alias("src"), "n"), "terms")  # read for the automata, their size and the join
     hit = terms.containing(docs, t, "text").drop("text")
     top = hit.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "src"))), 1, 60).alias("top"))
     return top.select("doc_id", F.size("top").cast("long").alias("n_terms"), F.array_join(F.transform("top", lambda x: x["src"]), " ").alias("terms"))
@@ -134,7 +135,7 @@ DIFF = f"{_OLD}, {_NEW}, diff AS (SELECT coalesce(o.src, g.src) AS src, o.cands
 
 def learnt(spark, sf_dir: str) -> DataFrame:
     """A glossary of the frequent words of the texts: (ord, src, cands, note, n); 300 at most."""
-    words = terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    words = keeper(spark)(terms.candidate_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "learnt")  # used several times
     number = (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("int").alias("ord")
     return words.select(number, F.col("word").alias("src"), F.array(F.upper("word"), F.concat(F.lit("n"), F.col("n"))).alias("cands"), F.lit("").alias("note"), "n")
 
