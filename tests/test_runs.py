@@ -90,3 +90,21 @@ def test_undo_works_on_written_states(spark, sf_dir):
     assert "Join" not in plan and "Generate" not in plan and "regexp_replace" not in plan
     r = df.filter("changes = 3").first()
     assert r is None or len({r.h0, r.h1, r.h2, r.h3}) == 4 and (r.s3, r.s1) == ("human_edited", "human_edited")
+
+
+def test_micro_batches_are_few_and_read_their_own_requests(spark, tmp_path, monkeypatch):
+    from textloom.operators import ledger
+
+    monkeypatch.setattr(ledger, "MOST", 3)
+    requests = spark.range(250).select(F.concat(F.lit("0:"), "id").alias("req"), F.array("id").alias("ids"), F.lit("s").alias("system"), F.concat(F.lit("#"), "id", F.lit("\nx")).alias("user"))
+    parts = []
+    ask = lambda part: parts.append(part) or translate.ask(part.coalesce(1), translate.MockModel())
+    out = Ledger(f"file://{tmp_path}/ledger", size=1).ask(requests, "a", ask, [], lambda: False)
+    assert {r.req: r.answers[0].t for r in out.collect()} == {f"0:{i}": "T:x" for i in range(250)}
+    files = [{r[0] for r in p.select(F.input_file_name()).distinct().collect()} for p in parts]
+    assert len(parts) == 3 and not files[0] & files[1] and not files[1] & files[2] and sum(p.count() for p in parts) == 250
+
+
+def test_a_model_that_fails_first_holds_no_texts():
+    model = translate.UnreliableModel(fails_first=True)
+    assert translate.called(model, "", "#1\n" + "x" * 9000, 1, 0)[1] == 2 and {len(m) for m in model.seen} == {16}

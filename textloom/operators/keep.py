@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """``keep(df, name)``: write as Parquet below ``spark.checkpoint.dir`` and read back; a local session without it gets a folder of its own."""
+def keeper(spark: SparkSession) -> Callable[..., DataFrame]:
+    """``keep(df, name, *by)``: write as Parquet, in folders by the last columns if they are named, below ``spark.checkpoint.dir`` and read back; a local session without it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
@@ -18,9 +18,9 @@ def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
         root = "file://" + tempfile.mkdtemp(prefix="textloom-")
     home = f"{root.rstrip('/')}/runs/{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{home}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return keep

@@ -20,11 +20,13 @@ ANSWER = "struct<id:long,t:string,ruby:map<string,string>>"
 ENTRIES = f"stage string, req string, key string, answers array<{ANSWER}>, tokens_in long, tokens_out long, attempts int, error string"
 #: The error of a request that wasn't asked, because the run was stopped.
 STOPPED = "Stopped"
+#: Micro-batches of one call, at most: each costs some jobs, so their number doesn't grow with the input. What is cut off loses one of them.
+MOST = 16
 
 
 @dataclass(frozen=True)
 class Ledger:
-    """The entries of one run below ``path``; ``size``: requests of a micro-batch."""
+    """The entries of one run below ``path``; ``size``: requests of a micro-batch, more where there would be over ``MOST`` micro-batches."""
 
     path: str
     size: int = 1000
@@ -45,12 +47,14 @@ class Ledger:
         spark = requests.sparkSession
         keyed = requests.withColumn("key", F.sha2(F.concat_ws("\x1f", "system", "user"), 256))
         known = self.answered(spark, stage, final)
-        todo = keeper(spark)(keyed.join(known, ["req", "key"], "left_anti"), "open")  # written, as the ledger grows meanwhile
-        chunks = -(-todo.count() // self.size)
+        todo = keyed.join(known, ["req", "key"], "left_anti")
+        chunks = min(-(-todo.count() // self.size), MOST)
+        number = F.pmod(F.xxhash64("req"), F.lit(max(1, chunks))).cast("int")
+        todo = keeper(spark)(todo.withColumn("chunk", number), "open", "chunk")  # written, as the ledger grows meanwhile; a micro-batch reads its own folder
         for i in range(chunks):
             if stop():
                 break
-            part = todo.filter(F.pmod(F.xxhash64("req"), F.lit(chunks)) == i)
+            part = todo.filter(F.col("chunk") == i).drop("chunk")
             done = ask(part).join(part.select("req", "key"), "req").select(F.lit(stage).alias("stage"), "req", "key", "answers", "tokens_in", "tokens_out", "attempts", "error")
             answers = keeper(spark)(done, "micro-batch")
             answers.write.mode("append").parquet(self.path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.automaton import Automaton
+from textloom.functions.lattice import pieces
 from textloom.operators.keep import keeper
 from textloom.operators.store import TRANSLATED
 from textloom.operators.words import chinese_words
@@ -39,9 +40,11 @@ def found_in(automaton: Automaton, text: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def find(texts: pa.Array) -> pa.Array:
-        rows, words = automaton.find(texts)
-        names = pa.array(automaton.words, pa.string()).take(pa.array(words)) if len(words) else pa.array([], pa.string())
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)), pa.int32()), names)
+        names, out = pa.array(automaton.words, pa.string()), [pa.array([], pa.list_(pa.string()))]
+        for piece in pieces(texts, 4 << 20):
+            rows, words = automaton.find(piece)
+            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(piece) + 1)), pa.int32()), names.take(pa.array(words, pa.int64()))))
+        return pa.concat_arrays(out)
 
     return find(text)
 
