@@ -97,6 +97,19 @@ def test_ruby(spark):
     assert P.ruby_enabled("ja-JP") and not P.ruby_enabled("zh-CN") and not P.ruby_enabled(None)
 
 
+def test_readings_take_few_steps_and_give_the_same(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("aZ9々〆ーカ漢龥𠀀あ- 《》《》\n") for _ in range(r.randrange(90))) + "x" * r.randrange(30) + "《よみ》" for _ in range(300)]
+    for t, got in zip(texts, values(spark, texts, T.rubyize_aozora(F.col("t")))):
+        text, entries = P.rubyize(t)
+        assert got["text"] == text and [e.asDict() for e in got["entries"]] == entries
+    mixed = [("{r1}b{r0}{r01}", "《い》b《あ》{r01}"), ("{r9}{r2147483647}{r99999999999}{r٣}", "{r9}{r2147483647}{r99999999999}{r٣}")]
+    rows = spark.createDataFrame([(t, [(f"{{r{i}}}", "", x, "aozora") for i, x in enumerate("あい")]) for t, _ in mixed], "t string, e array<struct<token:string,base:string,rt:string,style:string>>")
+    back = rows.select("t", T.restore_ruby(F.col("t"), F.col("e")).alias("b"))
+    assert sorted(map(tuple, back.collect())) == sorted(mixed)
+    assert back._jdf.queryExecution().analyzed().toString().count("array_position") == 1, "an entry is looked up once for a slot"
+
+
 def test_markup_of_readings_goes(spark):
     texts = ["<ruby>基<rp>(</rp><rt lang='x'>もと</rt><RP>)</rp></ruby> a", "<rt>open", "x</rt>y<rb>z", "<ruby>a<rt>b<rt>c</rt>d</ruby>", "<rp><rt>x</rp>y</rt>z", "a < b <rtx>", "<ruby>基<rt>x\ny</rt></ruby>{r0} 。"]
     want = ["基 a", "open", "xyz", "ad", "yz", "a < b <rtx>", "基。"]

@@ -144,11 +144,14 @@ def replace_each(c: Column, pattern: str, value) -> Column:
 
 def by_slot(slot: Column, names: Column, values: Column) -> Column:
     """The value whose name is ``slot``, else null. Slots are mostly in the place that their number says; only others are searched for."""
-    at = F.regexp_extract(slot, r"(?<=\D)([0-9]{1,9})\}", 1)
-    place = F.when(at != "", at.cast("int") + 1).otherwise(0)
-    there = F.when(place.between(1, F.size(names)), F.element_at(names, F.greatest(place, F.lit(1)))) == slot
-    other = F.nullif(F.array_position(names, slot), F.lit(0))
-    return F.when(there, F.element_at(values, F.greatest(place, F.lit(1)))).otherwise(F.when(other.isNotNull(), F.element_at(values, F.coalesce(other, F.lit(1)).cast("int"))))
+    number = F.translate(slot, "{r}", "").try_cast("int")
+
+    def at(place: Column) -> Column:
+        there = place.between(1, F.size(names)) & (F.get(names, place - 1) == slot)
+        other = F.nullif(F.array_position(names, slot), F.lit(0))
+        return F.when(there, F.get(values, place - 1)).otherwise(F.get(values, other.cast("int") - 1))
+
+    return bind(F.when(number < 1 << 30, number + 1).otherwise(0), at)
 
 
 def restore(c: Column, protected: Column) -> Column:
@@ -192,30 +195,43 @@ def strip_ruby_markup(c: Column) -> Column:
 
 
 def rubyize_aozora(c: Column) -> Column:
-    """Struct (text, entries) for base《reading》: the base stays, the reading becomes slot {rK}."""
-    pattern = r"([\u4e00-\u9fff々〆\u30A0-\u30FFーA-Za-z0-9]{1,20})《([^》\n]{1,30})》"
-    slot = lambda i: F.concat(F.lit("{r"), i.cast("string"), F.lit("}"))
+    """Struct (text, entries) for base《reading》: the base stays, the reading becomes slot {rK}.
+
+    A base is of 々〆, katakana, Han and ASCII letters and digits; the pattern names what else there is, since Java is slow with unions of small ranges.
+    """
+    letter = r"(?:\p{Alnum}|[^\x{a000}-\x{10ffff}\x00-\u3004\u3007-\u309f\u3100-\u4dff])"
+
+    def entry(hit: Column, i: Column) -> Column:
+        at = F.instr(hit, "《")
+        parts = [F.concat(F.lit("{r"), i.cast("string"), F.lit("}")).alias("token"), F.left(hit, at - 1).alias("base"), hit.substr(at + 1, F.length(hit) - at - 1).alias("rt")]
+        return F.when(hit.isNotNull(), F.struct(*parts, F.lit("aozora").alias("style")))
 
     def taken(parts: Column) -> Column:
-        hits = F.filter(parts, lambda p: p["g0"].isNotNull())
-        entries = F.transform(hits, lambda p, i: F.struct(slot(i).alias("token"), p["g0"].alias("base"), p["g1"].alias("rt"), F.lit("aozora").alias("style")))
-        return F.struct(joined(parts, lambda p, i: F.concat(p["g0"], slot(i))).alias("text"), entries.alias("entries"))
+        """Of the pieces, each with its entry; the last one has none."""
+        text = F.transform(parts, lambda q: F.concat(q["gap"], F.coalesce(F.concat(q["e"]["base"], q["e"]["token"]), F.lit(""))))
+        entries = F.transform(F.filter(parts, lambda q: q["e"].isNotNull()), lambda q: q["e"])
+        return F.struct(F.array_join(text, "").alias("text"), entries.alias("entries"))
 
-    return bind(pieces(c, pattern, (1, 2)), taken)
+    marked = lambda parts: F.transform(parts, lambda p, i: F.struct(p["gap"], entry(p["g0"], i).alias("e")))
+    return bind(marked(pieces(c, letter + r"{1,20}+《[^》\n]{1,30}+》")), taken)
 
 
 def restore_ruby(c: Column, entries: Column, readings: Column | None = None, style: str | None = None) -> Column:
     """Slots back to 《reading》, or （reading） in paren style; ``readings`` (map slot -> text) wins where not empty."""
 
     def put_back(known: Column) -> Column:
-        def value(token: Column) -> Column:
-            e = by_slot(token, known["names"], known["entries"])
+        def value(token: Column, i: Column) -> Column:
             own = F.lit(None).cast("string") if readings is None else F.nullif(by_slot(token, known["own"], known["texts"]), F.lit(""))
-            rt = F.coalesce(own, e["rt"])
-            paren = F.lit(style == "paren") if style else e["style"] == "paren"
-            return F.when(e.isNull(), token).when(paren, F.concat(F.lit("（"), rt, F.lit("）"))).otherwise(F.concat(F.lit("《"), rt, F.lit("》")))
 
-        return replace_each(c, RUBY_SLOT, value)
+            def shown(e: Column) -> Column:
+                rt = F.coalesce(own, e["rt"])
+                paren = F.lit(style == "paren") if style else e["style"] == "paren"
+                return F.when(e.isNull(), token).when(paren, F.concat(F.lit("（"), rt, F.lit("）"))).otherwise(F.concat(F.lit("《"), rt, F.lit("》")))
+
+            in_turn = F.when(F.get(known["names"], i) == token, F.get(known["entries"], i))  # as a text has them that was only split
+            return bind(F.coalesce(in_turn, by_slot(token, known["names"], known["entries"])), shown)
+
+        return joined(pieces(c, RUBY_SLOT), lambda p, i: value(p["g0"], i))
 
     own = [] if readings is None else [F.coalesce(F.map_keys(readings), F.array().cast("array<string>")).alias("own"), F.coalesce(F.map_values(readings), F.array().cast("array<string>")).alias("texts")]
     known = F.struct(F.transform(entries, lambda e: e["token"]).alias("names"), entries.alias("entries"), *own)
