@@ -176,6 +176,36 @@ def test_source_isolates_bad_files(spark, tmp_path):
     assert [r.p for r in order.collect()] == ["cover.png", "page_1.png", "page_2.png", "page_10.png"]
 
 
+def test_a_task_holds_one_file_as_an_object(spark):
+    def lists(path, raw, lang):
+        import gc
+
+        return [str(max([len(x) for x in gc.get_objects() if type(x) is list and x and type(x[0]) is bytes and len(x[0]) == 5000], default=0))]
+
+    files = spark.range(0, 2000, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".png")).alias("path"), F.repeat(F.lit("x"), 5000).cast("binary").alias("content"))
+    held = S.parse_files(files, backend=lists).groupBy().agg(F.count("*").alias("n"), F.max(F.col("src_text").cast("int")).alias("held")).first()
+    assert held.n == 2000 and held.held <= 1
+
+
+def test_results_are_passed_on_in_bounded_batches(spark):
+    big = S.by_row(spark.range(0, 200, 1, 1), lambda i: [(100_000, {"i": i, "x": b"x" * 100_000})], "i long, x binary")
+    sizes = big.mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    rows = [r.n for r in sizes.collect()]
+    assert sum(rows) == 200 and max(rows) * 100_000 <= 5 * S.HELD
+
+
+def test_trees_are_parsed_once(monkeypatch):
+    from textloom.plans import files as P
+    from textloom.sources import markup, packages
+
+    fed = []
+    monkeypatch.setattr(markup._Builder, "feed", lambda self, text, feed=markup._Builder.feed: (fed.append(text), feed(self, text)))
+    raw = P._epub("Title", ["one", "two"])
+    out = packages.render_epub(raw, [], {0: "T:Title", 1: "T:<b>one</b>"})
+    assert len(fed) == 3, "two chapters, and the one target that has marks"
+    assert [b.text for b in packages.parse_epub(out)] == ["T:Title", "T:<b>one</b>", "two"]
+
+
 def test_native_lines_match_parser(spark):
     texts = ["a\n\nb\n", "x" * 3500 + ". " + "y" * 10, "\r\nq\r\n", "", "z\n\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -6,7 +6,6 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ def query(sql: str):
 
 def made(spark, sf_dir: str) -> DataFrame:
     """(doc_id, title, paras): the paragraphs that the files below hold."""
-    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9 ]+", ""), " +", " "))
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{Alnum} ]+", ""), " +", " "))
     paras = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), bare), lambda x: x != "")
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), paras.alias("paras"))
@@ -60,12 +59,11 @@ JOINED = "joined AS (SELECT doc_id, p, string_agg('T:' || rtrim(x), ' ' ORDER BY
 def packed(rows: DataFrame, ext: str, build: Callable[[str, list[str]], bytes]) -> DataFrame:
     """(path, content) of package files built from (doc_id, title, paras)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, title, paras in zip(b.column("doc_id").to_pylist(), b.column("title").to_pylist(), b.column("paras").to_pylist()):
-                yield pa.RecordBatch.from_pydict({"path": [f"{i}.{ext}"], "content": [build(title, paras)]})
+    def one(i: int, title: str, paras: list[str]) -> Iterator[tuple[int, dict]]:
+        content = build(title, paras)
+        yield len(content), {"path": f"{i}.{ext}", "content": content}
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return formats.by_row(rows.select("doc_id", "title", "paras"), one, "path string, content binary")
 
 
 def plain_file(rows: DataFrame, ext: str, content: Column) -> DataFrame:
@@ -75,15 +73,14 @@ def plain_file(rows: DataFrame, ext: str, content: Column) -> DataFrame:
 def rewritten(files: DataFrame, mode: str) -> DataFrame:
     """(path, content) of the files written back, each block translated to T:<source>."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                kind = formats.detect_format(path)
-                blocks = formats.PARSERS[kind](raw)
-                done = {x.seq: "T:" + x.text for x in blocks if x.translatable}
-                yield pa.RecordBatch.from_pydict({"path": [path], "content": [formats.RENDERERS[kind](raw, blocks, done, mode)]})
+    def one(path: str, raw: bytes) -> Iterator[tuple[int, dict]]:
+        kind = formats.detect_format(path)
+        blocks = formats.PARSERS[kind](raw)
+        done = {x.seq: "T:" + x.text for x in blocks if x.translatable}
+        content = formats.RENDERERS[kind](raw, blocks, done, mode)
+        yield len(content), {"path": path, "content": content}
 
-    return files.mapInArrow(run, "path string, content binary")
+    return formats.by_row(files.select("path", "content"), one, "path string, content binary")
 
 
 def blocks_of(files: DataFrame, lang: str = "") -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import dataclasses
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,11 +45,10 @@ def format_of(path: Column) -> Column:
 
 
 def block_row(b: Block) -> dict:
-    row = dataclasses.asdict(b)
-    row["src_text"] = row.pop("text")
-    for maps in ("slots", "extra"):
-        row[maps] = list(row[maps].items())
-    return row
+    return {
+        "seq": b.seq, "src_text": b.text, "is_heading": b.is_heading, "translatable": b.translatable, "kind": b.kind, "para": b.para, "part": b.part,
+        "slots": list(b.slots.items()), "ruby": b.ruby, "extra": list(b.extra.items()),
+    }
 
 
 def block_of(row: dict) -> Block:
@@ -64,6 +62,34 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").filter(format_of(F.col("path")).isNotNull())
 
 
+#: Bytes that a Python task gathers before it passes them on; it gets four times as many at once, or one row: files have any size.
+HELD = 1 << 20
+
+
+def by_row(rows: DataFrame, one: Callable[..., Iterable[tuple[int, dict]]], schema: str) -> DataFrame:
+    """``one(*row)`` of each row in Python gives (size, row) of what is made of it; a task holds one row as objects and what fits into ``HELD``, whatever the sizes of files and partitions."""
+    kind, names = to_arrow_schema(StructType.fromDDL(schema)), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for b in batches:
+            for at in range(b.num_rows):
+                for n, row in one(*(b.column(c)[at].as_py() for c in names)):
+                    made.append(row)
+                    size += n + 200
+                    if size >= HELD:
+                        yield pa.RecordBatch.from_pylist(made, schema=kind)
+                        made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=kind)
+
+    bound, spark = "spark.sql.execution.arrow.maxBytesPerBatch", rows.sparkSession
+    now = spark.conf.get(bound).lower().rstrip("b")
+    if not now.isdigit() or int(now) > 4 * HELD:
+        spark.conf.set(bound, str(4 * HELD))
+    return rows.mapInArrow(run, schema)
+
+
 def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend: Callable | None = None) -> DataFrame:
     """Blocks of each file: (path, format, content_hash, error, seq, src_text, ..., src_hash).
 
@@ -71,7 +97,6 @@ def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend:
     """
 
     schema = f"path string, format string, content_hash string, error string, {BLOCK}"
-    kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def parse(path: str, raw: bytes) -> list[dict]:
         head = {"path": path, "format": None, "content_hash": hashlib.sha256(raw).hexdigest(), "error": None}
@@ -82,12 +107,10 @@ def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend:
             return [head | {"error": f"{type(e).__name__}: {e}"}]
         return [head | block_row(b) for b in blocks] or [head]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                yield pa.RecordBatch.from_pylist(parse(path, raw or b""), schema=kind)
+    def one(path: str, raw: bytes | None) -> Iterator[tuple[int, dict]]:
+        return ((len(row.get("src_text") or ""), row) for row in parse(path, raw or b""))
 
-    return files.mapInArrow(run, schema).withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text"))))
+    return by_row(files.select("path", "content"), one, schema).withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text"))))
 
 
 def folder_order(path: Column) -> Column:
