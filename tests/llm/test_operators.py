@@ -795,3 +795,20 @@ def test_similar_short_texts(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4]))]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
     assert all(got[2 * k + 1] == 2 * k for k in range(300))
+
+
+def test_lm_words_are_cut_as_bytes_like_the_pattern():
+    import re
+
+    import pyarrow as pa
+
+    from textloom.llm import lm
+    from textloom.llm.common import WORD
+
+    texts = ["", " ", "a\x0bb\x0cc\rd\te\n f", "un\u00a0geteilt\u2003auch \x1c\x1d\x85 \x00", "\u5929 \U0001f600\u3000x", "z" * 5000]
+    want = [[w.encode() for w in re.findall(WORD, t)] for t in texts]
+    assert [lm.words_of(t) for t in texts] == want
+    assert [lm.words_of(t) for t in lm.encoded(pa.RecordBatch.from_pydict({"text": texts}))] == want
+    v = lm.Vocabulary({"a": 0, "\u5929": 1}, np.zeros(8, np.int32), np.zeros(8, np.float32), lm.Shape())
+    words = re.findall(WORD, " ".join(texts))
+    assert v.look_up(words).tolist() == v.look_up([w.encode() for w in words]).tolist() and v.look_up(["\u5929", "a"]).tolist() == [1, 0]

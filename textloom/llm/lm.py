@@ -13,7 +13,6 @@ of a score, depend on how the rows are dealt to partitions. The network has a fi
 from __future__ import annotations
 
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -25,23 +24,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, lean, stage, table
+from textloom.llm.common import lean, stage, table
 
-_WORD = re.compile(WORD)
 SEED = 42
 #: Slots for words without a leaf of their own, at most: eight bytes each.
 SLOTS = 1 << 23
 CHUNK = 4096
 
 
+def words_of(text: str | bytes) -> list[bytes]:
+    """The words of a text as UTF-8; without an argument, ``bytes.split`` cuts at just the white space of ``common.WORD``."""
+    return (text.encode() if isinstance(text, str) else text).split()
+
+
+def encoded(b: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts of a batch as UTF-8, as they lie in it."""
+    return (t.as_py() for t in b.column("text").cast(pa.binary()))
+
+
 class _Ids(dict):
-    """Word -> id: the number of a known word, else one more than those and its slot; ids of other words are kept up to a bound."""
+    """Word, as UTF-8 -> id: the number of a known word, else one more than those and its slot; ids of other words are kept up to a bound."""
 
-    def __init__(self, known: dict[str, int], slots: int, most: int = 300_000):
+    def __init__(self, known: dict[bytes, int], slots: int, most: int = 300_000):
         super().__init__(known)
         self.known, self.slots, self.most = known, slots, most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(self.known)
@@ -82,9 +90,11 @@ class Vocabulary:
     shape: Shape
 
     def __post_init__(self):
-        self.seen = _Ids(self.ids, len(self.leaf))
+        self.seen = _Ids({w.encode(): i for w, i in self.ids.items()}, len(self.leaf))
 
-    def look_up(self, words: list[str]) -> np.ndarray:
+    def look_up(self, words: list[str] | list[bytes]) -> np.ndarray:
+        if words and isinstance(words[0], str):
+            words = [w.encode() for w in words]
         return np.fromiter(map(self.seen.__getitem__, words), dtype=np.int32, count=len(words))
 
     def target(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +124,8 @@ def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
-                seen.update(_WORD.findall(text))
+            for text in encoded(b):
+                seen.update(words_of(text))
                 if len(seen) > held:
                     yield batch(seen)
                     seen.clear()
@@ -173,14 +183,14 @@ def fresh(v: Vocabulary, s: Shape) -> dict[str, np.ndarray]:
     }
 
 
-def grouped(texts: Iterable[str], v: Vocabulary, s: Shape, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+def grouped(texts: Iterable[str | bytes], v: Vocabulary, s: Shape, least: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(tokens of each text, text of each token, windows, class, leaf, log share) of runs of texts with ``least`` tokens or more.
 
     A window is the ``side`` rows on the left and on the right of a position, the edge's row beyond the ends of its text.
     """
     offsets = np.array([k for k in range(-s.side, s.side + 1) if k])
 
-    def made(words: list[str], sizes: list[int]) -> tuple[np.ndarray, ...]:
+    def made(words: list[bytes], sizes: list[int]) -> tuple[np.ndarray, ...]:
         ids, n = v.look_up(words), np.array(sizes)
         of = np.repeat(np.arange(len(n)), n)
         padded = np.full(len(ids) + s.side * (len(n) + 1), v.edge, np.int32)
@@ -190,7 +200,7 @@ def grouped(texts: Iterable[str], v: Vocabulary, s: Shape, least: int) -> Iterat
 
     words, sizes = [], []
     for text in texts:
-        found = _WORD.findall(text)
+        found = words_of(text)
         words += found
         sizes.append(len(found))
         if len(words) >= least:
@@ -202,13 +212,15 @@ def grouped(texts: Iterable[str], v: Vocabulary, s: Shape, least: int) -> Iterat
 
 def scores(m: dict[str, np.ndarray], ctx: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
     """(inputs, hidden layer, the class's gate, gated hidden layer, scores of the classes, scores of the leaves of the class)."""
-    x = m["E"][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ m["W"] + m["b"])
-    gate = m["G"][cls]
+    x = m["E"].take(ctx, axis=0).reshape(len(ctx), -1)
+    h = x @ m["W"]
+    h += m["b"]
+    np.tanh(h, out=h)
+    gate = m["G"].take(cls, axis=0)
     gated = h * gate
     z, y = h @ m["V"], gated @ m["U"]
     z += m["c"]
-    y += m["B"][cls]
+    y += m["B"].take(cls, axis=0)
     return x, h, gate, gated, z, y
 
 
@@ -265,7 +277,7 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], shared, s: Shape,
         m = {k: a.copy() for k, a in start.items()}
         g2 = {k: np.full(a.shape, 1e-8, np.float32) for k, a in start.items()}
         total = 0
-        texts = (t.as_py() for b in batches for t in b.column("text"))
+        texts = (t for b in batches for t in encoded(b))
         for _, _, ctx, cls, leaf, _ in grouped(texts, v, s, s.batch):
             for at in range(0, len(cls), s.batch):
                 some = slice(at, at + s.batch)
@@ -292,7 +304,7 @@ def train_round(docs: DataFrame, start: dict[str, np.ndarray], shared, s: Shape,
     return {k: (sum(x[k] for x in sums) / n).astype(np.float32) for k in start}
 
 
-def score(texts: Iterable[str], m: dict[str, np.ndarray], v: Vocabulary, s: Shape, step: int = 1 << 10) -> tuple[np.ndarray, np.ndarray]:
+def score(texts: Iterable[str | bytes], m: dict[str, np.ndarray], v: Vocabulary, s: Shape, step: int = 1 << 10) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, sum of log P(token | both sides)) of each text."""
     counts, sums = [np.empty(0, np.int64)], [np.empty(0)]
     for n, of, ctx, cls, leaf, inside in grouped(texts, v, s, 8 * step):
@@ -322,7 +334,7 @@ def score_documents(docs: DataFrame, shape: Shape | None = None, rounds: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            n, total = score((t.as_py() for t in b.column("text")), m, v, s)
+            n, total = score(encoded(b), m, v, s)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total, pa.float64())})
 
     out = lean(rows).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
