@@ -194,6 +194,29 @@ def test_results_are_passed_on_in_bounded_batches(spark):
     assert sum(rows) == 200 and max(rows) * 100_000 <= 5 * S.HELD
 
 
+def test_only_the_columns_that_are_asked_for_are_made(spark):
+    rows = [("a.md", b"# t\n\nx `y` z\n\n- w"), ("b.txt", b"one\n\n" + b"x" * 1600), ("c.bin", b"q"), ("d.txt", b"\0"), ("e.txt", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    whole = S.parse_files(files)
+    for columns in (["path", "seq", "src_hash"], ["src_text", "path"], ["error", "content_hash", "slots"], whole.columns):
+        some = S.parse_files(files, columns=columns)
+        assert some.columns == columns
+        assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select(*columns).collect()))
+    from textloom.plans import files as P
+
+    plan = P.blocks_of(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "src_text#" in plan and not any(f"{c}#" in plan for c in ("slots", "ruby", "extra", "kind", "content_hash"))
+
+
+def test_new_docx_is_written_without_a_tree(monkeypatch):
+    from textloom.sources import packages
+
+    monkeypatch.setattr(packages, "_run", None)
+    texts = ["a & b < c > d \"e\" 'f'", "", "]]>", "漢字"]
+    raw = new_docx([paragraph(texts[0], 1), *map(paragraph, texts), packages._table([(t, t) for t in texts])])
+    assert [(b.text, b.is_heading) for b in parse_docx(raw)] == [(texts[0], True), *((t, False) for t in texts), *((t, False) for t in texts for _ in "ab")]
+
+
 def test_trees_are_parsed_once(monkeypatch):
     from textloom.plans import files as P
     from textloom.sources import markup, packages

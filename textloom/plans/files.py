@@ -32,9 +32,9 @@ def query(sql: str):
 
 
 def made(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, title, paras): the paragraphs that the files below hold."""
-    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{Alnum} ]+", ""), " +", " "))
-    paras = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), bare), lambda x: x != "")
+    """(doc_id, title, paras): the paragraphs that the files below hold. The whole text is cleaned at once: a call a line would take twice as long."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{Alnum} \n]+", ""), " {2,}", " ")
+    paras = F.filter(F.transform(F.split(bare, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), paras.alias("paras"))
 
@@ -85,7 +85,7 @@ def rewritten(files: DataFrame, mode: str) -> DataFrame:
 
 def blocks_of(files: DataFrame, lang: str = "") -> DataFrame:
     """The translatable blocks of each file with their place among them."""
-    out = formats.parse_files(files, lang=lang).filter("translatable")
+    out = formats.parse_files(files, lang=lang, columns=("path", "seq", "src_hash", "is_heading", "translatable")).filter("translatable")
     number = F.split("path", r"\.")[0].cast("long").alias("doc_id")
     listed = out.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("seq", "src_hash", "is_heading"))).alias("bs"))
     return listed.select("doc_id", F.posexplode("bs").alias("at", "b")).select("doc_id", (F.col("at") + 1).cast("long").alias("place"), F.col("b.src_hash").alias("src_hash"), F.col("b.is_heading").alias("is_heading"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,11 +45,11 @@ def format_of(path: Column) -> Column:
     return F.try_element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)))
 
 
-def block_row(b: Block) -> dict:
-    return {
-        "seq": b.seq, "src_text": b.text, "is_heading": b.is_heading, "translatable": b.translatable, "kind": b.kind, "para": b.para, "part": b.part,
-        "slots": list(b.slots.items()), "ruby": b.ruby, "extra": list(b.extra.items()),
-    }
+#: A block's value for each of its columns.
+_VALUES: dict[str, Callable[[Block], object]] = {
+    "seq": attrgetter("seq"), "src_text": attrgetter("text"), "is_heading": attrgetter("is_heading"), "translatable": attrgetter("translatable"), "kind": attrgetter("kind"), "para": attrgetter("para"),
+    "part": attrgetter("part"), "slots": lambda b: list(b.slots.items()), "ruby": attrgetter("ruby"), "extra": lambda b: list(b.extra.items()),
+}
 
 
 def block_of(row: dict) -> Block:
@@ -66,9 +67,9 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 HELD = 1 << 20
 
 
-def by_row(rows: DataFrame, one: Callable[..., Iterable[tuple[int, dict]]], schema: str) -> DataFrame:
+def by_row(rows: DataFrame, one: Callable[..., Iterable[tuple[int, dict]]], schema: str | StructType) -> DataFrame:
     """``one(*row)`` of each row in Python gives (size, row) of what is made of it; a task holds one row as objects and what fits into ``HELD``, whatever the sizes of files and partitions."""
-    kind, names = to_arrow_schema(StructType.fromDDL(schema)), rows.columns
+    kind, names = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, size = [], 0
@@ -90,27 +91,34 @@ def by_row(rows: DataFrame, one: Callable[..., Iterable[tuple[int, dict]]], sche
     return rows.mapInArrow(run, schema)
 
 
-def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend: Callable | None = None) -> DataFrame:
-    """Blocks of each file: (path, format, content_hash, error, seq, src_text, ..., src_hash).
+def parse_files(files: DataFrame, lang: str = "", loose: bool = False, backend: Callable | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Blocks of each file: (path, format, content_hash, error, seq, src_text, ..., src_hash), or those ``columns`` of them.
 
-    A file that can't be read gives one row with ``error`` and no block; it never stops the others.
+    A file that can't be read gives one row with ``error`` and no block; it never stops the others. Spark can't see which columns
+    of a Python task are used, so who needs few of them says which: making all of a block's takes longer than parsing it.
     """
 
-    schema = f"path string, format string, content_hash string, error string, {BLOCK}"
+    full = StructType.fromDDL(f"path string, format string, content_hash string, error string, {BLOCK}")
+    columns = [*full.names, "src_hash"] if columns is None else columns
+    hashed = "src_hash" in columns
+    schema = StructType([f for f in full if f.name in columns or f.name == "src_text" and hashed])
+    values = [(c, of) for c, of in _VALUES.items() if c in schema.names]
+    digested = "content_hash" in schema.names
 
     def parse(path: str, raw: bytes) -> list[dict]:
-        head = {"path": path, "format": None, "content_hash": hashlib.sha256(raw).hexdigest(), "error": None}
+        head = {"path": path, "format": None, "content_hash": hashlib.sha256(raw).hexdigest() if digested else None, "error": None}
         try:
             head["format"] = detect_format(path)
             blocks = PARSERS[head["format"]](raw, lang=lang, loose=loose, backend=backend, path=path)
         except Exception as e:  # any bad file is a row, not a failed job
             return [head | {"error": f"{type(e).__name__}: {e}"}]
-        return [head | block_row(b) for b in blocks] or [head]
+        return [head | {c: of(b) for c, of in values} for b in blocks] or [head]
 
     def one(path: str, raw: bytes | None) -> Iterator[tuple[int, dict]]:
         return ((len(row.get("src_text") or ""), row) for row in parse(path, raw or b""))
 
-    return by_row(files.select("path", "content"), one, schema).withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text"))))
+    out = by_row(files.select("path", "content"), one, schema)
+    return (out.withColumn("src_hash", F.when(F.col("src_text").isNotNull(), T.src_hash(F.col("src_text")))) if hashed else out).select(*columns)
 
 
 def folder_order(path: Column) -> Column:
