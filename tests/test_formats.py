@@ -217,6 +217,20 @@ def test_new_docx_is_written_without_a_tree(monkeypatch):
     assert [(b.text, b.is_heading) for b in parse_docx(raw)] == [(texts[0], True), *((t, False) for t in texts), *((t, False) for t in texts for _ in "ab")]
 
 
+def test_elements_are_listed_without_recursion_and_lines_not_counted():
+    from textloom.sources import markup
+
+    deep = root = markup.Node("#root")
+    for i in range(5000):
+        deep.children += [markup.Node("b", {"n": str(i)}), "x", markup.Node("i")]
+        deep = deep.children[0]
+    assert [n.attrs["n"] for n in root.walk() if n.attrs] == list(map(str, range(5000)))
+    assert [n.tag for n in root.walk()] == ["#root", *"b" * 5000, *"i" * 5000]
+    tokenizer = markup._Builder()
+    tokenizer.feed("a\n<p>\nb")
+    assert tokenizer.getpos() == (1, 0) and not hasattr(root, "__dict__")
+
+
 def test_trees_are_parsed_once(monkeypatch):
     from textloom.plans import files as P
     from textloom.sources import markup, packages
