@@ -97,6 +97,29 @@ def test_ruby(spark):
     assert P.ruby_enabled("ja-JP") and not P.ruby_enabled("zh-CN") and not P.ruby_enabled(None)
 
 
+def test_bases_are_looked_for_before_brackets_only():
+    """As by one pattern of base and brackets, which tries up to 20 characters from every place of a text without readings."""
+    import re
+
+    kept = {"aozora": r"([\u4e00-\u9fff々〆\u30A0-\u30FFーA-Za-z0-9]{1,20})《([^》\n]{1,30})》", "paren": r"([\u4e00-\u9fff々〆\u30A0-\u30FFー]{1,20})（([\u3040-\u30FFー]{1,30})）"}
+    r, bits = random.Random(6), [*"aZ漢々ーカか 、\n《》（）", "漢" * 9, "カ" * 21, "《よみ》", "（よみ）", "か" * 31, "a《b《c》", "《》"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(16))) for _ in range(3000)]
+    for style, read in P._NOTATIONS[1:]:
+        assert any(re.search(kept[style], t) for t in texts)
+        for t in texts:
+            assert list(read(t)) == [(m.start(), m.end(), *m.groups()) for m in re.finditer(kept[style], t)]
+
+    class Counted:
+        tried: list = []
+
+        def search(self, text, start, end):
+            self.tried.append(end - start)
+            return P._AOZORA[0].search(text, start, end)
+
+    found = list(P._bracketed(Counted(), *P._AOZORA[1:], "漢" * 100_000 + "字《じ》" + "x" * 100_000))
+    assert found == [(99_981, 100_004, "漢" * 19 + "字", "じ")] and Counted.tried == [20]
+
+
 def test_readings_take_few_steps_and_give_the_same(spark):
     r = random.Random(5)
     texts = ["".join(r.choice("aZ9々〆ーカ漢龥𠀀あ- 《》《》\n") for _ in range(r.randrange(90))) + "x" * r.randrange(30) + "《よみ》" for _ in range(300)]
