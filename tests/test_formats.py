@@ -194,6 +194,33 @@ def test_results_are_passed_on_in_bounded_batches(spark):
     assert sum(rows) == 200 and max(rows) * 100_000 <= 5 * S.HELD
 
 
+def test_a_task_gets_bounded_pieces_of_its_input(spark):
+    import pyarrow as pa
+
+    def one(path, content):
+        yield 8, {"held": pa.total_allocated_bytes()}
+
+    files = spark.range(0, 1000, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".srt")).alias("path"), F.repeat(F.lit("x"), 100_000).cast("binary").alias("content"))
+    held = [r.held for r in S.by_row(files, one, "held long").collect()]
+    assert len(held) == 1000 and max(held) <= 5 * 4 * S.HELD, "of 100 MB"
+
+
+def test_lines_of_subtitles_are_counted_once():
+    from textloom.sources import lines
+
+    class Text(str):
+        counted = 0
+
+        def count(self, x, *span):
+            Text.counted += span[1] - span[0]
+            return str.count(self, x, *span)
+
+    text = Text("x\n" + "".join(f"{i}\n00:00:01,000 --> 00:00:02,000\nline {i}\nmore\n\n\n" for i in range(500)))
+    found = [(head and head["number"], own, rest) for head, own, rest in lines._cues(text)]
+    assert found == [(None, [], ["x"]), *((str(i), [f"line {i}", "more"], [""] * 2) for i in range(500))]
+    assert Text.counted <= len(text)
+
+
 def test_only_the_columns_that_are_asked_for_are_made(spark):
     rows = [("a.md", b"# t\n\nx `y` z\n\n- w"), ("b.txt", b"one\n\n" + b"x" * 1600), ("c.bin", b"q"), ("d.txt", b"\0"), ("e.txt", None)]
     files = spark.createDataFrame(rows, "path string, content binary")
