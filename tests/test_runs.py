@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from itertools import count
 
 from pyspark.sql import functions as F
@@ -108,3 +109,41 @@ def test_micro_batches_are_few_and_read_their_own_requests(spark, tmp_path, monk
 def test_a_model_that_fails_first_holds_no_texts():
     model = translate.UnreliableModel(fails_first=True)
     assert translate.called(model, "", "#1\n" + "x" * 9000, 1, 0)[1] == 2 and {len(m) for m in model.seen} == {16}
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    import time
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    from textloom.operators.keep import RELEASE, drop
+
+    before = files()
+    kept = keeper(spark)(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7 and spark.conf.get(RELEASE, None) is None
+    other, path = kept.filter("k = 1").count(), kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    drop(kept)
+    assert other == 1 and not os.path.exists(path) and os.path.exists(os.path.dirname(path))
+
+
+def test_requests_and_answers_are_written_once(spark, tmp_path, monkeypatch):
+    """The ledger reads requests from where the run wrote them, and answers go to its table alone."""
+    from textloom.operators import ledger
+
+    written = []
+    monkeypatch.setattr(ledger, "keeper", lambda s: lambda df, name, *by: written.append(name) or keeper(s)(df, name, *by))
+    requests = spark.range(40).select(F.concat(F.lit("0:"), "id").alias("req"), F.array("id").alias("ids"), F.lit("s").alias("system"), F.concat(F.lit("#"), "id", F.lit("\nx")).alias("user"))
+    kept = keeper(spark)(ledger.in_buckets(requests), "requests", ledger.BUCKET)
+    for _ in range(2):  # the second time, all are known
+        asked = []
+        out = Ledger(f"file://{tmp_path}/ledger", size=20).ask(kept, "a", lambda part: asked.append(1) or translate.ask(part, translate.MockModel()), [], lambda: False)
+        assert {r.req: r.answers[0].t for r in out.collect()} == {f"0:{i}": "T:x" for i in range(40)} and "user" not in out.columns
+    assert written == [] and asked == [] and Ledger(f"file://{tmp_path}/ledger").entries(spark).count() == 40

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.keep import keeper
+from textloom.operators.keep import keeper, releasing
 
 ANSWER = "struct<id:long,t:string,ruby:map<string,string>>"
 ENTRIES = f"stage string, req string, key string, answers array<{ANSWER}>, tokens_in long, tokens_out long, attempts int, error string"
@@ -22,6 +22,8 @@ ENTRIES = f"stage string, req string, key string, answers array<{ANSWER}>, token
 STOPPED = "Stopped"
 #: Micro-batches of one call, at most: each costs some jobs, so their number doesn't grow with the input. What is cut off loses one of them.
 MOST = 16
+#: Folder of a request.
+BUCKET = "bucket"
 
 
 @dataclass(frozen=True)
@@ -39,35 +41,45 @@ class Ledger:
         return spark.read.schema(ENTRIES).parquet(self.path)
 
     def ask(self, requests: DataFrame, stage: str, ask: Callable[[DataFrame], DataFrame], final: list[str], stop: Callable[[], bool]) -> DataFrame:
-        """(req, answers, tokens_in, tokens_out, error) of all ``requests`` (req, ids, system, user, ...), from the ledger or the model.
+        """All ``requests`` (req, ids, system, user, ...) without their prompts, with answers, tokens_in, tokens_out and error from the ledger or the model.
 
-        ``ask`` answers a table of requests, adding ``attempts``; errors in ``final`` are no answers, so such requests stay open and the run stops.
-        A request counts as answered only with the same text: what changed since is asked again. ``stage`` tells requests of one name apart.
+        ``ask`` answers a table of requests (req, key, ids, system, user), handing on the key and adding ``attempts``; errors in ``final`` are no answers, so such
+        requests stay open and the run stops. A request counts as answered only with the same text: what changed since is asked again. ``stage`` tells requests
+        of one name apart. Requests that were written ``in_buckets`` already aren't written again.
         """
         spark = requests.sparkSession
-        keyed = requests.withColumn("key", F.sha2(F.concat_ws("\x1f", "system", "user"), 256))
+        if BUCKET not in requests.columns:
+            requests = keeper(spark)(in_buckets(requests), "open", BUCKET)
         known = self.answered(spark, stage, final)
-        todo = keyed.join(known, ["req", "key"], "left_anti")
-        chunks = min(-(-todo.count() // self.size), MOST)
-        number = F.pmod(F.xxhash64("req"), F.lit(max(1, chunks))).cast("int")
-        todo = keeper(spark)(todo.withColumn("chunk", number), "open", "chunk")  # written, as the ledger grows meanwhile; a micro-batch reads its own folder
+        some_known = not known.isEmpty()
+        unknown = lambda part: part.join(known, ["req", "key"], "left_anti") if some_known else part
+        chunks = min(-(-unknown(requests.select("req", "key")).count() // self.size), MOST)
+        useless = lambda: self.entries(spark).filter((F.col("stage") == stage) & F.col("error").isin(final)).count()
+        before = useless()
         for i in range(chunks):
             if stop():
                 break
-            part = todo.filter(F.col("chunk") == i).drop("chunk")
-            done = ask(part).join(part.select("req", "key"), "req").select(F.lit(stage).alias("stage"), "req", "key", "answers", "tokens_in", "tokens_out", "attempts", "error")
-            answers = keeper(spark)(done, "micro-batch")
-            answers.write.mode("append").parquet(self.path)
-            if not answers.filter(F.col("error").isin(final)).isEmpty():
+            part = unknown(requests.filter(F.col(BUCKET) % chunks == i).select("req", "key", "ids", "system", "user"))  # a micro-batch reads its own folders
+            done = ask(part).select(F.lit(stage).alias("stage"), "req", "key", "answers", "tokens_in", "tokens_out", "attempts", "error")
+            with releasing(spark):
+                done.write.mode("append").parquet(self.path)
+            if useless() > before:
                 break
         asked = self.entries(spark).filter(F.col("stage") == stage)
-        newest = asked.groupBy("req", "key").agg(F.max_by(F.struct("answers", "error"), F.when(F.coalesce(F.col("error").isin(final), F.lit(False)), 0).otherwise(1)).alias("a"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-        out = keyed.select("req", "key").join(newest, ["req", "key"], "left")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+        newest = asked.groupBy("req", "key").agg(F.max_by(F.struct("answers", "error"), F.when(F.coalesce(F.col("error").isin(final), F.lit(False)), 0).otherwise(1)).alias("a"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+        rest = requests.drop("system", "user", BUCKET)
+        out = rest.join(newest, ["req", "key"], "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
         error = F.when(F.col("a").isNull(), STOPPED).otherwise(F.col("a.error"))
-        return out.select("req", F.coalesce("a.answers", F.array().cast(f"array<{ANSWER}>")).alias("answers"), zero("tokens_in"), zero("tokens_out"), error.alias("error"))
+        more = [F.coalesce("a.answers", F.array().cast(f"array<{ANSWER}>")).alias("answers"), zero("i").alias("tokens_in"), zero("o").alias("tokens_out"), error.alias("error")]
+        return out.select(*[c for c in rest.columns if c != "key"], *more)
 
     def answered(self, spark: SparkSession, stage: str, final: list[str]) -> DataFrame:
         """(req, key) of what needn't be asked any more."""
         done = ~F.coalesce(F.col("error").isin(final), F.lit(False))
         return self.entries(spark).filter((F.col("stage") == stage) & done).select("req", "key").distinct()
+
+
+def in_buckets(requests: DataFrame) -> DataFrame:
+    """Adds ``key``, a hash of the prompts, and the folder to write a request to; a micro-batch is some of the folders, so requests are written once."""
+    return requests.withColumn("key", F.sha2(F.concat_ws("\x1f", "system", "user"), 256)).withColumn(BUCKET, F.pmod(F.xxhash64("req"), F.lit(MOST)).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.keep import keeper
@@ -17,16 +17,17 @@ from textloom.operators.store import TRANSLATED, rank
 MAX_SEGMENTS, MAX_CHARS = 10, 4000
 
 
-def best_translations(segments: DataFrame, per_document: bool = False, need_text: bool = False) -> DataFrame:
+def best_translations(segments: DataFrame, per_document: bool = False, need_text: bool = False, texts: bool = True) -> DataFrame:
     """The best stored translation per (src_hash, cfg_hash): confirmed, then edited, then machine; the lowest id among equals.
 
-    The choice is a minimum over a struct, so it is combined before the shuffle and a hash with many copies stays one row per task.
+    The choice is a minimum over a struct, so it is combined before the shuffle and a hash with many copies stays one row per task. Without
+    ``texts``, the struct has ids and states only.
     """
     rows = segments.filter(F.col("status").isin(list(TRANSLATED)) & F.col("tgt_text").isNotNull())
     if need_text:
         rows = rows.filter("tgt_text <> ''")
     keys = ["src_hash", "cfg_hash", *(["doc_id"] if per_document else [])]
-    picked = F.min(F.struct(rank(F.col("status")).alias("rank"), "id", F.col("doc_id").alias("from_doc"), "tgt_text", "status", "review_flag")).alias("best")
+    picked = F.min(F.struct(rank(F.col("status")).alias("rank"), "id", F.col("doc_id").alias("from_doc"), *(["tgt_text"] if texts else []), "status", *(["review_flag"] if texts else []))).alias("best")
     return rows.groupBy(*keys).agg(picked)
 
 
@@ -48,23 +49,26 @@ def backfill(new: DataFrame, stored: DataFrame, cfg_hash: str) -> DataFrame:
     )
 
 
-def best_of_others(stored: DataFrame) -> DataFrame:
+def best_of_others(stored: DataFrame, texts: bool = True) -> DataFrame:
     """(src_hash, first, second): the best translation of a hash, and the best from any other document than that one.
 
     Both are minima that combine before the shuffle: the second is the least among those of documents other than the first's, of which each
     document's best is one; the two best documents of each task are enough to know it.
     """
-    per_doc = best_translations(stored, per_document=True).select("src_hash", "best")
+    per_doc = best_translations(stored, per_document=True, texts=texts).select("src_hash", "best")
     two = per_doc.withColumn("__k", F.row_number().over(Window.partitionBy("src_hash").orderBy("best"))).filter("__k <= 2")
     return two.groupBy("src_hash").agg(F.min(F.when(F.col("__k") == 1, F.col("best"))).alias("first"), F.min(F.when(F.col("__k") == 2, F.col("best"))).alias("second"))
 
 
-def look_up(todo: DataFrame, stored: DataFrame, cfg_hash: str) -> DataFrame:
-    """Run-time memory: a hit in another document with the same hash and settings and a text; the state before the run counts."""
+def look_up(todo: DataFrame, stored: DataFrame, cfg_hash: str, texts: bool = True) -> DataFrame:
+    """Run-time memory: a hit in another document with the same hash and settings and a text; the state before the run counts.
+
+    Adds tm_id, tm_text and tm_status; without ``texts`` no text is moved, and tm_text is left out.
+    """
     here = stored.filter((F.col("cfg_hash") == cfg_hash) & (F.col("tgt_text") != ""))
-    out = join_back(todo, best_of_others(here), "src_hash", spread=F.col("id"))
+    out = join_back(todo, best_of_others(here, texts), "src_hash", spread=F.col("id"))
     hit = F.when(F.col("first.from_doc") != F.col("doc_id"), F.col("first")).otherwise(F.col("second"))
-    return out.select(*todo.columns, hit["id"].alias("tm_id"), hit["tgt_text"].alias("tm_text"), hit["status"].alias("tm_status"))
+    return out.select(*todo.columns, hit["id"].alias("tm_id"), *([hit["tgt_text"].alias("tm_text")] if texts else []), hit["status"].alias("tm_status"))
 
 
 def deduplicate(todo: DataFrame, order: list[str]) -> DataFrame:
@@ -81,9 +85,11 @@ def deduplicate(todo: DataFrame, order: list[str]) -> DataFrame:
 BATCH_ROWS = "block int, doc_id long, id long, after int, starts array<int>, summary string"
 
 
-def batches(todo: DataFrame, max_segments: int = MAX_SEGMENTS, max_chars: int = MAX_CHARS) -> DataFrame:
+def batches(todo: DataFrame, max_segments: int = MAX_SEGMENTS, max_chars: int = MAX_CHARS, length: Column | None = None) -> DataFrame:
     """(doc_id, id, batch): the greedy batch of each segment in its document: a new one begins after ``max_segments`` segments or once ``max_chars`` characters are reached.
 
+    ``length``: the characters of a segment, if they are known without its text.
+
     Where a batch ends depends on where it began, all the way back to the begin of the document; still no task holds a document. Rows are
     sorted into blocks by ranges of (doc_id, seq, id), so that a long document spans several. At the begin of a block, a batch is open that has some
     segments already, and the next one begins at one of the first ``max_segments`` places. A block works out what follows from each of these; the
@@ -91,7 +97,7 @@ def batches(todo: DataFrame, max_segments: int = MAX_SEGMENTS, max_chars: int =
     """
     spark = todo.sparkSession
     order = ["doc_id", "seq", "id"]
-    rows = todo.select("doc_id", "seq", "id", F.length("src_text").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = todo.select("doc_id", "seq", "id", (F.length("src_text") if length is None else length).alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
     walked = keeper(spark)(rows.mapInArrow(_walk_blocks(max_segments, max_chars), BATCH_ROWS), "batches")
     chain = spark.createDataFrame(_chained(walked.filter("summary is not null").select("block", "summary").collect(), max_segments, max_chars), "block int, entry int, base long")
     out = walked.filter("summary is null").join(F.broadcast(chain), "block")  # a row a block
@@ -209,6 +215,23 @@ def context(segments: DataFrame, n: int) -> DataFrame:
     return out.select(*segments.columns, F.coalesce("before", F.array().cast("array<string>")).alias("before"), "after")
 
 
+def neighbours(segments: DataFrame, n: int) -> DataFrame:
+    """(id, above, below) per translatable segment: the ids of the nearest ``n`` translated segments above it in order, and of the next ``n`` segments.
+
+    As ``context``, without moving a text: ids are small, and only those of a batch's ends are looked up.
+    """
+    done = F.col("status").isin(list(TRANSLATED)) & F.col("tgt_text").isNotNull()
+    rows = segments.filter("translatable").select("doc_id", "seq", "id", done.alias("__done"))
+    none = F.array().cast("array<bigint>")
+    if not n:
+        return rows.select("id", none.alias("above"), none.alias("below"))
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    upto = F.collect_list("id").over(Window.partitionBy("doc_id", "__done").orderBy("seq").rowsBetween(-(n - 1), 0))
+    rows = rows.withColumn("__upto", F.when(F.col("__done"), upto))  # a translated row and those before it
+    above = F.last("__upto", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("id", F.coalesce(above, none).alias("above"), F.collect_list("id").over(w.rowsBetween(1, n)).alias("below"))
+
+
 def cap_context(before, after, limit: int = 3000):
     """Drop the farthest texts above, then the farthest below, until both hold at most ``limit`` characters."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
