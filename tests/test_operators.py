@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -384,3 +385,38 @@ def test_candidates_level_with_the_last_one(spark):
     terms.candidate_words(docs)
     mp.undo()
     assert "SortAggregate" not in steps[0]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_context_by_ids(spark):
+    """Ids of neighbours stand for the texts that ``context`` gives, over documents in all states."""
+    rng, states = random.Random(3), ["pending", "failed", "machine_translated", "confirmed"]
+    rows = segs(spark, [(i, i % 3, i // 3, f"s{i}", f"t{i}" if rng.random() < 0.8 else None, rng.choice(states), "A") for i in range(60)])
+    src, tgt = ({r.id: r[c] for r in rows.collect()} for c in ("src_text", "tgt_text"))
+    for n in (0, 1, 3):
+        want = {r.id: (r.before, r.after) for r in memory.context(rows, n).collect()}
+        got = {r.id: ([tgt[i] for i in r.above], [src[i] for i in r.below]) for r in memory.neighbours(rows, n).collect()}
+        assert got == want
+
+
+def test_a_run_moves_ids_before_texts(spark):
+    """Memory and copies are worked out without texts, requests share one shuffle of them, and what a run has read for the last time is removed."""
+    kept = {}
+    rows = segs(spark, [(i, i // 8, i % 8, f"段{i % 9}", f"t{i}" if i % 5 == 0 else None, "confirmed" if i % 5 == 0 else "pending", "A") for i in range(24)])
+    g = glossary(spark, [("段", ["part"], "")]).withColumn("occurrences", F.lit(1))
+    write = keeper(spark)
+
+    def keep(df, name, *by):
+        kept[name] = write(df, name, *by)
+        folders[name] = kept[name].inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        return kept[name]
+
+    folders = {}
+    cfg = translate.RunConfig("zh-CN", "en-US", "A")
+    results, totals = translate.run_translation(rows, g, translate.MockModel(), cfg, keep)
+    assert {c for n in ("memory", "hits", "leads") for c, kind in kept[n].dtypes if kind == "string"} <= {"src_hash", "tm_status"}
+    assert {n for n, f in folders.items() if os.path.exists(f)} == {"results", "totals"} and totals.first().total == results.count() == 19
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    todo = rows.filter("status = 'pending'").select("id", "doc_id", "seq", F.length("src_text").alias("n"), F.lit(False).alias("copied"))
+    plan = translate.requests_for(todo, rows, g, None, cfg)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan and plan.count("partial_collect_list") == 2  # of the parts and of the terms
